@@ -1,0 +1 @@
+"""Empty on purpose: the feature set is a daily batch refresh, without streams."""

@@ -74,13 +74,34 @@ def _up(change: Column) -> Column:
     return F.greatest(change, F.lit(0.0))
 
 
-def _terms(decay: Decay, previous: Column) -> Column:
-    """The addend of one bar; zero where there is no previous close."""
-    if decay.of == "close":
-        return F.col("close")
-    change = F.col("close") - previous
-    signed = change if decay.of == "gain" else -change
-    return F.coalesce(_up(signed), F.lit(0.0))
+def _directed(decay: Decay, change: Column) -> Column:
+    return _up(change if decay.of == "gain" else -change)
+
+
+def _in_slot(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
+    """Rank, previous close and grown running sums inside each slot.
+
+    A grown sum is the sum of ratio**-j times the addend. The change of a
+    slot's first bar needs the slot before and is added by the readers.
+    """
+    by_date = Window.partitionBy("symbol", "slot").orderBy("date")
+    running = by_date.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keyed.select(
+        "*", (F.row_number().over(by_date) - 1).alias("j"),
+        F.lag("close").over(by_date).alias("before"))
+    sums = []
+    for d in decays:
+        addend = F.col("close") if d.of == "close" else F.coalesce(
+            _directed(d, F.col("close") - F.col("before")), F.lit(0.0))
+        grown = addend * F.pow(F.lit(d.ratio), -F.col("j"))
+        sums.append(F.sum(grown).over(running).alias(f"grown_{d.name}"))
+    return ranked.select("*", *sums) if sums else ranked
+
+
+def _first_term(decay: Decay) -> Column:
+    """The change of the slot's first bar against the slot before."""
+    change = F.col("first_in") - F.col("carry_close")
+    return F.coalesce(_directed(decay, change), F.lit(0.0))
 
 
 def _decayed_onto(ratio: float):
@@ -91,7 +112,6 @@ def _decayed_onto(ratio: float):
 
 def _slot_heads(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
     """One row per (symbol, slot): what precedes the slot's first bar."""
-    in_slot = Window.partitionBy("symbol", "slot").orderBy("date")
     has_close = F.when(F.col("close").isNotNull(), F.col("date"))
     aggs = [
         F.count(F.lit(1)).alias("rows"),
@@ -101,14 +121,9 @@ def _slot_heads(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
     ]
     rows = keyed
     if decays:
-        rows = rows.select(
-            "symbol", "slot", "date", "close",
-            (F.row_number().over(in_slot) - 1).alias("j"),
-            F.lag("close").over(in_slot).alias("before"),
-        )
-        for d in decays:
-            grown = _terms(d, F.col("before")) * F.pow(F.lit(d.ratio), -F.col("j"))
-            aggs.append(F.sum(grown).alias(f"grown_{d.name}"))
+        rows = _in_slot(keyed.select("symbol", "slot", "date", "close"), decays)
+        aggs += [F.max_by(f"grown_{d.name}", "j").alias(f"grown_{d.name}")
+                 for d in decays]
     slots = rows.groupBy("symbol", "slot").agg(*aggs)
 
     chain = Window.partitionBy("symbol").orderBy("slot")
@@ -130,9 +145,7 @@ def _slot_heads(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
         shrink = F.pow(F.lit(d.ratio), F.col("cnt") - 1)
         total = F.col(f"grown_{d.name}")
         if d.of != "close":
-            change = F.col("first_in") - F.col("carry_close")
-            signed = change if d.of == "gain" else -change
-            total = total + F.coalesce(_up(signed), F.lit(0.0))
+            total = total + _first_term(d)
         heads = heads.withColumn(
             f"ends_{d.name}",
             F.struct((F.col("offset") + F.col("cnt")).alias("end"),
@@ -145,7 +158,7 @@ def _slot_heads(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
             F.aggregate(reached, F.lit(0.0), _decayed_onto(d.ratio)))
     return heads.select(
         "symbol", "slot", "offset", "n_bars", "n_rows", "carry_close",
-        "first_close", *[f"carry_{d.name}" for d in decays],
+        "first_in", "first_close", *[f"carry_{d.name}" for d in decays],
     )
 
 
@@ -167,30 +180,24 @@ def number_bars(
         keyed = priced(keyed)
     heads = _slot_heads(keyed, decays)
 
-    in_slot = Window.partitionBy("symbol", "slot").orderBy("date")
-    running = in_slot.rowsBetween(Window.unboundedPreceding, 0)
+    # The bars are laid out and sorted by (symbol, slot) already: a merge join
+    # moves only the small side, and never makes the bars the broadcast side.
     numbered = (
-        priced(keyed)
-        .withColumn("j", F.row_number().over(in_slot) - 1)
-        .withColumn("before", F.lag("close").over(in_slot))
-        .join(heads, ["symbol", "slot"])
+        _in_slot(priced(keyed), decays)
+        .join(heads.hint("merge"), ["symbol", "slot"])
         .withColumn("pos", (F.col("offset") + F.col("j")).cast("long"))
         .withColumn("prev_close", F.coalesce("before", "carry_close"))
     )
-    if decays:
-        sums = []
-        for d in decays:
-            grown = _terms(d, F.col("prev_close")) * F.pow(
-                F.lit(d.ratio), -F.col("j"))
-            shrink = F.pow(F.lit(d.ratio), F.col("j"))
-            sums.append(
-                (shrink * (F.sum(grown).over(running)
-                           + F.lit(d.ratio) * F.col(f"carry_{d.name}"))
-                 ).alias(d.name)
-            )
-        numbered = numbered.select("*", *sums).drop(
-            *[f"carry_{d.name}" for d in decays])
-    return numbered.drop("slot", "offset", "carry_close", "j", "before")
+    for d in decays:
+        grown = F.col(f"grown_{d.name}")
+        if d.of != "close":
+            grown = grown + _first_term(d)
+        carried = F.lit(d.ratio) * F.col(f"carry_{d.name}")
+        numbered = numbered.withColumn(
+            d.name, F.pow(F.lit(d.ratio), F.col("j")) * (grown + carried)
+        ).drop(f"grown_{d.name}", f"carry_{d.name}")
+    return numbered.drop(
+        "slot", "offset", "carry_close", "first_in", "j", "before")
 
 
 def last_bars(numbered: DataFrame, n: int) -> DataFrame:

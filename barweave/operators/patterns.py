@@ -38,7 +38,8 @@ def _segments(bars: DataFrame, back: int, ahead: int) -> DataFrame:
         "symbol", "date", "close", "pos", "n_bars")
     size = max(SEGMENT_ROWS, back, ahead)
     laid = with_context(numbered, back, ahead, size)
-    rows = laid.groupBy("symbol", "seg", "n_bars").agg(
+    rows = laid.groupBy("symbol", "seg").agg(
+        F.max("n_bars").alias("n_bars"),
         F.array_sort(F.collect_list(F.struct("pos", "close", "date"))).alias("rows"))
     return rows.select(
         "symbol", "n_bars", "seg",
@@ -98,7 +99,7 @@ def build_library(
         "symbol", "seg",
         F.sum("kept").over(chain.rowsBetween(Window.unboundedPreceding, -1))
         .alias("before"))
-    placed = parts.join(before, ["symbol", "seg"], "left")
+    placed = parts.join(before.hint("merge"), ["symbol", "seg"], "left")
     rows = placed.select(
         "symbol", F.coalesce("before", F.lit(0)).alias("before"),
         F.posexplode("cuts").alias("i", "cut"))

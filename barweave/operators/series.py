@@ -46,7 +46,7 @@ def fill_gaps(series: DataFrame) -> DataFrame:
             inside.rowsBetween(Window.unboundedPreceding, 0)).alias("left_near"),
         F.first(_known(), ignorenulls=True).over(
             inside.rowsBetween(0, Window.unboundedFollowing)).alias("right_near"),
-    ).join(heads, ["series_id", "chunk"])
+    ).join(heads.hint("merge"), ["series_id", "chunk"])
     left, right = F.col("l"), F.col("r")
     share = (F.col("pos") - left["pos"]) / (right["pos"] - left["pos"])
     filled = (

@@ -24,44 +24,54 @@ def bars_from_trades(
     keyed = trades.select(
         symbol.alias("symbol"), date.alias("date"), price.alias("price"),
         order.alias("ord"), volume.alias("size"))
-    return keyed.groupBy("symbol", "date").agg(
+    bars = keyed.groupBy("symbol", "date").agg(
         F.min_by("price", "ord").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "ord").alias("close"),
         F.sum("size").alias("volume"))
+    return compute_once(bars)
 
 
-def _packed(*parts: tuple[Column, int]) -> Column:
-    """Digits of several whole numbers in one decimal, most important first.
+def compute_once(bars: DataFrame) -> DataFrame:
+    """Keep later column pruning out of a computed panel.
 
-    A decimal fits the hash aggregation's buffer, a struct would force sorts.
+    Numbering reads a panel twice, with different columns. Pruned differently,
+    the two readings would be two aggregations of all trades; left alike, they
+    share one exchange (ReusedExchange in the plan). A stored panel does not
+    want this: there the second reading is a scan of two columns.
     """
-    out = F.lit(0).cast("decimal(38,0)")
-    for value, width in parts:
-        out = (out * F.lit(10 ** width).cast("decimal(14,0)")
-               + value.cast("decimal(20,0)")).cast("decimal(38,0)")
-    return out
+    row = F.struct(*bars.columns)
+    return bars.select(F.inline(F.array(row)))
+
+
+def _packed(major: Column, minor: Column, minor_bits: int) -> Column:
+    """Two whole numbers as one sortable decimal.
+
+    A decimal fits the hash aggregation's buffer; a struct would force sorts.
+    """
+    whole = "decimal(18,0)"
+    return (major.cast(whole) * F.lit(1 << minor_bits).cast(whole)
+            + minor.cast(whole))
 
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Daily bars: a supplier is a symbol, an order line is a trade."""
-    cents = F.round(F.col("l_extendedprice") * 100, 0)
-    order = _packed((F.col("l_orderkey"), 13), (F.col("l_linenumber"), 3),
-                    (cents, 12))
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    cents = (F.col("l_extendedprice") * 100 + F.lit(0.5)).cast("long")
     return bars_from_trades(
         lineitem, F.col("l_suppkey").cast("string"),
-        F.col("l_shipdate").cast("date"), F.col("l_extendedprice"), order,
-        F.col("l_quantity"))
+        F.col("l_shipdate").cast("date"), F.col("l_extendedprice"),
+        _packed(line, cents, 34), F.col("l_quantity"))
 
 
 def bars_from_events(events: DataFrame) -> DataFrame:
     """Hourly bars: an event type is a symbol, volume counts the events."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    order = _packed((micros, 13), (F.col("event_id"), 13))
+    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     return bars_from_trades(
-        events, F.col("event_type"), F.date_trunc("hour", F.col("ts")),
-        F.col("value"), order, F.lit(1.0))
+        events, F.col("event_type"), hour, F.col("value"),
+        _packed(micros, F.col("event_id"), 43), F.lit(1.0))
 
 
 def universe_from_supplier(

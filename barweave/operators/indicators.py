@@ -140,6 +140,16 @@ def add_rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     return number_bars(bars, _gain_loss(period)).withColumn("rsi", _rsi(period))
 
 
+def add_gain_loss_means(bars: DataFrame, period: int = 14) -> DataFrame:
+    """Adjusted exponential means of gains and losses, after `period` changes."""
+    ratio = 1.0 - 1.0 / period
+    weights = (1.0 - F.pow(F.lit(ratio), F.col("pos"))) / F.lit(1.0 - ratio)
+    warm = F.col("pos") >= period
+    return number_bars(bars, _gain_loss(period)).select(
+        "*", F.when(warm, F.col("ewm_gain") / weights).alias("avg_gain"),
+        F.when(warm, F.col("ewm_loss") / weights).alias("avg_loss"))
+
+
 def add_ema(bars: DataFrame, span: float = 20) -> DataFrame:
     alpha = span_alpha(span)
     numbered = number_bars(bars, (Decay("ewm_close", "close", 1.0 - alpha),))

@@ -173,6 +173,7 @@ def number_bars(
     x at a bar is the sum of ratio**age times the addend over this and all
     earlier bars of the symbol, exact across slots.
     """
+    bars = bars.drop("pos", "n_bars", "n_rows", "prev_close", "first_close")
     for d in decays:
         slot_rows = min(slot_rows, scale_rows(d.ratio))
     keyed = bars.withColumn("slot", slot_index(bars, slot_rows))

@@ -81,6 +81,13 @@ def _cut(bars: DataFrame, window: int, step: int, horizon: int) -> DataFrame:
             cuts, lambda s: s["width"] >= FLAT).alias("cuts"))
 
 
+def cut_windows(
+    bars: DataFrame, window: int = 60, step: int = STEP, horizon: int = HORIZON
+) -> DataFrame:
+    """The kept windows before scaling: raw closes, mean and deviation."""
+    return _cut(bars, window, step, horizon).select("symbol", F.inline("cuts"))
+
+
 def build_library(
     bars: DataFrame, window: int = 60, step: int = STEP, horizon: int = HORIZON
 ) -> DataFrame:
@@ -111,14 +118,18 @@ def build_library(
         relative_path(F.col("cut.next"), F.col("cut.last")).alias("fut"))
 
 
-def query_shape(bars: DataFrame, symbols: list[str], window: int = 60) -> DataFrame:
-    """The last `window` closes of the given symbols as queries."""
-    chosen = number_bars(bars.where(F.col("symbol").isin(*symbols)))
-    return last_bars(chosen, window).groupBy(
+def last_shapes(bars: DataFrame, window: int = 60) -> DataFrame:
+    """The last `window` closes of every symbol, as queries."""
+    return last_bars(number_bars(bars), window).groupBy(
         F.col("symbol").alias("query_id")
     ).agg(F.array_sort(F.collect_list(F.struct("pos", "close")))["close"].alias("q"))
 
 
+def query_shape(bars: DataFrame, symbols: list[str], window: int = 60) -> DataFrame:
+    """The last `window` closes of the given symbols as queries."""
+    return last_shapes(bars.where(F.col("symbol").isin(*symbols)), window)
+
+
 def prepare_queries(queries: DataFrame, window: int) -> DataFrame:
     """Resample to the window length and standardize; flat shapes drop out."""
     q = F.col("q")
@@ -156,7 +167,7 @@ def score(library: DataFrame, queries: DataFrame, window: int = 60) -> DataFrame
         .alias("sim"))
 
 
-def _best(scored: DataFrame, m: int) -> DataFrame:
+def best_windows(scored: DataFrame, m: int) -> DataFrame:
     """The best m rows per query, narrowed in two rounds."""
     order = [F.col("sim").desc(), F.col("symbol"), F.col("widx").desc()]
     near = Window.partitionBy("query_id", "task_group").orderBy(*order)
@@ -177,7 +188,7 @@ def choose(scored: DataFrame, window: int = 60, k: int = 100,
     Queries with fewer than MIN_MATCHES windows give no rows.
     """
     gap = max(1, window // (2 * step))
-    best = _best(scored, k * (2 * gap - 1))
+    best = best_windows(scored, k * (2 * gap - 1))
     entry = F.struct("at", "symbol", "widx", "end_date", "sim", "fut")
     listed = best.groupBy("query_id").agg(
         F.array_sort(F.collect_list(entry)).alias("rows"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.schemas import DOMESTIC_MARKET, SIZE_TO_GROUP
+from barweave.schemas import DOMESTIC_MARKET, GROUP_RANK, SIZE_TO_GROUP
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,13 +77,16 @@ def bars_from_events(events: DataFrame) -> DataFrame:
 def universe_from_supplier(
     supplier: DataFrame, nation: DataFrame, region: DataFrame
 ) -> DataFrame:
-    """Listing rows: supplier name, its region as group, its nation as sector."""
+    """Listing rows: supplier name, a group by region, its nation as sector."""
     placed = supplier.join(
         nation, F.col("s_nationkey") == F.col("n_nationkey")
     ).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    groups = F.array(*[F.lit(g) for g in GROUP_RANK])
+    group = F.element_at(
+        groups, F.least(F.col("r_regionkey"), F.lit(len(GROUP_RANK) - 1)) + 1)
     return placed.select(
         F.col("s_suppkey").cast("string").alias("symbol"),
-        F.col("s_name").alias("name"), F.col("r_name").alias("group"),
+        F.col("s_name").alias("name"), group.alias("group"),
         F.col("n_name").alias("sector"))
 
 

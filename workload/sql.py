@@ -26,7 +26,8 @@ def sql(body: str, *needs: str) -> str:
         visit(n)
     if not order:
         return body
-    ctes = ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order)
+    # Each part once: inlined, the self-joins would be evaluated again and again.
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in order)
     return f"WITH {ctes}\n{body}"
 
 

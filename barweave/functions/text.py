@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barweave.functions.rounding import round_exact
+
 
 def option_label(symbol: Column, name: Column) -> Column:
     return F.concat_ws("  ", symbol, name)
@@ -21,7 +23,7 @@ def currency(symbol: Column, value: Column) -> Column:
 
 
 def signed_percent(value: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%+.{digits}f%%", value)
+    return F.format_string(f"%+.{digits}f%%", round_exact(value, digits))
 
 
 def percent_of(path: Column) -> Column:

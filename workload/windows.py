@@ -63,13 +63,13 @@ def ema(t):
 
 
 @query("w7_macd", sql("""
-  SELECT symbol, pos, round(macd, 5) + 0.0 AS macd,
-    round(macd_signal, 5) + 0.0 AS macd_signal,
-    round(macd - macd_signal, 5) + 0.0 AS macd_hist FROM sig""", "sig"))
+  SELECT symbol, pos, round(macd, 4) + 0.0 AS macd,
+    round(macd_signal, 4) + 0.0 AS macd_signal,
+    round(macd - macd_signal, 4) + 0.0 AS macd_hist FROM sig""", "sig"))
 def macd(t):
     return rounded(ind.add_macd(t.bars).select(
         "symbol", "pos", "macd", "macd_signal", "macd_hist"),
-        5, "macd", "macd_signal", "macd_hist")
+        4, "macd", "macd_signal", "macd_hist")
 
 
 @query("w8_rolling_std", sql(

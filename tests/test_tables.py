@@ -18,7 +18,7 @@ from tests.helpers import bars, frame, walk
 def test_rounding_matches_python_and_numpy(spark):
     rng = np.random.default_rng(1)
     values = [9.85, 2.675, 8.35, 0.125, 2.5, 1.005, -9.85, 0.0] + [
-        round(x, 2) for x in rng.uniform(0, 1e5, 500)]
+        round(float(x), 2) for x in rng.uniform(0, 1e5, 500)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for r in df.select("x", round_exact(F.col("x"), 1).alias("e"),
                        round_scaled(F.col("x"), 1).alias("s")).collect():

@@ -31,21 +31,25 @@ def fill_gaps(series: DataFrame) -> DataFrame:
         F.max("pos").alias("top"),
         F.min_by(F.struct("pos", "value"), known_pos).alias("first_in"),
         F.max_by(F.struct("pos", "value"), known_pos).alias("last_in"))
-    chain = Window.partitionBy("series_id").orderBy("chunk")
+    # Looking ahead is looking back in descending order: a frame that reaches
+    # to the end would be scanned again for every row.
+    chain = Window.partitionBy("series_id")
+    before = (Window.unboundedPreceding, -1)
     heads = chunks.select(
         "series_id", "chunk",
-        (F.max("top").over(Window.partitionBy("series_id")) + 1).alias("length"),
+        (F.max("top").over(chain) + 1).alias("length"),
         F.last("last_in", ignorenulls=True).over(
-            chain.rowsBetween(Window.unboundedPreceding, -1)).alias("left_in"),
-        F.first("first_in", ignorenulls=True).over(
-            chain.rowsBetween(1, Window.unboundedFollowing)).alias("right_in"))
-    inside = Window.partitionBy("series_id", "chunk").orderBy("pos")
+            chain.orderBy("chunk").rowsBetween(*before)).alias("left_in"),
+        F.last("first_in", ignorenulls=True).over(
+            chain.orderBy(F.desc("chunk")).rowsBetween(*before)).alias("right_in"))
+    inside = Window.partitionBy("series_id", "chunk")
+    so_far = (Window.unboundedPreceding, 0)
     joined = cut.select(
         "*",
         F.last(_known(), ignorenulls=True).over(
-            inside.rowsBetween(Window.unboundedPreceding, 0)).alias("left_near"),
-        F.first(_known(), ignorenulls=True).over(
-            inside.rowsBetween(0, Window.unboundedFollowing)).alias("right_near"),
+            inside.orderBy(F.desc("pos")).rowsBetween(*so_far)).alias("right_near"),
+        F.last(_known(), ignorenulls=True).over(
+            inside.orderBy("pos").rowsBetween(*so_far)).alias("left_near"),
     ).join(heads.hint("merge"), ["series_id", "chunk"])
     left, right = F.col("l"), F.col("r")
     share = (F.col("pos") - left["pos"]) / (right["pos"] - left["pos"])
@@ -70,8 +74,13 @@ def rolling_median(series: DataFrame, value: str, width: int = 5) -> DataFrame:
         series.withColumn("n_bars", F.col("length")), half, half)
     frame = Window.partitionBy("series_id", "seg").orderBy("pos").rowsBetween(
         -half, half)
-    laid = laid.withColumn("smooth", F.percentile(value, 0.5).over(frame))
-    return owned(laid, SEGMENT_ROWS).drop("n_bars")
+    near = F.array_sort(F.collect_list(value).over(frame))
+    laid = laid.withColumn("near", near)
+    count = F.size("near")
+    low = F.get("near", F.floor((count - 1) / 2).cast("int"))
+    high = F.get("near", F.floor(count / 2).cast("int"))
+    laid = laid.withColumn("smooth", low + (high - low) * F.lit(0.5))
+    return owned(laid, SEGMENT_ROWS).drop("n_bars", "near")
 
 
 def resample_series(series: DataFrame, value: str, n: int) -> DataFrame:

@@ -51,7 +51,6 @@ def _cut(bars: DataFrame, window: int, step: int, horizon: int) -> DataFrame:
     """Segments with the array `cuts` of their windows, flat ones removed."""
     parts = _segments(bars, window - 1, horizon)
     # Ends are exclusive: the window's last bar is at position end - 1.
-    lowest = F.greatest(F.lit(window), F.col("from_end"))
     first = F.lit(window) + F.expr(
         f"(greatest({window}, from_end) - {window} + {step - 1}) div {step}") * step
     last = F.least(F.col("to_end"), F.col("n_bars") - horizon - 1)

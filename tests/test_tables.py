@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from barweave.functions.rounding import round_exact, round_scaled
 from barweave.operators import quality, screens, series, universe
-from barweave.operators.patterns import prepare_queries  # noqa: F401
 from barweave.schemas import SUMMARY, UNIVERSE
 from barweave.sources import files, sinks
 from tests.helpers import bars, frame, walk

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.op1_decontaminate import op1_decontaminate
+from llm.op2_packing import op2_packing
 from llm.op10_minhash import op10_minhash
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_packing": op2_packing,
     "op10_minhash": op10_minhash,
 }
 

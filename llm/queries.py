@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.op1_decontaminate import op1_decontaminate
 from llm.op2_packing import op2_packing
 from llm.op4_chat import op4_chat
+from llm.op7_sharding import op7_sharding
 from llm.op8_secrets import op8_secrets
 from llm.op10_minhash import op10_minhash
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
     "op4_chat": op4_chat,
+    "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
     "op10_minhash": op10_minhash,
 }

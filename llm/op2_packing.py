@@ -8,12 +8,15 @@ number per partition, held by the driver) and cuts. The boundary records say whi
 of a text lies where. Only the last sequence can need padding.
 
 Encoding is the dear part. White space separates the tokenizer's words, so a task encodes
-each distinct run of other characters once and keeps the ids in a cache of bounded size.
+each distinct run of other characters once, words of letters by the tokenizer's model
+alone, and keeps the ids in a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -38,40 +41,58 @@ STEP_BYTES = 1 << 22
 _WORKER: dict = {}
 
 
-class Encoder:
-    """Ids of whole texts, run by run."""
+def _byte_letters() -> list[str]:
+    """The character by which a byte-level tokenizer writes each byte: itself where it is
+    printable Latin-1, else the next free one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in seen else next(free)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+class Encoder(dict):
+    """Ids of runs without white space as little-endian 32-bit numbers, learnt on demand."""
 
     def __init__(self, path: str, cached: int = CACHED):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
-        self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, runs: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast(
-            [r.decode() for r in runs], add_special_tokens=False)
-        for run, encoding in zip(runs, found, strict=True):
-            self.known[run] = np.array(encoding.ids, "<u4").tobytes()
+    def _lower_word(self, run: bytes) -> str | None:
+        """The run in small letters if it is one word of Latin letters, which the
+        tokenizer's model takes as it is."""
+        word = run.lower().decode()
+        if (word.isalpha() and max(word) < "\u0250" and word == word.lower()
+                and unicodedata.is_normalized("NFC", word)):
+            return word
+        return None
+
+    def __missing__(self, run: bytes) -> bytes:
+        word = self._lower_word(run)
+        if word is not None:
+            if not word.isascii():
+                word = "".join([_LETTERS[b] for b in word.encode()])
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        else:
+            stem = run.rstrip(_MARKS)
+            if stem and stem != run and self._lower_word(stem) is not None:
+                ids = self[stem] + self[run[len(stem):]]  # marks never join a letter
+            else:
+                ids = array("I", self.tokenizer.encode(
+                    run.decode(), add_special_tokens=False).ids).tobytes()
+        self[run] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without the closing id."""
-        if len(self.known) > self.cached:
-            self.known.clear()
-        split = [text.split() for text in texts]
-        new = set().union(*split) - self.known.keys()
-        # the normaliser lowers letters anyway, and a letter ends a word before , and .
-        plain = {run: run.lower() if b"<" not in run else run for run in new}
-        stems = {run: run[:-1] for run in set(plain.values())
-                 if len(run) > 1 and run[-1] in b",." and 97 <= run[-2] <= 122}
-        self._learn(list(({*plain.values(), *stems.values(), b",", b"."} - stems.keys())
-                         - self.known.keys()))
-        known = self.known
-        for run, stem in stems.items():
-            known[run] = known[stem] + known[run[-1:]]
-        for run, low in plain.items():
-            known[run] = known[low]
-        return [b"".join([known[run] for run in runs]) for runs in split]
+        """The ids of each text, without the closing id."""
+        if len(self) > self.cached:
+            self.clear()
+        return [b"".join(map(self.__getitem__, text.split())) for text in texts]
 
 
 def encoder(path: str) -> Encoder:

@@ -12,7 +12,8 @@ FOLDER = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " \n", "It's, I'LL. don't...", "a.,b c.d, é, É. É, İ.", "1,2 3.",
        "x<|endoftext|>y <|ENDOFTEXT|>", "\x1ca\x1fb c　d", "日本語。テスト", "ΣΑΣ Σ.",
-       "--- ... ,,, '' 's", "word " * 5000, "ſ K ﬁ½ ①.", "̈a ̈,"]
+       "--- ... ,,, '' 's", "word " * 5000, "ſ K ﬁ½ ①.", "̈a ̈,",
+       "a's's b.'s c'' d_ e». f½. g<| h> ñandú. ÑANDÚ, ǅ ŉ! x²", "ʼn ﬃ. Ａ, ªº."]
 
 
 def whole(texts):

@@ -10,6 +10,7 @@ from llm.op4_chat import op4_chat
 from llm.op6_permutation import op6_permutation
 from llm.op7_sharding import op7_sharding
 from llm.op8_secrets import op8_secrets
+from llm.op9_suffix_tree import op9_suffix_tree
 from llm.op10_minhash import op10_minhash
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_permutation": op6_permutation,
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_minhash": op10_minhash,
 }
 

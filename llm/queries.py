@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.op1_decontaminate import op1_decontaminate
 from llm.op2_packing import op2_packing
 from llm.op4_chat import op4_chat
+from llm.op5_quality import op5_quality
 from llm.op6_permutation import op6_permutation
 from llm.op7_sharding import op7_sharding
 from llm.op8_secrets import op8_secrets
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
     "op4_chat": op4_chat,
+    "op5_quality": op5_quality,
     "op6_permutation": op6_permutation,
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,

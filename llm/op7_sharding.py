@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from llm.common import checkpointed
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 3
 #: Share above the mean that a shard may hold between rounds.
 SLACK = 0.1
 CELLS = 4096
@@ -32,76 +32,74 @@ def _cell(value: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(value, F.lit(salt)), F.lit(CELLS)).cast("int")
 
 
-def _loads(placed: DataFrame, shards: int) -> list[int]:
-    found = dict(placed.groupBy("shard").agg(F.sum("size")).collect())
-    return [found.get(s, 0) for s in range(shards)]
-
-
-def _round(placed: DataFrame, links: DataFrame, shards: int, slack: float) -> DataFrame:
-    """One round: favourites, wishes, quotas, moves."""
+def _wishes(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """`placed` with each document's `wish` and the hash `cell` of the group behind it."""
     held = links.join(placed, "id").groupBy("group", "shard").agg(
         F.sum("size").alias("bytes"))
     favourite = held.groupBy("group").agg(F.max_by(
         "shard", F.struct("bytes", -F.col("shard"))).alias("wish"))
-    votes = links.join(favourite, "group").groupBy("id", "wish").agg(
+    # one exchange by id serves both groupings and the join
+    votes = links.join(favourite, "group").repartition("id").groupBy("id", "wish").agg(
         F.count("*").alias("votes"), F.min("group").alias("group"))
     wishes = votes.groupBy("id").agg(F.max_by(
         F.struct("wish", "group"), F.struct("votes", -F.col("wish"))).alias("w"))
-    asked = placed.join(wishes, "id", "left").select(
-        "id", "size", "shard", F.col("w.wish").alias("wish"),
+    return placed.join(wishes, "id", "left").select(
+        *placed.columns, F.col("w.wish").alias("wish"),
         _cell(F.col("w.group"), 0).alias("cell"))
-    movers = asked.where("wish <> shard")
-    sums = movers.groupBy("wish", "cell").agg(F.sum("size").alias("bytes")).collect()
-    loads = _loads(placed, shards)
-    mean = sum(loads) / shards
-    out = [0] * shards
-    for r in movers.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
-        out[r.shard] = r.bytes
+
+
+def _moved(asked: DataFrame, shards: int, slack: float) -> DataFrame:
+    """Admit the movers of each shard cell by cell while its quota lasts."""
+    moves = F.col("wish") != F.col("shard")
+    sums = asked.groupBy("shard", F.when(moves, F.col("wish")).alias("to"),
+                         F.when(moves, F.col("cell")).alias("cell")).agg(
+        F.sum("size").alias("bytes")).collect()
+    loads, leaving = [0] * shards, [0] * shards
+    asking: dict[tuple[int, int], int] = {}
+    for r in sums:
+        loads[r.shard] += r.bytes
+        if r.to is not None:
+            leaving[r.shard] += r.bytes
+            asking[r.to, r.cell] = asking.get((r.to, r.cell), 0) + r.bytes
+    room = [sum(loads) / shards * (1 + slack) - loads[s] + leaving[s] / 2
+            for s in range(shards)]
     admitted = []
-    for target in range(shards):
-        room = mean * (1 + slack) - loads[target] + out[target] / 2
-        for r in sorted((r for r in sums if r.wish == target), key=lambda r: r.cell):
-            if r.bytes <= room:
-                room -= r.bytes
-                admitted.append((target, r.cell))
-    allowed = placed.sparkSession.createDataFrame(admitted, "wish int, cell int")
-    return (asked.join(F.broadcast(allowed.withColumn("moves", F.lit(True))),
-                       ["wish", "cell"], "left")
-            .select("id", "size", F.when(F.col("moves"), F.col("wish"))
-                    .otherwise(F.col("shard")).alias("shard")))
-
-
-def _level(placed: DataFrame, links: DataFrame, shards: int, salt: int) -> DataFrame:
+    for (to, cell), size in sorted(asking.items()):
+        if size <= room[to]:
+            room[to] -= size
+            admitted.append((to, cell, True))
+    plan = asked.sparkSession.createDataFrame(admitted, "wish int, cell int, moves boolean")
+    return asked.join(F.broadcast(plan), ["wish", "cell"], "left").select(
+        "id", "size", "tie",
+        F.when(F.col("moves"), F.col("wish")).otherwise(F.col("shard")).alias("shard"))
+
+
+def _level(placed: DataFrame, shards: int, salt: int) -> DataFrame:
     """Move documents from shards above the mean to shards below it, single ones first,
     then what a shard holds of a group."""
-    loads = _loads(placed, shards)
-    mean = sum(loads) / shards
-    above = [s for s in range(shards) if loads[s] > mean]
-    if not above:
-        return placed
-    linked = links.groupBy("id").agg(F.min("group").alias("tie"))
-    marked = placed.join(linked, "id", "left").withColumn("cell", F.when(
+    marked = placed.withColumn("cell", F.when(
         F.col("tie").isNull(), _cell(F.col("id"), salt))
         .otherwise(CELLS + _cell(F.col("tie"), salt)))
-    sums = (marked.where(F.col("shard").isin(above)).groupBy("shard", "cell")
-            .agg(F.sum("size").alias("bytes")).collect())
+    sums = marked.groupBy("shard", "cell").agg(F.sum("size").alias("bytes")).collect()
+    loads = [0] * shards
+    for r in sums:
+        loads[r.shard] += r.bytes
+    mean = sum(loads) / shards
     need = {s: mean - loads[s] for s in range(shards) if loads[s] < mean}
+    over = {s: loads[s] - mean for s in range(shards) if loads[s] > mean}
     moves = []
-    for source in above:
-        excess = loads[source] - mean
-        for r in sorted((r for r in sums if r.shard == source), key=lambda r: r.cell):
-            if r.bytes <= excess and need:
-                target = max(need, key=need.get)
-                if need[target] < r.bytes / 2:
-                    continue
-                moves.append((source, r.cell, target))
+    for r in sorted(sums, key=lambda r: (r.shard, r.cell)):
+        if r.bytes <= over.get(r.shard, 0):
+            target = max(need, key=need.get)
+            if need[target] >= r.bytes / 2:
+                moves.append((r.shard, r.cell, target))
                 need[target] -= r.bytes
-                excess -= r.bytes
+                over[r.shard] -= r.bytes
     if not moves:
         return placed
     plan = placed.sparkSession.createDataFrame(moves, "shard int, cell int, target int")
     return marked.join(F.broadcast(plan), ["shard", "cell"], "left").select(
-        "id", "size", F.coalesce("target", "shard").alias("shard"))
+        "id", "size", "tie", F.coalesce("target", "shard").alias("shard"))
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
@@ -114,14 +112,16 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
     links = links.join(nodes.select("id"), "id", "left_semi").distinct()
     groups = links.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     links = checkpointed(links.join(groups.select("group"), "group").select("id", "group"))
-    placed = checkpointed(nodes.select("id", "size", F.pmod(
-        F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")))
-    placed = checkpointed(_level(placed, links, shards, 3))
+    ties = links.groupBy("id").agg(F.min("group").alias("tie"))
+    placed = checkpointed(nodes.join(ties, "id", "left").select(
+        "id", "size", "tie",
+        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")))
+    placed = _level(placed, shards, 3)
     for _ in range(rounds):
-        placed = checkpointed(_round(placed, links, shards, slack))
+        placed = _moved(checkpointed(_wishes(placed, links)), shards, slack)
     for salt in (1, 2):
-        placed = checkpointed(_level(placed, links, shards, salt))
-    return placed
+        placed = _level(placed, shards, salt)
+    return checkpointed(placed.select("id", "size", "shard"))
 
 
 def with_slots(placed: DataFrame) -> DataFrame:

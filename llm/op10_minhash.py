@@ -92,17 +92,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(np.array(sizes) > 0, out=ends[1:])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()),
                  pa.array(keys, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends * BANDS),
                                           pa.array(bands.ravel().astype(np.int64)))],
-                ["doc_id", "n_shingles", "key", "bands"])
+                ["doc_id", "text_hash", "n_shingles", "key", "bands"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key of the set (null if empty) and its bucket keys, per row."""
-    return docs.select("doc_id", "text").mapInArrow(
-        _describe, "doc_id long, n_shingles long, key binary, bands array<long>")
+    """doc_id, text_hash, n_shingles, key of the set (null if empty) and its bucket keys,
+    per row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                       F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _describe, "doc_id long, text_hash long, n_shingles long, key binary, "
+        "bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +181,8 @@ def _confirm(numerator: int, denominator: int):
 
 def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100,
                     block: int = BLOCK) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept, and the
+    text's xxhash64 as text_hash.
 
     Linked are documents with denominator * |intersection| >= numerator * |union|.
     Null and empty texts have an empty set and are linked with nothing. Repeated rows
@@ -221,15 +225,16 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
              .select("key", "lowest", F.coalesce("root", "key").alias("root")))
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = named.join(lowest, "root").select("key", "component_id")
-    return rows.select("doc_id", "n_shingles", "key").join(named, "key", "left").select(
+    return rows.select("doc_id", "text_hash", "n_shingles", "key").join(named, "key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id"))
         .otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("key").isNull() | F.col("component_id").isNull(), True)
         .otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-        .alias("kept"))
+        .alias("kept"), "text_hash")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of `documents`."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop(
+        "text_hash")

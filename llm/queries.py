@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from llm.op1_decontaminate import op1_decontaminate
 from llm.op2_packing import op2_packing
 from llm.op4_chat import op4_chat
@@ -14,7 +15,14 @@ from llm.op8_secrets import op8_secrets
 from llm.op9_suffix_tree import op9_suffix_tree
 from llm.op10_minhash import op10_minhash
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py on `documents`."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
     "op4_chat": op4_chat,
@@ -26,4 +34,5 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = (
+    {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})

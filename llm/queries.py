@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from llm.op1_decontaminate import op1_decontaminate
 from llm.op2_packing import op2_packing
+from llm.op3_suffixes import op3_suffixes
 from llm.op4_chat import op4_chat
 from llm.op5_quality import op5_quality
 from llm.op6_permutation import op6_permutation
@@ -25,6 +26,7 @@ QUERIES = {
     "pipeline": pipeline,
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
+    "op3_suffixes": op3_suffixes,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op6_permutation": op6_permutation,

@@ -22,11 +22,19 @@ def span_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-def _segment_rows(back: int, ratios: tuple[float, ...] = ()) -> int:
-    size = SEGMENT_ROWS
-    for r in ratios:
-        size = min(size, scale_rows(r) - back)
-    return max(size, back) if not ratios else size
+def _segment_rows(back: int) -> int:
+    return max(SEGMENT_ROWS, back)
+
+
+def _signal_reach(signal: float, back: int) -> int | None:
+    """Bars behind a segment that the signal line needs, if a segment can have
+    them: its growth factor over the whole segment must fit a double."""
+    ratio = 1.0 - span_alpha(signal)
+    if ratio == 0:
+        return 1
+    reach = max(back, memory_rows(ratio))
+    fits = _segment_rows(reach) + reach <= scale_rows(ratio)
+    return memory_rows(ratio) if fits else None
 
 
 def _frames(back: int):
@@ -173,6 +181,8 @@ def _signal_line(signal: float, back: int, size: int) -> Column:
     """
     alpha = span_alpha(signal)
     ratio = 1.0 - alpha
+    if ratio == 0:
+        return F.col("macd")
     _, running = _frames(back)
     step = F.col("pos") - _segment_start(back, size)
     grown = F.sum(F.col("macd") * F.pow(F.lit(ratio), -step)).over(running)
@@ -181,18 +191,31 @@ def _signal_line(signal: float, back: int, size: int) -> Column:
             + F.pow(F.lit(ratio), step + 1) * seed)
 
 
+def _carried_signal(df: DataFrame, signal: float) -> DataFrame:
+    """The signal line by sums carried across slots, whatever its memory."""
+    alpha = span_alpha(signal)
+    rest = [c for c in df.columns if c not in ("symbol", "date")]
+    macd = df.select("symbol", "date", F.col("macd").alias("close"),
+                     F.struct(*rest).alias("bar"))
+    summed = number_bars(macd, (Decay("ewm_signal", "close", 1.0 - alpha),))
+    return summed.select("symbol", "date", "bar.*",
+                         _ema("ewm_signal", alpha).alias("macd_signal"))
+
+
 def add_macd(
     bars: DataFrame, fast: float = 12, slow: float = 26, signal: float = 9
 ) -> DataFrame:
-    ratio = 1.0 - span_alpha(signal)
-    back = memory_rows(ratio)
-    size = _segment_rows(back, (ratio,))
     numbered = number_bars(bars, _macd_decays(fast, slow)).withColumn(
         "macd", _macd(fast, slow)).drop("ewm_fast", "ewm_slow")
-    laid = with_context(numbered, back, size=size)
-    laid = laid.withColumn("macd_signal", _signal_line(signal, back, size))
-    return owned(laid, size).withColumn(
-        "macd_hist", F.col("macd") - F.col("macd_signal"))
+    back = _signal_reach(signal, 0)
+    if back is None:
+        out = _carried_signal(numbered, signal)
+    else:
+        size = _segment_rows(back)
+        laid = with_context(numbered, back, size=size)
+        out = owned(laid.withColumn(
+            "macd_signal", _signal_line(signal, back, size)), size)
+    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def add_indicators(
@@ -203,9 +226,10 @@ def add_indicators(
     bb_window: int = 20, num_std: float = 2.0,
 ) -> DataFrame:
     """All indicator columns, sharing one numbering and one segment layout."""
-    ratio = 1.0 - span_alpha(signal)
-    back = max(max(windows) - 1, bb_window - 1, memory_rows(ratio))
-    size = _segment_rows(back, (ratio,))
+    back = max(max(windows), bb_window) - 1
+    reach = _signal_reach(signal, back)
+    back = max(back, reach or 0)
+    size = _segment_rows(back)
     numbered = number_bars(
         bars, _macd_decays(fast, slow) + _gain_loss(rsi_period))
     numbered = numbered.select(
@@ -218,9 +242,11 @@ def add_indicators(
         *[_rolling_mean(w, back).alias(f"sma{w}") for w in windows],
         _rolling_mean(bb_window, back).alias("bb_mid"),
         _rolling_std(bb_window, back).alias("bb_std"),
-        _signal_line(signal, back, size).alias("macd_signal"),
+        *([_signal_line(signal, back, size).alias("macd_signal")] if reach else []),
     )
     out = _bands(owned(laid, size), num_std)
+    if not reach:
+        out = _carried_signal(out, signal)
     return out.select(
         "symbol", "date", "open", "high", "low", "close", "volume",
         *[f"sma{w}" for w in windows], "rsi", "macd", "macd_signal",

@@ -43,6 +43,8 @@ class Decay:
 
 def memory_rows(ratio: float) -> int:
     """Number of steps after which a term has decayed below NEGLIGIBLE."""
+    if ratio == 0:
+        return 1
     return math.ceil(math.log(NEGLIGIBLE) / math.log(ratio))
 
 
@@ -52,7 +54,11 @@ def scale_rows(ratio: float) -> int:
 
 
 def slot_index(bars: DataFrame, slot_rows: int = SLOT_ROWS) -> Column:
-    """Calendar slot of a bar; dates count days, timestamps count hours."""
+    """Calendar slot of a bar; dates count days, timestamps count hours.
+
+    A slot of dates holds at most `slot_rows` bars; one of timestamps can hold
+    more, see `keyed_by_slot`.
+    """
     kind = bars.schema["date"].dataType
     if isinstance(kind, T.DateType):
         unit = F.unix_date("date")
@@ -65,6 +71,29 @@ def slot_index(bars: DataFrame, slot_rows: int = SLOT_ROWS) -> Column:
     return F.floor(unit / F.lit(slot_rows)).cast("int")
 
 
+# A slot's number within its calendar cell must stay below this.
+CELL_SLOTS = 1 << 32
+
+
+def keyed_by_slot(bars: DataFrame, slot_rows: int) -> DataFrame:
+    """Add `slot` and lay the bars out by (symbol, slot).
+
+    Slots are in the order of the dates and hold at most `slot_rows` bars.
+    Timestamps can be closer than an hour, so the bars of a calendar cell are
+    counted off. The layout is asked for here: a join by symbol before would
+    else leave a whole symbol in one task.
+    """
+    cell = slot_index(bars, slot_rows).cast("long")
+    if isinstance(bars.schema["date"].dataType, T.DateType):
+        return bars.withColumn("slot", cell).repartition("symbol", "slot")
+    by_date = Window.partitionBy("symbol", "cell").orderBy("date")
+    counted = bars.withColumn("cell", cell).repartition("symbol", "cell").withColumn(
+        "at", F.row_number().over(by_date) - 1)
+    return counted.withColumn(
+        "slot", F.col("cell") * CELL_SLOTS + F.expr(f"at div {slot_rows}")
+    ).drop("cell", "at")
+
+
 def priced(bars: DataFrame) -> DataFrame:
     """Drop the rows without a close (NULL or NaN)."""
     return bars.where(F.col("close").isNotNull() & ~F.isnan("close"))
@@ -174,11 +203,12 @@ def number_bars(
     earlier bars of the symbol, exact across slots.
     """
     bars = bars.drop("pos", "n_bars", "n_rows", "prev_close", "first_close")
+    # Nothing is left of earlier bars at ratio 0: the sum is the bar's own term.
+    own = tuple(d for d in decays if d.ratio == 0)
+    decays = tuple(d for d in decays if d.ratio > 0)
     for d in decays:
         slot_rows = min(slot_rows, scale_rows(d.ratio))
-    keyed = bars.withColumn("slot", slot_index(bars, slot_rows))
-    if decays:
-        keyed = priced(keyed)
+    keyed = keyed_by_slot(priced(bars) if decays or own else bars, slot_rows)
     heads = _slot_heads(keyed, decays)
 
     # The bars are laid out and sorted by (symbol, slot) already: a merge join
@@ -197,6 +227,11 @@ def number_bars(
         numbered = numbered.withColumn(
             d.name, F.pow(F.lit(d.ratio), F.col("j")) * (grown + carried)
         ).drop(f"grown_{d.name}", f"carry_{d.name}")
+    for d in own:
+        change = F.col("close") - F.col("prev_close")
+        numbered = numbered.withColumn(
+            d.name, F.col("close") if d.of == "close"
+            else F.coalesce(_directed(d, change), F.lit(0.0)))
     return numbered.drop(
         "slot", "offset", "carry_close", "first_in", "j", "before")
 

@@ -1,8 +1,9 @@
 """Search of all history for windows whose shape resembles a query.
 
 Windows are cut inside segments of at most SEGMENT_ROWS bars plus context, so
-the arrays stay small whatever a symbol's history. Ranking keeps, per query,
-the best M rows of every task, then of every group of tasks, then overall.
+the arrays stay small whatever a symbol's history. A search deals the library
+into pieces and the queries into lots of bounded size; a piece and a lot are one
+unit of work, which keeps the best M windows per query before anything moves.
 
 M = k * (2 * gap - 1) is enough for an exact choice of k windows: a chosen
 window rules out at most 2 * (gap - 1) others, so among the best M windows
@@ -23,13 +24,15 @@ from barweave.operators.panel import (
     SEGMENT_ROWS, last_bars, number_bars, with_context,
 )
 
+# The defaults of the search.
 STEP = 5
 HORIZON = 20
 CHECKS = (5, 10, 20)
 FAN = (10, 25, 50, 75, 90)
 MIN_MATCHES = 10
-MAX_QUERIES = 256  # per search; more are refused, not dropped
-TASK_GROUPS = 256
+# Queries that meet a library window in one row, about; pieces of the library.
+LOT = 256
+PIECES = 64
 
 
 def _segments(bars: DataFrame, back: int, ahead: int) -> DataFrame:
@@ -141,54 +144,56 @@ def prepare_queries(queries: DataFrame, window: int) -> DataFrame:
     ).where(F.col("zq").isNotNull())
 
 
-def _query_batch(queries: DataFrame, window: int) -> Column:
-    """All queries as one array value, refused beyond MAX_QUERIES."""
-    packed = prepare_queries(queries, window).agg(
-        F.collect_list(F.struct("query_id", "zq")).alias("qs"))
-    checked = packed.select(F.when(
-        F.size("qs") <= MAX_QUERIES, F.col("qs")
-    ).otherwise(F.raise_error(F.lit(
-        f"more than {MAX_QUERIES} queries in one search"))).alias("qs"))
-    return checked.scalar()
-
-
 def score(library: DataFrame, queries: DataFrame, window: int = 60) -> DataFrame:
     """Similarity (Pearson correlation) of every window to every query.
 
-    The queries travel as one value inside the scan of the library, so there
-    is no join and no shuffle.
+    Rows (query_id, symbol, widx, end_date, sim, lot, piece), laid out by lot and
+    piece. Any number of queries: each lot of about LOT travels as one array to
+    every piece of the library, and only the product leaves the pair.
     """
-    pairs = library.select(
-        "*", F.explode(_query_batch(queries, window)).alias("query"))
-    return pairs.select(
-        F.col("query.query_id").alias("query_id"), "symbol", "widx", "end_date",
-        "fut", (dot(F.col("x"), F.col("query.zq")) / F.lit(float(window)))
-        .alias("sim"))
+    shapes = prepare_queries(queries, window)
+    lots = max(1, -(-shapes.count() // LOT))
+    lot = F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")
+    packed = shapes.groupBy(lot.alias("lot")).agg(
+        F.collect_list(F.struct("query_id", "zq")).alias("qs"))
+    packed = packed.withColumn("piece", F.explode(F.sequence(
+        F.lit(0), F.lit(PIECES - 1))))
+    piece = F.pmod(F.xxhash64("symbol", "widx"), F.lit(PIECES)).cast("int")
+    dealt = library.select(
+        "symbol", "widx", "end_date", "x", piece.alias("piece"),
+        F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot")
+    ).repartition("lot", "piece")
+    x = F.col("x")
+    sims = F.transform("qs", lambda q: F.struct(
+        q["query_id"].alias("query_id"),
+        (dot(x, q["zq"]) / F.lit(float(window))).alias("sim")))
+    return dealt.join(packed, ["lot", "piece"]).select(
+        F.inline(sims), "symbol", "widx", "end_date", "lot", "piece")
 
 
 def best_windows(scored: DataFrame, m: int) -> DataFrame:
-    """The best m rows per query, narrowed in two rounds."""
+    """The best m rows per query: first of each piece, where the rows are, then
+    of what the pieces keep."""
     order = [F.col("sim").desc(), F.col("symbol"), F.col("widx").desc()]
-    near = Window.partitionBy("query_id", "task_group").orderBy(*order)
+    near = Window.partitionBy("lot", "piece", "query_id").orderBy(*order)
     whole = Window.partitionBy("query_id").orderBy(*order)
-    grouped = scored.withColumn(
-        "task_group", F.spark_partition_id() % TASK_GROUPS)
-    local = grouped.withColumn("at", F.row_number().over(near)).where(
-        F.col("at") <= m)
+    local = scored.withColumn("at", F.row_number().over(near)).where(
+        F.col("at") <= m).drop("lot", "piece")
     return local.withColumn("at", F.row_number().over(whole)).where(
-        F.col("at") <= m).drop("task_group")
+        F.col("at") <= m)
 
 
-def choose(scored: DataFrame, window: int = 60, k: int = 100,
+def choose(scored: DataFrame, library: DataFrame, window: int = 60, k: int = 100,
            step: int = STEP) -> DataFrame:
     """Greedy choice of k windows per query, apart within each symbol.
 
     Rows (query_id, rank, n, symbol, widx, end_date, sim, fut), best first.
-    Queries with fewer than MIN_MATCHES windows give no rows.
+    Queries with fewer than MIN_MATCHES windows give no rows. Only the chosen
+    windows look up their outcomes in the library.
     """
     gap = max(1, window // (2 * step))
     best = best_windows(scored, k * (2 * gap - 1))
-    entry = F.struct("at", "symbol", "widx", "end_date", "sim", "fut")
+    entry = F.struct("at", "symbol", "widx", "end_date", "sim")
     listed = best.groupBy("query_id").agg(
         F.array_sort(F.collect_list(entry)).alias("rows"))
 
@@ -204,9 +209,12 @@ def choose(scored: DataFrame, window: int = 60, k: int = 100,
     ranked = taken.where(F.size("taken") >= MIN_MATCHES).select(
         "query_id", F.size("taken").alias("n"),
         F.posexplode("taken").alias("i", "m"))
-    return ranked.select(
+    placed = ranked.select(
         "query_id", (F.col("i") + 1).alias("rank"), "n", "m.symbol", "m.widx",
-        "m.end_date", "m.sim", "m.fut")
+        "m.end_date", "m.sim")
+    return placed.join(
+        library.select("symbol", "widx", "fut"), ["symbol", "widx"]).select(
+        "query_id", "rank", "n", "symbol", "widx", "end_date", "sim", "fut")
 
 
 def matches(chosen: DataFrame) -> DataFrame:
@@ -258,4 +266,4 @@ def find_similar(
     library: DataFrame, queries: DataFrame, window: int = 60, k: int = 100
 ) -> DataFrame:
     """The chosen windows; feed them to the four result functions."""
-    return choose(score(library, queries, window), window, k)
+    return choose(score(library, queries, window), library, window, k)

@@ -70,8 +70,9 @@ def rolling_median(series: DataFrame, value: str, width: int = 5) -> DataFrame:
     Needs `length`; adds `smooth`.
     """
     half = width // 2
+    size = max(SEGMENT_ROWS, half)
     laid = with_context(
-        series.withColumn("n_bars", F.col("length")), half, half)
+        series.withColumn("n_bars", F.col("length")), half, half, size)
     frame = Window.partitionBy("series_id", "seg").orderBy("pos").rowsBetween(
         -half, half)
     near = F.array_sort(F.collect_list(value).over(frame))
@@ -80,7 +81,7 @@ def rolling_median(series: DataFrame, value: str, width: int = 5) -> DataFrame:
     low = F.get("near", F.floor((count - 1) / 2).cast("int"))
     high = F.get("near", F.floor(count / 2).cast("int"))
     laid = laid.withColumn("smooth", low + (high - low) * F.lit(0.5))
-    return owned(laid, SEGMENT_ROWS).drop("n_bars", "near")
+    return owned(laid, size).drop("n_bars", "near")
 
 
 def resample_series(series: DataFrame, value: str, n: int) -> DataFrame:

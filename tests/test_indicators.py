@@ -4,8 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barweave.operators.indicators import add_indicators
+from barweave.operators.indicators import (
+    add_ema, add_indicators, add_macd, add_rsi,
+)
 from barweave.operators.panel import number_bars
+from barweave.operators.quality import min_history
 from barweave.operators.signals import (
     latest_signals, latest_state, signal_columns,
 )
@@ -89,3 +92,61 @@ def test_one_exchange_per_layout(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(symbol" in plan and "SortMergeJoin" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def close_to(got, want):
+    a, b = np.asarray(got, float), np.asarray(want, float)
+    assert (np.isnan(a) == np.isnan(b)).all()
+    assert np.nanmax(abs(a - b)) < 1e-7
+
+
+def test_any_parameters(spark):
+    """Long signals and windows, and memories of one bar."""
+    close = pd.Series(walk(11, 7000))
+    panel = bars(spark, frame("a", close.to_numpy()))
+    got = add_indicators(panel, windows=(5, 3000), rsi_period=1, signal=200,
+                         fast=1, slow=30).orderBy("date").toPandas()
+    macd = close - close.ewm(span=30, adjust=False).mean()
+    close_to(got.macd, macd)
+    close_to(got.macd_signal, macd.ewm(span=200, adjust=False).mean())
+    close_to(got.sma3000, close.rolling(3000).mean())
+    change = close.diff()
+    rsi = np.where(change > 0, 100.0, np.where(change < 0, 0.0, np.nan))
+    close_to(got.rsi, rsi)
+    alone = add_macd(panel, signal=200).orderBy("date").toPandas()
+    full = (close.ewm(span=12, adjust=False).mean()
+            - close.ewm(span=26, adjust=False).mean())
+    close_to(alone.macd_signal, full.ewm(span=200, adjust=False).mean())
+    close_to(add_macd(panel, signal=1).orderBy("date").toPandas().macd_hist, full * 0)
+    close_to(add_ema(panel, 1).orderBy("date").toPandas().ema, close)
+
+
+def test_minute_and_second_bars(spark):
+    close = pd.Series(walk(12, 20000))
+    for step in ("1min", "1s"):
+        data = pd.DataFrame({
+            "symbol": "m", "date": pd.date_range("2024-01-01", periods=20000, freq=step),
+            "open": close, "high": close, "low": close, "close": close, "volume": 1.0})
+        panel = spark.createDataFrame(data, "symbol string, date timestamp_ntz, "
+                                      "open double, high double, low double, "
+                                      "close double, volume double")
+        got = add_ema(panel, 20).orderBy("date").toPandas()
+        close_to(got.ema, close.ewm(span=20, adjust=False).mean())
+        close_to(add_rsi(panel).orderBy("date").toPandas().rsi, plain(close).rsi)
+
+
+def test_hot_symbol_is_split_behind_a_join(spark):
+    """Whatever a join by symbol leaves, bars are sorted by symbol and slot."""
+    panel = bars(spark, frame("a", walk(1, 300)), frame("b", walk(2, 300)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = number_bars(min_history(panel, 200))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joined = [k for k, line in enumerate(plan.splitlines()) if "LeftSemi" in line]
+    laid = [k for k, line in enumerate(plan.splitlines())
+            if "hashpartitioning(symbol" in line and "slot" in line]
+    assert joined and laid and min(laid) < min(joined)
+    assert all(any(a < j for a in laid) for j in joined)

@@ -68,3 +68,21 @@ def test_too_few_matches_or_flat_query_give_nothing(spark):
         [("few", walk(2, 60).tolist()), ("flat", [1.0] * 60)],
         "query_id string, q array<double>")
     assert patterns.find_similar(library, shapes).count() == 0
+
+
+def test_many_queries(spark, monkeypatch):
+    """Several lots and pieces give what each query gives alone."""
+    monkeypatch.setattr(patterns, "LOT", 40)
+    panel = bars(spark, *[frame(f"s{i}", walk(i, 140)) for i in range(300)])
+    library = patterns.build_library(panel)
+    shapes = patterns.last_shapes(panel)
+    assert shapes.count() == 300
+    found = patterns.find_similar(library, shapes, k=12)
+    got = {}
+    for row in found.select("query_id", "rank", "symbol", "widx").collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.symbol, row.widx))
+    assert len(got) == 300
+    closes = {f"s{i}": walk(i, 140) for i in range(300)}
+    for name in ("s0", "s7", "s299"):
+        want = brute(closes, closes[name][-60:], 60, 12)
+        assert [r[1:] for r in sorted(got[name])] == [w[:2] for w in want]

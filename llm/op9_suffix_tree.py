@@ -36,6 +36,8 @@ WORD_SHARE = 2e-7
 GAIN = 10.0
 #: Weight of the suffix's distribution, in counts.
 PRIOR = 16.0
+#: Distinct keys that a counting task holds before it merges or hands them on.
+HELD = 1 << 20
 #: Slots of the table of frequent positions.
 SLOTS = 1 << 21
 
@@ -101,17 +103,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))],
             ["kind", "key", "n"])
 
+    def merged(kind: int) -> None:
+        if found[kind]:
+            found[kind] = [tally(np.concatenate([k for k, _ in found[kind]]),
+                                 np.concatenate([n for _, n in found[kind]]))]
+
+    def size(kind: int) -> int:
+        return sum(len(k) for k, _ in found[kind])
+
+    found: dict[int, list] = {0: [], 1: []}
     for whole in batches:
-        found: dict[int, list] = {0: [], 1: []}
         for batch in sliced(whole, "text"):
             part = as_slice([t.tobytes() for t in rows_of(batch.column("text"))])
             found[0].append(tally(part.words()[0]))
             found[1].append(tally(part.codes()))
-        for kind, parts in found.items():
-            if parts:
-                yield out(kind, *tally(np.concatenate([k for k, _ in parts]),
-                                       np.concatenate([n for _, n in parts])))
+            for kind in found:
+                if size(kind) > HELD:
+                    merged(kind)
+                    if size(kind) > HELD // 2:
+                        yield out(kind, *found[kind].pop())
         yield out(2, np.zeros(1, np.uint64), np.array([whole.num_rows]))
+    for kind in found:
+        merged(kind)
+        if found[kind]:
+            yield out(kind, *found[kind].pop())
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -182,8 +197,7 @@ class Tree:
             lower_states = names[keep]
             pair = keep[owner]
             self.pairs.append((codes[pair], np.log10(share[pair])))
-            self.states.append((names[keep],
-                                np.log10(back[keep])))
+            self.states.append((names[keep], np.log10(back[keep])))
         self.slots = np.zeros(SLOTS, np.uint64)
         self.values = np.full(SLOTS, np.nan, np.float32)
         deepest, counts = grams[-1]

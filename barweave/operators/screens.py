@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barweave.operators.universe import in_group, in_sector
 
+# The displayed columns and the thresholds of the screens.
 SCREEN_COLUMNS = (
     "symbol", "name", "sector", "close", "rsi", "rsi_label", "macd_label",
     "trend", "bb_signal", "vol_ratio", "forecast_1w_pct",

@@ -44,9 +44,11 @@ def index_members(listing: DataFrame) -> DataFrame:
 
 
 def first_of_group(universe: DataFrame, group: str, n: int) -> DataFrame:
-    """The first n symbols of one group; other groups stay whole."""
-    rest = universe.where(F.col("group") != group)
-    head = universe.where(F.col("group") == group).orderBy(
+    """The first n symbols of one group; other groups, and rows without one, stay
+    whole."""
+    own = F.col("group").eqNullSafe(F.lit(group))
+    rest = universe.where(~own)
+    head = universe.where(own).orderBy(
         "symbol", "name", "sector").limit(n)
     return rest.unionByName(head)
 
@@ -118,6 +120,13 @@ def with_listing(df: DataFrame, universe: DataFrame) -> DataFrame:
         *others)
 
 
+def split_listed(bars: DataFrame, universe: DataFrame) -> DataFrame:
+    """Add `listed`: whether the universe has the bar's symbol, in one pass."""
+    known = universe.select("symbol", F.lit(True).alias("listed")).distinct()
+    return bars.join(known, "symbol", "left").withColumn(
+        "listed", F.coalesce("listed", F.lit(False)))
+
+
 def purge_orphans(bars: DataFrame, universe: DataFrame) -> DataFrame:
     """Bars of listed symbols only."""
     return bars.join(universe.select("symbol"), "symbol", "left_semi")

@@ -21,6 +21,7 @@ UNIVERSE = T.StructType(
     [T.StructField(c, STRING) for c in ("symbol", "name", "group", "sector")]
 )
 
+# The columns of the indicator and summary tables.
 INDICATOR_COLUMNS = (
     "sma5", "sma20", "sma50", "rsi", "macd", "macd_signal", "macd_hist",
     "bb_mid", "bb_upper", "bb_lower",

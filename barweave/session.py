@@ -1,22 +1,13 @@
 """Session settings and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the runtime SQL options the operators count on.
-
-    Dates are compared as UTC. The top-M step of the pattern search ranks up
-    to a few ten thousand rows per query; raising the group-limit threshold
-    lets every task prune to M before the shuffle.
-    """
+    """Options of our own sessions: dates are compared as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
     return spark
 
 
@@ -39,11 +30,10 @@ def local_session(cpus: str = "*", app: str = "barweave") -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared folder.
+    """A fresh path in a folder that all executors share.
 
-    Only where no shared folder is configured (local runs) a machine-local
-    temporary folder serves.
+    `spark.checkpoint.dir` where it is set, else the warehouse.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="barweave-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.operators.universe import keep_last
@@ -11,18 +11,26 @@ from barweave.schemas import BAR_FILE, PRICE_COLUMNS, UNIVERSE
 
 def read_bar_files(spark: SparkSession, path: str) -> DataFrame:
     """CSV files, one per symbol: `<symbol>.csv`, or any file in a folder
-    `symbol=<symbol>`. The symbol may contain dots."""
+    `symbol=<symbol>`. The symbol may hold any character. A file whose header
+    names the columns in another order is an error."""
     raw = spark.read.schema(BAR_FILE).option("header", True).option(
-        "recursiveFileLookup", True).csv(path)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "/symbol=([^/]+)/", 1)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    symbol = F.when(folder != "", F.url_decode(folder)).otherwise(F.url_decode(stem))
+        "enforceSchema", False).option("recursiveFileLookup", True).csv(path)
+    # The path is a URI; a partition folder is escaped once more by its writer.
+    place = _percent_decoded(F.col("_metadata.file_path"))
+    folder = F.regexp_extract(place, "/symbol=([^/]+)/", 1)
+    stem = F.regexp_extract(place, r"([^/]*)\.csv$", 1)
+    symbol = F.when(folder != "", _percent_decoded(folder)).otherwise(stem)
     return raw.select(
         symbol.alias("symbol"), F.col("Date").alias("date"),
         *[F.nanvl(F.col(c.capitalize()), F.lit(None).cast("double")).alias(c)
           for c in PRICE_COLUMNS])
 
 
+def _percent_decoded(text: Column) -> Column:
+    """Percent escapes decoded once; unlike in forms, a plus sign is itself."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def read_closes(bars: DataFrame) -> DataFrame:
     """Only what the pattern library needs; the scan prunes the rest."""
     return bars.select("symbol", "date", "close")

@@ -1,11 +1,11 @@
 """Stored bar tables and exports.
 
-Bars are stored in hash buckets of the symbol (`bucket=<n>` folders), sorted
-by (symbol, date) inside the files. A folder per symbol would mean one tiny
-file per symbol; a bucket folder still prunes a lookup to one bucket, and the
-row-group statistics prune inside it. Within a bucket rows are spread over
-`files_per_bucket` files by symbol and calendar slot, so one symbol with very
-many bars is not one file.
+Bars are stored in hash buckets of the symbol (`bucket=<n>` folders), sorted by
+(symbol, date) inside the files. A folder per symbol would mean one tiny file per
+symbol; a bucket folder still prunes a lookup to one bucket, and the row-group
+statistics prune inside it. Spark splits the rows of a bucket over as many tasks
+as their size asks for, and files end at `FILE_ROWS` rows. The number of buckets
+is kept with the table, in its folder `_layout`.
 """
 
 from __future__ import annotations
@@ -16,24 +16,35 @@ from pyspark.sql import functions as F
 from barweave.functions.rounding import round_columns
 from barweave.operators.panel import slot_index
 
-BUCKETS = 16
+BUCKETS = 64
+FILE_ROWS = 20_000_000
 
 
-def bucket_of(symbol: Column, n_buckets: int = BUCKETS) -> Column:
+def bucket_of(symbol: Column, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(symbol), F.lit(n_buckets)).cast("int")
 
 
-def write_bars(bars: DataFrame, path: str, n_buckets: int = BUCKETS,
-               files_per_bucket: int = 1, mode: str = "overwrite") -> None:
-    """Store a bar panel, raw or enriched."""
-    part = F.pmod(F.xxhash64("symbol", slot_index(bars)), F.lit(files_per_bucket))
-    laid = bars.select(
-        "*", bucket_of(F.col("symbol"), n_buckets).alias("bucket"),
-        part.alias("part")
-    ).repartition(n_buckets * files_per_bucket, "bucket", "part")
-    laid.sortWithinPartitions("bucket", "symbol", "date").drop("part").write.option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket").mode(
-        mode).parquet(path)
+def _write_buckets(bars: DataFrame, path: str, n_buckets: int, scope: str) -> None:
+    """`scope`: "static" replaces the table, "dynamic" the buckets that occur."""
+    laid = bars.withColumn("bucket", bucket_of(F.col("symbol"), n_buckets))
+    laid.hint("rebalance", "bucket").sortWithinPartitions(
+        "bucket", "symbol", "date").write.option(
+        "partitionOverwriteMode", scope).option(
+        "maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").mode(
+        "overwrite").parquet(path)
+
+
+def write_bars(bars: DataFrame, path: str, n_buckets: int = BUCKETS) -> None:
+    """Store a bar panel, raw or enriched, in place of what the path held."""
+    _write_buckets(bars, path, n_buckets, "static")
+    bars.sparkSession.range(1).select(
+        F.lit(n_buckets).alias("n_buckets")).write.mode("overwrite").parquet(
+        f"{path}/_layout")
+
+
+def layout(spark: SparkSession, path: str) -> int:
+    """Number of buckets of a stored panel."""
+    return spark.read.parquet(f"{path}/_layout").first().n_buckets
 
 
 def write_enriched(enriched: DataFrame, path: str, **layout) -> None:
@@ -45,28 +56,30 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
-def read_symbol(spark: SparkSession, path: str, symbol: str,
-                n_buckets: int = BUCKETS) -> DataFrame:
+def read_symbol(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """One symbol's stored history: one bucket, then by statistics."""
     return spark.read.parquet(path).where(
-        (F.col("bucket") == bucket_of(F.lit(symbol), n_buckets))
+        (F.col("bucket") == bucket_of(F.lit(symbol), layout(spark, path)))
         & (F.col("symbol") == symbol)).drop("bucket")
 
 
-def refresh_symbols(spark: SparkSession, fresh: DataFrame, path: str,
-                    n_buckets: int = BUCKETS, files_per_bucket: int = 1) -> None:
+def refresh_symbols(spark: SparkSession, fresh: DataFrame, path: str) -> None:
     """Replace the stored bars of just the symbols present in `fresh`.
 
-    Only their buckets are rewritten (dynamic partition overwrite); the other
-    symbols of those buckets are carried over.
+    Only their buckets are rewritten; the other symbols of those buckets are
+    carried over. The new buckets are complete in the folder `_refresh` before
+    any old one is replaced, so a failure at either step loses nothing.
     """
+    n_buckets = layout(spark, path)
     names = fresh.select("symbol").distinct()
     touched = names.select(
         bucket_of(F.col("symbol"), n_buckets).alias("bucket")).distinct()
     stored = spark.read.parquet(path)
     kept = stored.join(touched, "bucket", "left_semi").join(
         names, "symbol", "left_anti").select(*fresh.columns)
-    write_bars(kept.unionByName(fresh), path, n_buckets, files_per_bucket)
+    staged = f"{path}/_refresh"
+    _write_buckets(kept.unionByName(fresh), staged, n_buckets, "static")
+    _write_buckets(read_bars(spark, staged), path, n_buckets, "dynamic")
 
 
 def write_table(df: DataFrame, path: str) -> None:

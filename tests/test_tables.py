@@ -57,11 +57,11 @@ def test_store_refresh_and_lookup(spark, tmp_path):
     panel = bars(spark, *[frame(s, walk(i, 120)) for i, s in enumerate("abcdef")])
     sinks.write_bars(panel, path, n_buckets=4)
     fresh = bars(spark, frame("b", [1.0, 2.0]))
-    sinks.refresh_symbols(spark, fresh, path, n_buckets=4)
+    sinks.refresh_symbols(spark, fresh, path)
     sizes = {r.symbol: r["count"] for r in
              sinks.read_bars(spark, path).groupBy("symbol").count().collect()}
     assert sizes == {"a": 120, "b": 2, "c": 120, "d": 120, "e": 120, "f": 120}
-    one = sinks.read_symbol(spark, path, "c", n_buckets=4)
+    one = sinks.read_symbol(spark, path, "c")
     assert one.count() == 120
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution(
     ).executedPlan().toString()
@@ -97,3 +97,52 @@ def test_series_cleaning(spark, n):
     for name, values in want.items():
         got = out[out.series_id == name].value.to_numpy()
         assert len(got) == n and np.allclose(got, values)
+
+
+def test_store_overwrite_and_layouts(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    panel = bars(spark, *[frame(s, walk(i, 150)) for i, s in enumerate("ab")])
+    sinks.write_bars(panel, path)
+    sinks.write_bars(panel.where("symbol = 'a'"), path, n_buckets=7)
+    assert {r.symbol for r in sinks.read_bars(spark, path).collect()} == {"a"}
+    sinks.write_bars(panel, path, n_buckets=7)
+    assert sinks.layout(spark, path) == 7
+    assert sinks.read_symbol(spark, path, "b").count() == 150
+    sinks.refresh_symbols(spark, bars(spark, frame("b", walk(5, 10))), path)
+    assert sinks.read_symbol(spark, path, "b").count() == 10
+    assert sinks.read_symbol(spark, path, "a").count() == 150
+    assert sinks.read_bars(spark, path).count() == 160
+
+
+def test_closes_of_a_stored_panel_read_three_columns(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    sinks.write_bars(bars(spark, frame("a", walk(1, 20))), path)
+    closes = files.read_closes(sinks.read_bars(spark, path))
+    plan = closes._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<symbol:string,date:date,close:double>" in plan
+
+
+def test_symbol_names_survive_files(spark, tmp_path):
+    names = ["^N225", "A+B", "A B", "A:B", "8729.T", "A%2BC", "é", "A=B"]
+    panel = bars(spark, *[frame(n, walk(i, 3)) for i, n in enumerate(names)])
+    sinks.export_bar_files(panel, str(tmp_path / "out"))
+    back = files.read_bar_files(spark, str(tmp_path / "out"))
+    assert sorted(back.collect()) == sorted(panel.collect())
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    for n in ("^N225", "A+B", "8729.T"):
+        (plain / f"{n}.csv").write_text(
+            "Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,10\n")
+    got = files.read_bar_files(spark, str(plain))
+    assert sorted(r.symbol for r in got.collect()) == ["8729.T", "A+B", "^N225"]
+    (plain / "X.csv").write_text(
+        "Date,Close,Open,High,Low,Volume\n2024-01-02,1,2,0.5,1.5,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_bar_files(spark, str(plain)).collect()
+
+
+def test_first_of_group_keeps_rows_without_group(spark):
+    rows = spark.createDataFrame([("A", "x", None, "s"), ("B", "y", "small", "s"),
+                                  ("C", "z", "small", "s"), ("D", "z", "us", "s")], UNIVERSE)
+    kept = {r.symbol for r in universe.first_of_group(rows, "small", 1).collect()}
+    assert kept == {"A", "B", "D"}

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.operators.panel import number_bars
-from barweave.session import tune
 from barweave.sources.adapters import (
     bars_from_lineitem, read_table, universe_from_supplier,
 )
@@ -20,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(build):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Tables(tune(spark), folder))
+            return build(Tables(spark, folder))
 
         QUERIES[name] = run
         if sql is not None:

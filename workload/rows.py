@@ -11,7 +11,7 @@ from barweave.operators import patterns, quality, screens
 from barweave.operators.forecast import weekday_effect
 from barweave.operators.universe import (
     exchange_members, first_of_group, in_group, in_sector, index_members,
-    orphans, purge_orphans, size_group, with_listing,
+    size_group, split_listed, with_listing,
 )
 from barweave.plans.summary import build_summary
 from barweave.schemas import DOMESTIC_MARKET, SIZE_TO_GROUP
@@ -197,11 +197,7 @@ def listing_lookup(t):
   LEFT JOIN (SELECT symbol FROM universe WHERE "group" = 'us') u USING (symbol)""",
     "bars", "universe"))
 def orphan_split(t):
-    listed = in_group(t.universe, "us")
-    keep = purge_orphans(t.bars, listed).select(
-        "symbol", "date", F.lit(True).alias("listed"))
-    return keep.unionByName(orphans(t.bars, listed).select(
-        "symbol", "date", F.lit(False).alias("listed")))
+    return split_listed(t.bars.select("symbol", "date"), in_group(t.universe, "us"))
 
 
 @query("j3_score_windows", sql("""
@@ -305,8 +301,7 @@ def symbol_order(t):
     'SELECT symbol, name, "group", sector FROM exchange', "exchange"))
 def concat_groups(t):
     members = exchange_members(exchange_listing_from_part(t.table("part")))
-    return in_group(members, "large").unionByName(
-        in_group(members, "mid")).unionByName(in_group(members, "small"))
+    return members.where(F.col("group").isin("large", "mid", "small"))
 
 
 @query("u2_concat_sources", sql("""

@@ -45,7 +45,9 @@ def scan_enriched(t):
 
 @query("s3_scan_closes", sql('SELECT symbol, date, "close" FROM bars', "bars"))
 def scan_closes(t):
-    return files.read_closes(t.bars)
+    path = scratch_dir(t.spark, "bars")
+    sinks.write_bars(t.bars, path)
+    return files.read_closes(sinks.read_bars(t.spark, path))
 
 
 @query("s4_scan_summary", sql("SELECT * FROM summary", "summary"))
@@ -73,26 +75,21 @@ def scan_universe(t):
 @query("s7_exchange_listing", sql(
     'SELECT symbol, name, "group", sector FROM exchange', "exchange"))
 def exchange_listing(t):
-    path = scratch_dir(t.spark, "listing")
     listing = exchange_listing_from_part(t.table("part"))
-    sinks.write_table(listing.select(
+    landed = listing.select(
         F.col("market").alias("市場・商品区分"), F.col("size").alias("規模区分"),
         F.col("code").alias("コード"), F.col("name").alias("銘柄名"),
-        F.col("sector").alias("33業種区分")), path)
-    return exchange_members(files.read_exchange_list(t.spark.read.parquet(path)))
+        F.col("sector").alias("33業種区分"))
+    return exchange_members(files.read_exchange_list(landed))
 
 
 @query("s8_index_listing", sql("SELECT * FROM constituents", "constituents"))
 def index_listing(t):
-    path = scratch_dir(t.spark, "index")
     listing = index_listing_from_part(t.table("part"))
-    sinks.write_table(listing.select(
+    landed = listing.select(
         F.col("symbol").alias("Symbol"), F.col("security").alias("Security"),
-        F.col("sector").alias("GICS Sector")), path)
-    return index_members(files.read_index_list(t.spark.read.parquet(path)))
-
-
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+        F.col("sector").alias("GICS Sector"))
+    return index_members(files.read_index_list(landed))
 
 
 @query("s9_long_from_wide", """
@@ -103,17 +100,18 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
   FROM events GROUP BY 1, 2""")
 def long_from_wide(t):
     fields = ["open", "high", "low", "close", "volume"]
-    wide = bars_from_events(t.table("events")).groupBy("date").pivot(
-        "symbol", EVENT_TYPES).agg(*[F.first(f).alias(f) for f in fields])
+    wide = bars_from_events(t.table("events")).groupBy("date").pivot("symbol").agg(
+        *[F.first(f).alias(f) for f in fields])
+    symbols = [c.removesuffix("_open") for c in wide.columns if c.endswith("_open")]
     wide = wide.select("date", *[
-        F.col(f"{s}_{f}").alias(f"{s}|{f}") for s in EVENT_TYPES for f in fields])
-    return files.long_from_wide(wide, EVENT_TYPES + ["absent"])
+        F.col(f"{s}_{f}").alias(f"{s}|{f}") for s in symbols for f in fields])
+    return files.long_from_wide(wide, symbols + ["absent"])
 
 
 @query("k1_sink_bars", sql(f"SELECT {BAR_FIELDS} FROM bars", "bars"))
 def sink_bars(t):
     path = scratch_dir(t.spark, "bars")
-    sinks.write_bars(t.bars, path, files_per_bucket=2)
+    sinks.write_bars(t.bars, path)
     return sinks.read_bars(t.spark, path)
 
 

@@ -17,13 +17,14 @@ from workload.registry import query, rounded
 from workload.sql import sql
 
 BAR_FIELDS = 'symbol, date, "open", high, low, "close", volume'
-# Three decimals, without the columns whose third decimal is a rounding tie.
-STORED = """symbol, date, "close", round(sma5, 3) + 0.0 AS sma5,
+# Three decimals, without sma20 and bb_mid: the mean of twenty prices in cents
+# ends in a tie of the third decimal, which sums in another order decide otherwise.
+STORED = """symbol, date, "open", high, low, "close", volume, round(sma5, 3) + 0.0 AS sma5,
   round(sma50, 3) + 0.0 AS sma50, round(rsi, 3) + 0.0 AS rsi,
   round(macd, 3) + 0.0 AS macd, round(macd_signal, 3) + 0.0 AS macd_signal,
   round(macd_hist, 3) + 0.0 AS macd_hist, round(bb_upper, 3) + 0.0 AS bb_upper,
   round(bb_lower, 3) + 0.0 AS bb_lower"""
-STORED_COLUMNS = ("symbol", "date", "close", "sma5", "sma50", "rsi", "macd",
+STORED_COLUMNS = ("symbol", "date", "open", "high", "low", "close", "volume", "sma5", "sma50", "rsi", "macd",
                   "macd_signal", "macd_hist", "bb_upper", "bb_lower")
 
 
@@ -40,7 +41,7 @@ def scan_enriched(t):
     path = scratch_dir(t.spark, "enriched")
     sinks.write_enriched(add_indicators(t.bars), path)
     return rounded(sinks.read_symbol(t.spark, path, "1").select(*STORED_COLUMNS),
-                   3, *STORED_COLUMNS[3:])
+                   3, *STORED_COLUMNS[7:])
 
 
 @query("s3_scan_closes", sql('SELECT symbol, date, "close" FROM bars', "bars"))
@@ -120,7 +121,7 @@ def sink_enriched(t):
     path = scratch_dir(t.spark, "enriched")
     sinks.write_enriched(add_indicators(t.bars), path)
     return rounded(sinks.read_bars(t.spark, path).select(*STORED_COLUMNS),
-                   3, *STORED_COLUMNS[3:])
+                   3, *STORED_COLUMNS[7:])
 
 
 @query("k3_sink_summary", sql("SELECT * FROM summary", "summary"))
@@ -170,16 +171,14 @@ def refresh_symbols(t):
     return sinks.read_bars(t.spark, path)
 
 
-@query("k7_purge_orphans", sql("""
-  SELECT symbol, date, "close", rsi, macd FROM (
-    SELECT e.symbol, e.date, e."close", round(e.rsi, 3) + 0.0 AS rsi,
-      round(e.macd, 3) + 0.0 AS macd
-    FROM enriched e JOIN universe u USING (symbol) WHERE u."group" <> 'us')""",
+@query("k7_purge_orphans", sql(f"""
+  SELECT {STORED} FROM enriched
+  WHERE symbol IN (SELECT symbol FROM universe WHERE "group" <> 'us')""",
     "enriched", "universe"))
 def purge_stored(t):
     old, new = scratch_dir(t.spark, "enriched"), scratch_dir(t.spark, "purged")
     sinks.write_enriched(add_indicators(t.bars), old)
     listed = in_group(t.universe, "jp")
     sinks.write_bars(purge_orphans(sinks.read_bars(t.spark, old), listed), new)
-    return rounded(sinks.read_bars(t.spark, new).select(
-        "symbol", "date", "close", "rsi", "macd"), 3, "rsi", "macd")
+    return rounded(sinks.read_bars(t.spark, new).select(*STORED_COLUMNS),
+                   3, *STORED_COLUMNS[7:])

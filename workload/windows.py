@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barweave.operators import indicators as ind
-from barweave.operators import patterns, series
+from barweave.operators import patterns, screens, series
 from barweave.operators.forecast import drift_aggregates, weekday_effect
 from barweave.operators.panel import last_bars
 from barweave.operators.signals import (
@@ -119,6 +119,35 @@ def rsi_zone(t):
         "symbol", "pos", rsi_label(F.col("rsi")).alias("rsi_label"))
 
 
+# With two bars of memory every zone occurs; the weights 1/2 per bar cancel.
+part("rsi2", """
+  SELECT symbol, pos, CASE WHEN pos >= 2 THEN 100 * g / nullif(g + l, 0) END AS rsi
+  FROM (SELECT symbol, pos,
+      sum(greatest(change, 0) * pow(2.0, pos)) OVER w AS g,
+      sum(greatest(-change, 0) * pow(2.0, pos)) OVER w AS l
+    FROM (SELECT symbol, row_number() OVER o - 1 AS pos,
+        coalesce("close" - lag("close") OVER o, 0) AS change
+      FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY date))
+    WINDOW w AS (PARTITION BY symbol ORDER BY pos ROWS UNBOUNDED PRECEDING))""",
+    "bars")
+
+
+@query("w12_rsi_zone_short_memory", sql("""
+  SELECT symbol, pos, CASE WHEN rsi IS NULL THEN 'na' WHEN rsi >= 70 THEN 'overbought'
+    WHEN rsi <= 30 THEN 'oversold' ELSE 'neutral' END AS rsi_label FROM rsi2""",
+    "rsi2"))
+def rsi_zone_short_memory(t):
+    return ind.add_rsi(t.bars, 2).select(
+        "symbol", "pos", rsi_label(F.col("rsi")).alias("rsi_label"))
+
+
+@query("c1_oversold_every_bar", sql("""
+  SELECT symbol, pos, round(rsi, 6) + 0.0 AS rsi FROM rsi2 WHERE rsi <= 30""", "rsi2"))
+def oversold_every_bar(t):
+    return screens.oversold(ind.add_rsi(t.bars, 2)).select(
+        "symbol", "pos", r("rsi", 6).alias("rsi"))
+
+
 @query("w13_sma_trend", sql("""
   SELECT symbol, date, CASE WHEN sma5 > sma20 AND sma20 > sma50 THEN 'up'
     WHEN sma5 < sma20 AND sma20 < sma50 THEN 'down' ELSE 'flat' END AS trend
@@ -137,6 +166,15 @@ def band_touch(t):
         F.col("close"), F.col("bb_upper"), F.col("bb_lower")).alias("bb_signal"))
 
 
+@query("c3_band_touch_every_bar", sql("""
+  SELECT * FROM (SELECT symbol, date,
+      CASE WHEN "close" >= sma20 + 2 * std20 THEN 'upper_touch'
+        WHEN "close" <= sma20 - 2 * std20 THEN 'lower_touch' ELSE '' END AS bb_signal
+    FROM roll) WHERE bb_signal <> ''""", "roll"))
+def band_touch_every_bar(t):
+    return screens.band_touch(band_touch(t))
+
+
 @query("w15_volume_ratio", sql("""
   SELECT symbol, round(CASE WHEN vol_avg > 0 THEN volume / vol_avg ELSE 0 END, 6) + 0.0
     AS vol_ratio FROM roll WHERE age = 0""", "roll"))

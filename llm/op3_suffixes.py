@@ -71,7 +71,7 @@ def anchors(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
 def shared_prefixes(strings: list[bytes]) -> np.ndarray:
     """Length of the common prefix of each string with the one before; 0 for the first."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    wide = int(sizes.max())
+    wide = max(1, int(sizes.max()))
     grid = np.frombuffer(b"".join([s.ljust(wide, b"\0") for s in strings]), np.uint8)
     grid = grid.reshape(-1, wide)
     out = np.zeros(len(strings), np.int64)

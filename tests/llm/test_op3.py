@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from llm.op3_suffixes import decoded, front_coded, merge, op3_suffixes, removed
+from llm.op3_suffixes import (
+    decoded, front_coded, merge, op3_suffixes, removed, shared_prefixes,
+)
 from tests.llm.brute import table
 
 FOLDER = "/root/testdata/sf0.01"
@@ -60,6 +62,11 @@ def test_merge_of_runs():
             before = after
 
 
+def test_shared_prefixes():
+    assert shared_prefixes([b"", b""]).tolist() == [0, 0]
+    assert shared_prefixes([b"", b"a", b"a\0", b"ab", b"ab"]).tolist() == [0, 0, 1, 1, 2]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_texts(spark, seed):
     draw = random.Random(seed)

@@ -14,12 +14,16 @@ come for free. They say how far the suffixes of one anchor agree to the right; s
 what precedes them says how far they agree to the left; both together say which windows
 around the anchor occur twice.
 
-Equal texts are sorted once: their windows all repeat.
+Equal texts are sorted once: their windows all repeat. An anchor with more than `HOT`
+places is dealt out further: the windows that start 0 to 200 bytes before it are cut into
+`CUTS` ranges, and the windows of a range that can be equal share the bytes that all of
+them cover, so the hash of these bytes names the partition.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,9 @@ LENGTH = 400
 GRAM = 200
 #: Raw bytes of suffixes that a task sorts into one run.
 RUN_BYTES = 24 << 20
+#: Places of an anchor beyond which it is dealt out by what surrounds it.
+HOT = 20_000
+CUTS = 8
 #: Bytes of a text in which anchors are sought at a time.
 STRIDE = 1 << 20
 
@@ -243,7 +250,11 @@ def _gathered(run):
 def _sorted_runs(length: int, gram: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = [{} for _ in range(parts)]
-        size = 0
+        size, starts = 0, length - gram + 1
+        # apart, or a place would meet itself
+        ranges = {n: [(c * starts // n, (c + 1) * starts // n - 1) for c in range(n)]
+                  for n in (1, min(CUTS, starts))}
+        ranges[CUTS] = ranges[min(CUTS, starts)]
 
         def flush() -> pa.RecordBatch:
             filled = [k for k in range(parts) if held[k]]
@@ -262,13 +273,19 @@ def _sorted_runs(length: int, gram: int, parts: int):
                 text = view.tobytes()
                 own = found[k].values
                 name = np.array([h1[k], h2[k]], "<i8").tobytes()
-                for place, part in zip(own.field("place").to_pylist(),
-                                       own.field("part").to_pylist(), strict=True):
-                    entry = (text[place:place + length],
-                             text[max(0, place - length + gram):place][::-1])
+                for place, part, cuts in zip(*[own.field(f).to_pylist() for f in (
+                        "place", "part", "cuts")], strict=True):
                     ref = name + place.to_bytes(4, "little")
-                    held[part].setdefault(entry, []).append(ref)
-                    size += len(entry[0]) + len(entry[1]) + 200
+                    for low, high in ranges[cuts]:
+                        if cuts > 1:
+                            if place < low or place + length - high > len(text):
+                                continue  # no window of this range
+                            part = zlib.crc32(text[place - low:place + length - high]
+                                              ) % parts
+                        entry = (text[place:place + length - low],
+                                 text[max(0, place - high):place][::-1])
+                        held[part].setdefault(entry, []).append(ref)
+                        size += len(entry[0]) + len(entry[1]) + 200
                     if size >= RUN_BYTES:
                         yield flush()
                         size = 0
@@ -350,7 +367,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["h1", "h2", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT
+            ) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256 of the bytes that stay.
 
@@ -370,11 +388,14 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     # an anchor is repeated if it has two places, copies of one text being one
     spot = F.xxhash64("h1", "h2", "place")
     repeated = found.groupBy("anchor").agg(
-        F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("anchor")
+        F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("n")
+    ).where("a <> b").select("anchor", F.when(F.col("n") > hot, CUTS).otherwise(1)
+                             .alias("cuts"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.col("anchor"), F.lit(parts)).cast("int")
     wanted = (found.join(repeated, "anchor").groupBy("h1", "h2")
-              .agg(F.collect_set(F.struct("place", part.alias("part"))).alias("found")))
+              .agg(F.collect_set(F.struct("place", part.alias("part"), "cuts"))
+                   .alias("found")))
     copies = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"),
                                           F.count("*").alias("copies"))
     wanted = wanted.join(copies, ["h1", "h2"]).select(

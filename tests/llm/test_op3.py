@@ -79,6 +79,7 @@ def test_random_texts(spark, seed):
     df = spark.createDataFrame([(i, t, 0) for i, t in docs],
                                "doc_id long, text string, size int")
     assert got(removed(df, 20, 9)) == brute(docs, 20)
+    assert got(removed(df, 20, 9, hot=3)) == brute(docs, 20)
 
 
 def test_long_and_empty(spark):

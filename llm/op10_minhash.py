@@ -238,3 +238,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of `documents`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop(
         "text_hash")
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), {_LETTERS}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT rid, s FROM (SELECT rid, unnest(CASE WHEN len(w) < {SHINGLE}
+      THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - {SHINGLE} + 2),
+        lambda i: array_to_string(w[i:i + {SHINGLE} - 1], ' ')) END) AS s
+    FROM d WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM sets GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c
+  FROM sets a JOIN sets b ON a.s = b.s AND a.rid < b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT x, y FROM pairs JOIN sizes m ON m.rid = x JOIN sizes o ON o.rid = y
+  WHERE 100 * c >= 85 * (m.n + o.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT rid, rid AS other FROM d
+  UNION SELECT reach.rid, ways.y FROM reach JOIN ways ON reach.other = ways.x),
+lowest AS (SELECT reach.rid, min(doc_id) AS component_id
+  FROM reach JOIN d ON d.rid = reach.other GROUP BY reach.rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
+  doc_id = component_id AS kept
+FROM d JOIN lowest USING (rid) LEFT JOIN sizes USING (rid)"""

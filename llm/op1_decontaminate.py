@@ -194,8 +194,34 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return judged(find_hits(docs, items)).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
-        "spans")
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_FOUND = (f"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_FOUND} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOUND} AS w FROM benchmark
+  WHERE item_id IS NOT NULL),
+starts AS (SELECT item, w, least(len(w), {WINDOW}) AS size,
+    unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS key
+  FROM starts),
+places AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i
+  FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+occ AS (SELECT rid, i, p.size, item FROM places p JOIN win
+  ON p.size = win.size AND array_to_string(w[i:i + p.size - 1], ' ') = key),
+hit AS (SELECT rid, count(DISTINCT word) AS n_hit
+  FROM (SELECT rid, unnest(range(i, i + size)) AS word FROM occ) GROUP BY rid),
+own AS (SELECT rid, count(DISTINCT item) AS n_items,
+    string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN own USING (rid)"""
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

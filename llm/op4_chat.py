@@ -217,3 +217,24 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLE_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{STOP}{START}assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '{STOP}{START}assistant ok'),
+e AS (SELECT *, replace(replace(role, '%', '%25'), chr(10), '%0A') AS line FROM t),
+s AS (SELECT *, {len(START) + len(STOP) + 2} + length(line) + length(text)
+    + len(regexp_extract_all(line, '<\\*\|'))
+    + len(regexp_extract_all(text, '<\\*\|')) AS size FROM e)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  CAST(sum(CASE WHEN role = '{TRAINED}' THEN length(text) ELSE 0 END) AS BIGINT)
+    AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+    FILTER (role = '{TRAINED}'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id"""

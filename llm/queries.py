@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from llm.op1_decontaminate import ORACLE_SQL as op1_decontaminate_sql
 from llm.op1_decontaminate import op1_decontaminate
 from llm.op2_packing import op2_packing
 from llm.op3_suffixes import op3_suffixes
+from llm.op4_chat import ORACLE_SQL as op4_chat_sql
 from llm.op4_chat import op4_chat
 from llm.op5_quality import op5_quality
 from llm.op6_permutation import op6_permutation
 from llm.op7_sharding import op7_sharding
 from llm.op8_secrets import op8_secrets
 from llm.op9_suffix_tree import op9_suffix_tree
+from llm.op10_minhash import ORACLE_SQL as op10_minhash_sql
 from llm.op10_minhash import op10_minhash
 
 
@@ -36,5 +39,10 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = (
-    {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": op1_decontaminate_sql,
+    "op4_chat": op4_chat_sql,
+    "op10_minhash": op10_minhash_sql,
+}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -33,8 +33,8 @@ from llm.common import stored
 WIDTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct runs whose ids a Python worker keeps.
-CACHED = 400_000
+#: Distinct runs whose ids a task keeps.
+CACHED = 200_000
 #: Text that a task encodes at a time.
 STEP_BYTES = 1 << 22
 
@@ -107,17 +107,20 @@ def _encode(path: str | None):
         part, before = TaskContext.get().partitionId(), 0
         own = encoder(path or public_tokenizers.path(TOKENIZER))
         end = np.array([END], "<u4").tobytes()
-        for whole in batches:
-            for batch in sliced(whole, "text", STEP_BYTES):
-                ids = [i + end for i in own.encode(
-                    [t.tobytes() for t in rows_of(batch.column("text"))])]
-                sizes = np.array([len(i) // 4 for i in ids], np.int64)
-                ends = before + np.cumsum(sizes)
-                before = int(ends[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)),
-                     pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())],
-                    ["doc_id", "part", "before", "doc_tokens", "ids"])
+        try:
+            for whole in batches:
+                for batch in sliced(whole, "text", STEP_BYTES):
+                    ids = [i + end for i in own.encode(
+                        [t.tobytes() for t in rows_of(batch.column("text"))])]
+                    sizes = np.array([len(i) // 4 for i in ids], np.int64)
+                    ends = before + np.cumsum(sizes)
+                    before = int(ends[-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)),
+                         pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())],
+                        ["doc_id", "part", "before", "doc_tokens", "ids"])
+        finally:
+            own.clear()  # workers outlive the task
     return run
 
 

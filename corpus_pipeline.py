@@ -14,7 +14,7 @@ from llm.op1_decontaminate import clean
 from llm.op2_packing import digests, pack
 from llm.op5_quality import accepted, train
 from llm.op8_secrets import redact
-from llm.op10_minhash import near_duplicates
+from llm.op10_minhash import linked
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,22 +24,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest doc_id.
+    """One row of each near-duplicate group: the one of the smallest doc_id, rows without
+    one last, then of the smallest text_hash.
 
-    One row stays even if several share that doc_id. Rows without words, and groups in
-    which nothing has a doc_id, stay as they are.
+    Repeated rows are a group, also if nothing in it has a doc_id. Rows without words
+    stay as they are.
     """
-    free = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
-    stays = (near_duplicates(docs).where("kept")
-             .groupBy(F.col("doc_id").alias("_id"), F.when(free, F.col("text_hash")))
-             .agg(F.min("text_hash").alias("_hash"),
-                  (F.bool_and(~free) & (F.count("*") > 1)).alias("_many"))
-             .select("_id", "_hash", "_many"))
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64("text") == F.col("_hash")))
+    rows = (linked(docs).where("root is not null")
+            .groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    stays = (rows.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("row"))
+        .select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"),
+                (F.col("row.n") > 1).alias("_many")))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.where(worded).join(stays, F.col("doc_id").eqNullSafe(F.col("_id"))
+                                   & (F.xxhash64("text") == F.col("_hash")))
     once = kept.where("not _many")
-    again = kept.where("_many").dropDuplicates(["_id"])
-    return once.unionByName(again).select(docs.columns)
+    again = kept.where("_many").dropDuplicates(["_id", "_hash"])
+    return once.unionByName(again).select(docs.columns).unionByName(docs.where(~worded))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

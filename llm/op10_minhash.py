@@ -109,12 +109,19 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Attach the full set, for rows whose text has the wanted key."""
+    """Attach the full set, for rows whose text has the wanted key.
+
+    Repeated rows come behind one another; the first one serves.
+    """
+    last = None
     for whole in batches:
         for batch in sliced(whole, "text"):
-            found = [shingle_set(t) for t in rows_of(batch.column("text"))]
-            fits = [bool(len(s)) and set_key(s) == k for s, k in
-                    zip(found, batch.column("key").to_pylist(), strict=True)]
+            found, fits = [], []
+            for text, key in zip(rows_of(batch.column("text")),
+                                 batch.column("key").to_pylist(), strict=True):
+                found.append(shingle_set(text) if key != last else None)
+                fits.append(key != last and set_key(found[-1]) == key)
+                last = key if fits[-1] else last
             kept = batch.filter(pa.array(fits, pa.bool_()))
             yield pa.RecordBatch.from_arrays(
                 [kept.column("grp"), kept.column("blocks"), kept.column("key"),
@@ -179,21 +186,16 @@ def _confirm(numerator: int, denominator: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100,
-                    block: int = BLOCK) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept, and the
-    text's xxhash64 as text_hash.
-
-    Linked are documents with denominator * |intersection| >= numerator * |union|.
-    Null and empty texts have an empty set and are linked with nothing. Repeated rows
-    and equal texts are in one component. A row without doc_id is compared like any
-    other but names no component; if nothing in its component has an id, component_id
-    is null and the row stays. Other columns are ignored.
-    """
+def linked(docs: DataFrame, numerator: int = 85, denominator: int = 100,
+           block: int = BLOCK) -> DataFrame:
+    """The rows of `near_duplicates` with the `root` of each one's component: a key of
+    16 bytes, the same in all its rows and null for a text without words."""
     rows = checkpointed(describe(docs))
+    # any row of a key has the key's set; its id may be null or name other texts as well
     nodes = (rows.where("key is not null")
-             .groupBy("key").agg(F.min("doc_id").alias("doc_id"),
-                                 F.first("n_shingles").alias("n_shingles")))
+             .groupBy("key").agg(F.min(F.struct("text_hash", "doc_id")).alias("row"),
+                                 F.first("n_shingles").alias("n_shingles"))
+             .select("key", "row.*", "n_shingles"))
     hashed = (rows.where("key is not null").select("key", "bands").distinct()
               .select("key", F.explode("bands").alias("bucket")))
     hubs = (hashed.groupBy("bucket").agg(F.min("key").alias("hub"),
@@ -206,8 +208,11 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
         F.count("*") / block, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
         .alias("blocks"))
     wanted = checkpointed(groups.join(cut, "root").select(
-        "doc_id", "key", F.col("root").alias("grp"), "blocks"))
-    sets = (docs.select("doc_id", "text").join(wanted, "doc_id")
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "key",
+        F.col("root").alias("grp"), "blocks"))
+    sets = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .join(wanted, (F.xxhash64("text") == F.col("_hash"))
+                  & F.col("doc_id").eqNullSafe(F.col("_id")))
             .select("grp", "blocks", "key", "text")
             .mapInArrow(_sets, "grp binary, blocks int, key binary, shingles binary"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -224,14 +229,29 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
              .join(roots, F.col("key") == F.col("node"), "left")
              .select("key", "lowest", F.coalesce("root", "key").alias("root")))
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = named.join(lowest, "root").select("key", "component_id")
+    named = named.join(lowest, "root").select("key", "component_id", "root")
     return rows.select("doc_id", "text_hash", "n_shingles", "key").join(named, "key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id"))
         .otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("key").isNull() | F.col("component_id").isNull(), True)
         .otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-        .alias("kept"), "text_hash")
+        .alias("kept"), "text_hash", "root")
+
+
+def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100,
+                    block: int = BLOCK) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept, and the
+    text's xxhash64 as text_hash.
+
+    Linked are documents with denominator * |intersection| >= numerator * |union|.
+    Null and empty texts have an empty set and are linked with nothing. Repeated rows
+    and equal texts are in one component. A row without doc_id is compared like any
+    other but names no component; if nothing in its component has an id, component_id
+    is null and the row stays. Rows of different texts may share a doc_id. Other columns
+    are ignored.
+    """
+    return linked(docs, numerator, denominator, block).drop("root")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

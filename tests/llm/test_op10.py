@@ -2,8 +2,9 @@ import itertools
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from llm.op10_minhash import near_duplicates, op10_minhash
+from llm.op10_minhash import linked, near_duplicates, op10_minhash
 from tests.llm.brute import lower
 
 FOLDER = "/root/testdata/sf0.01"
@@ -70,3 +71,23 @@ def test_empty_and_no_id(spark):
                                  "doc_id long, text string")
     found = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(rows).collect()}
     assert found == {(None, 3, False), (3, 3, True), (None, None, True)}
+
+
+def test_near_copies_without_ids_and_shared_ids(spark):
+    """Near copies that all lack ids are linked, unrelated texts under one id are not."""
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join([*base[k:], "new"]) for k in range(3)]
+    rows = [(None, t) for t in near] + [(5, f"{near[0]} end")]
+    rows += [(7, " ".join(f"u{k}x{i}" for i in range(30))) for k in range(40)]
+    rows += [(7, " ".join(f"u{k}x{i}" for i in range(30)) + " more") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = linked(df).join(df.withColumn("text_hash", F.xxhash64("text")).drop("doc_id"),
+                          "text_hash").collect()
+    root = {r.text: r.root for r in out}
+    assert len({root[t] for _, t in rows[:4]}) == 1
+    assert {r.component_id for r in out if r.text in near} == {5}
+    assert all(root[rows[4 + k][1]] == root[rows[44 + k][1]] for k in range(3))
+    assert len(set(root.values())) == 41
+    alone = linked(df.where("doc_id is null")).collect()
+    assert len(alone) == 3 and len({r.root for r in alone}) == 1
+    assert {r.component_id for r in alone} == {None}

@@ -68,6 +68,20 @@ def test_near_duplicates_of_repeated_rows(spark):
     assert got == Counter([(2, "other"), (3, None), (3, None), (3, ""), (None, "alone")])
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join([*base[k:], "new"]) for k in range(3)]
+    other = " ".join(f"v{i}" for i in range(30))
+    docs = [(4, near[0]), (4, other), (4, other), (9, near[1]), (None, "a b"), (None, "a b"),
+            (None, "c d e f g h"), (None, None), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(rows(corpus_pipeline.deduplicated(spark, df, FOLDER))) == Counter(
+        [(4, near[0]), (4, other), (None, "a b"), (None, "c d e f g h"), (None, None),
+         (None, None)])
+    lost = spark.createDataFrame([(None, t) for t in near], "doc_id long, text string")
+    assert len(rows(corpus_pipeline.deduplicated(spark, lost, FOLDER))) == 1
+
+
 def test_decontamination(spark, stages):
     before, after = stages["decontamination"]
     bad = {r[0] for r in test_op1.brute(

@@ -3,7 +3,8 @@
 The nested field paths of a row that hold a value, as far as any mapping speaks of them,
 are hashed; the fingerprint selects the mapping that turns the row into canonical turns.
 One table can mix layouts: a row with `messages` and a row with `prompt` and `response`
-take different mappings. Paths of no mapping's vocabulary do not count.
+take different mappings. One row per turn is a layout like the others. Paths of no mapping's
+vocabulary do not count.
 
 A turn is written as `<|im_start|>role`, a new line, the text, `<|im_end|>` and a new
 line. Inside texts a backslash is put behind each `<` that starts `<|`, `<\\|` and so on,
@@ -32,16 +33,23 @@ class Mapping:
     """A layout: the paths it needs, those it can use, and the turns they stand for.
 
     `listed` is (array, role field, text field); `fixed` has (role, paths whose values
-    are joined by a blank line) in order.
+    are joined by a blank line) in order; `flat` has (turn, role, text) of a row that is
+    one turn.
     """
     name: str
     needs: tuple[str, ...]
     may: tuple[str, ...] = ()
     listed: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    flat: tuple[str, str, str] | None = None
+
+    def counted(self) -> tuple[str, ...]:
+        """The needed paths that count for a fingerprint; a turn's number is no content."""
+        return tuple(p for p in self.needs if not self.flat or p != self.flat[0])
 
 
 MAPPINGS = (
+    Mapping("turns", ("turn", "role", "text"), flat=("turn", "role", "text")),
     Mapping("messages", ("messages[].role", "messages[].content"), ("system",),
             ("messages", "role", "content")),
     Mapping("conversations", ("conversations[].from", "conversations[].value"),
@@ -55,8 +63,6 @@ MAPPINGS = (
     Mapping("question-answer", ("question", "answer"), ("context", "system"),
             fixed=(("user", ("context", "question")), ("assistant", ("answer",)))),
 )
-#: The layout of one row per turn; its rows need no mapping, only an order.
-FLAT = ("turn", "role", "text")
 
 
 def fingerprint(paths) -> str:
@@ -73,10 +79,18 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def known_fingerprints() -> dict[str, Mapping]:
-    """The fingerprint of each mapping with each choice of its optional paths."""
-    return {fingerprint((*m.needs, *some)): m for m in MAPPINGS
-            for n in range(len(m.may) + 1) for some in combinations(m.may, n)}
+def known_fingerprints(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
+    """The fingerprint of each mapping with each choice of its optional paths, and with
+    needed paths that hold nothing: such a row takes the first mapping with the fewest
+    of them."""
+    found: dict[str, Mapping] = {}
+    for missing in range(max((len(m.needs) for m in mappings), default=0) + 1):
+        for m in mappings:
+            for needs in combinations(m.counted(), max(len(m.counted()) - missing, 0)):
+                for n in range(len(m.may) + 1):
+                    for some in combinations(m.may, n):
+                        found.setdefault(fingerprint((*needs, *some)), m)
+    return found
 
 
 def _column(path: str) -> Column:
@@ -84,9 +98,14 @@ def _column(path: str) -> Column:
 
 
 def row_fingerprint(schema: T.StructType) -> Column:
-    """The hash of the row's known paths that hold a value."""
-    spoken = {p for m in MAPPINGS for p in (*m.needs, *m.may)}
-    there = sorted(spoken.intersection(field_paths(schema)))
+    """The hash of the row's known paths that hold a value.
+
+    The short names of a flat layout count only in a table that has all of them.
+    """
+    paths = set(field_paths(schema))
+    spoken = {p for m in MAPPINGS if not m.flat or set(m.needs) <= paths
+              for p in (*m.counted(), *m.may)}
+    there = sorted(spoken & paths)
     held = F.array(*[F.when(_column(p).isNotNull(), F.lit(p)) for p in there]) \
         if there else F.array().cast("array<string>")
     return F.sha2(F.array_join(held, "\n"), 256)
@@ -101,9 +120,13 @@ def _turns(m: Mapping, paths: set[str]) -> Column:
     if m.listed:
         array, role, text = m.listed
         alias = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-        parts.append(F.transform(F.col(array), lambda x: F.struct(
+        parts.append(F.coalesce(F.transform(F.col(array), lambda x: F.struct(
             F.coalesce(F.try_element_at(alias, F.lower(x[role])), x[role]).alias("role"),
-            x[text].cast("string").alias("text"))))
+            x[text].cast("string").alias("text"))).cast(TURN), F.array().cast(TURN)))
+    if m.flat:
+        _, role, text = m.flat
+        parts.append(F.array(F.struct(F.col(role).cast("string").alias("role"),
+                                      F.col(text).cast("string").alias("text"))))
     for role, wanted in m.fixed:
         parts.append(F.array(F.struct(F.lit(role).alias("role"), F.concat_ws(
             "\n\n", *[F.col(p).cast("string") for p in wanted if p in paths])
@@ -114,25 +137,31 @@ def _turns(m: Mapping, paths: set[str]) -> Column:
 def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """Rows (key, turn, role, text) of a table in any of the known layouts.
 
-    One row per turn (`turn`, `role`, `text`) is taken as it is. Else each row's
-    fingerprint selects its mapping; a row that fits none is an error that names its
-    paths' fingerprint, since leaving it out would lose data. Null roles and texts are
-    empty. Extra columns are ignored.
+    Each row's fingerprint selects its mapping. A null in a needed field is an empty text,
+    and null roles are empty; a row in which no known path holds a value takes the table's
+    first mapping, an empty turn if that has fixed ones and no turn if it lists them. A row
+    that holds other paths than its mapping speaks of, or whose table has no whole layout, is
+    an error that names the fingerprint, since leaving it out would lose data. Turns of
+    flat rows keep their number. Extra columns are ignored.
     """
     paths = set(field_paths(df.schema))
-    if set(FLAT) <= paths:
-        return df.select(key, F.col("turn").cast("long").alias("turn"),
-                         F.coalesce("role", F.lit("")).alias("role"),
-                         F.coalesce("text", F.lit("")).alias("text"))
-    chosen, mark = F.lit(None).cast(TURN), row_fingerprint(df.schema)
-    for print_, m in known_fingerprints().items():
-        if set(m.needs) <= paths:
-            chosen = F.when(F.col("_print") == print_, _turns(m, paths)).otherwise(chosen)
-    turns = df.withColumn("_print", mark).select(key, F.coalesce(chosen, F.raise_error(
-        F.concat(F.lit("no layout for fingerprint "), F.col("_print"))).cast(TURN))
+    fitting = tuple(m for m in MAPPINGS if set(m.needs) <= paths)
+    prints = known_fingerprints(fitting)
+    turns, number = F.lit(None).cast(TURN), F.lit(None).cast("long")
+    flat = F.lit(False)
+    for m in fitting:
+        own = F.col("_print").isin([p for p, chosen in prints.items() if chosen is m])
+        turns = F.when(own, _turns(m, paths)).otherwise(turns)
+        if m.flat:
+            flat, number = own, F.col(m.flat[0]).cast("long")
+    rows = df.withColumn("_print", row_fingerprint(df.schema)).select(
+        key, flat.alias("_flat"), number.alias("_number"), F.coalesce(turns, F.raise_error(
+            F.concat(F.lit("no layout for fingerprint "), F.col("_print"))).cast(TURN))
         .alias("_turns"))
-    return turns.select(key, F.posexplode("_turns").alias("turn", "t")).select(
-        key, F.col("turn").cast("long").alias("turn"),
+    return rows.select(key, "_flat", "_number",
+                       F.posexplode("_turns").alias("_at", "t")).select(
+        key, F.when(F.col("_flat"), F.col("_number")).otherwise(F.col("_at").cast("long"))
+        .alias("turn"),
         F.coalesce("t.role", F.lit("")).alias("role"),
         F.coalesce("t.text", F.lit("")).alias("text"))
 

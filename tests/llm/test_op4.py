@@ -88,3 +88,26 @@ def test_unknown_layout_is_an_error(spark):
     df = spark.createDataFrame([(1, "only")], "conv_id long, prompt string")
     with pytest.raises(Exception, match="no layout for fingerprint"):
         turns(df)
+
+
+MIXED = ("conv_id long, turn int, role string, text string, "
+         "messages array<struct<role:string,content:string>>, prompt string, "
+         "response string, system string")
+
+
+def test_flat_rows_among_other_layouts(spark):
+    made = spark.createDataFrame(
+        [(1, 3, "human", "flat", None, None, None, None),
+         (2, None, None, None, [("user", "u"), ("assistant", "a")], None, None, None),
+         (3, 0, None, None, None, "ask", "say", "be kind"),
+         (4, None, None, None, None, "only asked", None, None),
+         (5, 7, None, "no role", None, None, None, None),
+         (6, None, None, None, None, None, None, None)], MIXED)
+    assert turns(made) == [
+        (1, 3, "human", "flat"), (2, 0, "user", "u"), (2, 1, "assistant", "a"),
+        (3, 0, "system", "be kind"), (3, 1, "user", "ask"), (3, 2, "assistant", "say"),
+        (4, 0, "user", "only asked"), (4, 1, "assistant", ""), (5, 7, "", "no role"),
+        (6, None, "", "")]
+    both = spark.createDataFrame([(1, 0, "user", "x", None, "ask", "say", None)], MIXED)
+    with pytest.raises(Exception, match="no layout for fingerprint"):
+        turns(both)

@@ -2,12 +2,18 @@
 
 A text is the sequence of its words (runs without ASCII white space, A-Z as a-z) joined
 by single blanks and closed by an end symbol. The tree predicts this sequence byte by
-byte. A context of up to `DEPTH` bytes becomes a state if it is frequent (a share of at
-least `STATE_SHARE` of all positions, which bounds the tree whatever the corpus) and if
-its next symbols diverge from those of the context one byte shorter: the log-likelihood
-gain is at least `GAIN` nats. All suffixes of a state are states. The next-symbol
-distribution of a state is smoothed with that of its suffix, and a position is scored by
-its longest suffix state.
+byte. A context of up to `DEPTH` bytes becomes a state if it occurs `STATE_COUNT` times and
+if its next symbols diverge from those of the context one byte shorter: the log-likelihood
+gain is at least `GAIN` nats. All suffixes of a state are states, and so are contexts of one
+and two bytes. The next-symbol distribution of a state is smoothed with that of its suffix,
+and a position is scored by its longest suffix state. The least counts do not depend on the
+corpus, so the tree grows with it.
+
+Beyond `WHOLE` distinct grams the tree is never in one place. What it says of a position
+depends on contexts that end in the same bytes, so the grams are dealt out by the latest
+three bytes of their contexts, and each task builds the part of the tree for its own. The
+values of the most frequent positions (`HOT` at most) are looked up where the text is; the
+other positions are joined in Spark with values that those parts give to their distinct ones.
 
 The base score of whole words needs the count of every word. Frequent words (a share of
 at least `WORD_SHARE`, so a bounded number) are looked up where the text is; the other
@@ -29,17 +35,25 @@ from llm.bytescan import BLANK, range_hashes, rows_of, sliced, word_bounds
 from llm.common import stored
 
 DEPTH = 6
-#: Least share of the positions: of a state, and of a symbol in a state.
-STATE_SHARE = 1e-6
-SYMBOL_SHARE = 3e-7
+#: Least count of a state, and of a symbol in a state.
+STATE_COUNT = 16
+SYMBOL_COUNT = 2
 WORD_SHARE = 2e-7
 GAIN = 10.0
 #: Weight of the suffix's distribution, in counts.
 PRIOR = 16.0
 #: Distinct keys that a counting task holds before it merges or hands them on.
 HELD = 1 << 20
-#: Slots of the table of frequent positions.
-SLOTS = 1 << 21
+#: Distinct grams up to which the tree is built in one piece.
+WHOLE = 1 << 20
+#: Distinct grams that a task holds before it builds the part of the tree for them.
+PART = 1 << 19
+#: Positions that are looked up where the text is, at most, if it is not.
+HOT = 1 << 21
+#: Slots of the table of these.
+SLOTS = 1 << 22
+#: Bytes of context that parts of the tree share: contexts shorter than that are in all of them.
+SHARED = 3
 
 _END = b"\n"
 _HEAD = _END * DEPTH
@@ -145,11 +159,51 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray
     return found, values[at[found]]
 
 
+def levels_of(codes: np.ndarray, counts: np.ndarray, first: int, last: int = DEPTH) -> list:
+    """Grams of first + 1 to last + 1 symbols, sorted, with their counts."""
+    return [tally(codes & np.uint64((1 << 8 * (d + 1)) - 1), counts)
+            for d in range(first, last + 1)]
+
+
+class Table:
+    """Positions with their log10, looked up by hash."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+        self.slots = np.zeros(SLOTS if len(codes) else 1, np.int32)
+        if len(codes):
+            self.slots[self._slot(self.codes)] = np.arange(len(codes), dtype=np.int32)
+
+    @staticmethod
+    def _slot(codes: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - (SLOTS.bit_length() - 1))
+        return ((codes * _SPREAD) >> shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which positions are in the table, and the value of each, 0 for the others."""
+        out = np.zeros(len(codes))
+        if not len(self.codes):
+            return np.zeros(len(codes), bool), out
+        at = self.slots[self._slot(codes)]
+        found = self.codes[at] == codes
+        out[found] = self.values[at[found]]
+        left = np.flatnonzero(~found)  # their slot may be another's
+        there, value = _lookup(self.codes, self.values, codes[left])
+        found[left[there]] = True
+        out[left[there]] = value
+        return found, out
+
+
 class Tree:
-    """States and smoothed distributions; `grams[d]` has the frequent grams of d + 1
-    symbols as (sorted codes, counts)."""
+    """States and smoothed distributions; `grams[d]` has all grams of d + 1 symbols as
+    (sorted codes, counts).
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], total: int):
+    Of the grams of more than `SHARED` symbols it may get those of some contexts only, all
+    that end in the same `SHARED` bytes; it then speaks of positions behind these.
+    """
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], whole: bool = True):
         root = np.full(256, 1.0)
         root[grams[0][0].astype(np.int64)] += grams[0][1]
         root /= root.sum()
@@ -160,13 +214,14 @@ class Tree:
         levels = []
         for depth in range(1, len(grams)):
             codes, counts = grams[depth]
-            context = codes >> np.uint64(8)
-            names, owner = np.unique(context, return_inverse=True)
+            names, owner = np.unique(codes >> np.uint64(8), return_inverse=True)
+            times = np.bincount(owner, counts, len(names))
+            listed = counts >= SYMBOL_COUNT
+            codes, counts = codes[listed], counts[listed]
+            seen, owner = np.unique(owner[listed], return_inverse=True)
+            names, times = names[seen], times[seen]
             mass = np.bincount(owner, counts, len(names))
-            # what became of the other times: rare symbols, left to the suffix
-            there, times = _lookup(*grams[depth - 1], names)
-            rest = np.zeros(len(names))
-            rest[there] = np.maximum(times - mass[there], 0)
+            rest = times - mass  # rare symbols, left to the suffix
             short = codes & np.uint64((1 << 8 * depth) - 1)
             lower = (chances[0][short.astype(np.int64)] if depth == 1 else
                      chances[-1][np.searchsorted(levels[-1][0], short)])
@@ -182,7 +237,7 @@ class Tree:
         wanted: list[np.ndarray] = []
         for depth in range(len(grams) - 1, 0, -1):
             _, _, names, gain, mass, _, _ = levels[depth - 1]
-            good = (mass >= STATE_SHARE * total) & (gain >= GAIN)
+            good = ((mass >= STATE_COUNT) & (gain >= GAIN)) | (depth < SHARED)
             wanted.append(good | np.isin(names, needed))
             needed = np.unique(names[wanted[-1]]
                                & np.uint64((1 << 8 * (depth - 1)) - 1))
@@ -198,20 +253,8 @@ class Tree:
             pair = keep[owner]
             self.pairs.append((codes[pair], np.log10(share[pair])))
             self.states.append((names[keep], np.log10(back[keep])))
-        self.slots = np.zeros(SLOTS, np.uint64)
-        self.values = np.full(SLOTS, np.nan, np.float32)
-        deepest, counts = grams[-1]
-        if len(deepest):
-            order = np.argsort(counts, kind="stable")  # frequent ones last, they stay
-            values = self._walk(deepest).astype(np.float32)
-            at = self._slot(deepest)
-            self.slots[at[order]] = deepest[order]
-            self.values[at[order]] = values[order]
-
-    @staticmethod
-    def _slot(codes: np.ndarray) -> np.ndarray:
-        shift = np.uint64(64 - (SLOTS.bit_length() - 1))
-        return ((codes * _SPREAD) >> shift).astype(np.int64)
+        deepest = grams[-1][0]
+        self.known = Table(deepest, self._walk(deepest)) if whole else None
 
     def _walk(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of each position, by its longest suffix state."""
@@ -230,38 +273,91 @@ class Tree:
         return out
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        at = self._slot(codes)
-        out = self.values[at].astype(np.float64)
-        miss = np.flatnonzero((self.slots[at] != codes) | np.isnan(out))
-        out[miss] = self._walk(codes[miss])
+        found, out = self.known.find(codes)
+        out[~found] = self._walk(codes[~found])
         return out
 
 
-def grow(counts: DataFrame) -> Tree:
-    """The tree of the counted grams.
+def _parts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (unit, key, n, wanted) come sorted by unit; values of the wanted keys."""
+        def close(rows: list[np.ndarray]) -> pa.RecordBatch:
+            _, key, n, wanted = rows
+            own = n > 0
+            tree = Tree([*shared.value, *levels_of(key[own], n[own], SHARED)], False)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key[wanted].view(np.int64)), pa.array(tree._walk(key[wanted]))],
+                ["key", "value"])
+
+        held: list[list[np.ndarray]] = []
+        size, limit = 0, PART
+        for batch in batches:
+            held.append([batch.column("unit").to_numpy(),
+                         batch.column("key").to_numpy().view(np.uint64),
+                         batch.column("n").to_numpy(),
+                         batch.column("wanted").to_numpy(zero_copy_only=False)])
+            size += batch.num_rows
+            if size > limit:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                if cut:
+                    yield close([c[:cut] for c in rows])
+                held = [[c[cut:].copy() for c in rows]]
+                size -= cut
+                limit = max(PART, 2 * size)
+        if size:
+            yield close([np.concatenate(c) for c in zip(*held, strict=True)])
+    return run
+
+
+def values(rows: DataFrame, low: list) -> DataFrame:
+    """key, value (log10) of the wanted among `rows` (key, n, wanted), which hold all
+    training grams; `low` has those of up to SHARED symbols.
 
-    The driver gets the grams whose share is at least SYMBOL_SHARE: for each length at
-    most 1 / SYMBOL_SHARE of them.
+    A task holds the grams of one context of SHARED bytes at least.
     """
-    grams = counts.where("kind = 1")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    shorter = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND(
-        F.lit((1 << 8 * (d + 1)) - 1)).alias("code")) for d in range(DEPTH + 1)])
-    frequent = (grams.select("n", F.inline(shorter)).groupBy("depth", "code")
-                .agg(F.sum("n").alias("n")).where(F.col("n") >= SYMBOL_SHARE * total))
-    got = frequent.toArrow()
-    depth, code, n = (got.column(c).to_numpy() for c in ("depth", "code", "n"))
-    levels = []
-    for d in range(DEPTH + 1):
-        own = depth == d
-        order = np.argsort(code[own])
-        levels.append((code[own][order].astype(np.uint64), n[own][order].astype(float)))
-    return Tree(levels, total)
+    unit = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1))
+    return (rows.select(unit.cast("int").alias("unit"), "key", "n", "wanted")
+            .repartition("unit").sortWithinPartitions("unit")
+            .mapInArrow(_parts(rows.sparkSession.sparkContext.broadcast(low)),
+                        "key long, value double"))
+
+
+def _low(grams: DataFrame) -> list:
+    """All grams of up to SHARED symbols; the alphabet bounds their number."""
+    got = (grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).alias("key"))
+           .agg(F.sum("n").alias("n"))).toArrow()
+    return levels_of(got.column("key").to_numpy().view(np.uint64),
+                     got.column("n").to_numpy(), 0, SHARED - 1)
+
+
+def grow(counts: DataFrame) -> tuple[Tree | None, Table, list]:
+    """The tree if the counted grams are few, else the values of the most frequent
+    positions and the grams of up to SHARED symbols."""
+    grams = counts.where("kind = 1").select("key", "n")
+    often = sorted(grams.groupBy(F.least("n", F.lit(1 << 20)).alias("n"))
+                   .agg(F.count("*").alias("grams")).collect(), reverse=True)
+    if sum(r.grams for r in often) <= WHOLE:
+        got = grams.toArrow()
+        tree = Tree(levels_of(got.column("key").to_numpy().view(np.uint64),
+                              got.column("n").to_numpy(), 0))
+        return tree, tree.known, []
+    low, held, least = _low(grams), 0, (1 << 62)
+    for r in often:
+        held += r.grams
+        if held > HOT:
+            break
+        least = r.n
+    got = values(grams.withColumn("wanted", F.col("n") >= least), low).toArrow()
+    return None, Table(got.column("key").to_numpy().view(np.uint64),
+                       got.column("value").to_numpy()), low
 
 
 @dataclass
 class Model:
-    tree: Tree
+    tree: Tree | None   # if it is in one piece
+    known: Table        # values of frequent positions
+    low: list           # grams that all parts of a tree in parts share
     words: np.ndarray   # hashes of the frequent words, sorted
     counts: np.ndarray
     texts: int
@@ -290,14 +386,22 @@ def _score(shared):
                 ends = np.zeros(n + 1, np.int32)
                 np.cumsum(np.bincount(owner[rare], minlength=n), out=ends[1:])
                 sizes = part.ends - part.starts
-                score = np.add.reduceat(model.tree.log10(part.codes()),
-                                        np.cumsum(sizes) - sizes)
+                first, codes = np.cumsum(sizes) - sizes, part.codes()
+                there, value = model.known.find(codes)
+                if model.tree is not None:
+                    value[~there] = model.tree._walk(codes[~there])
+                    there[:] = True
+                score = np.add.reduceat(value, first)
+                late = np.zeros(n + 1, np.int32)
+                np.cumsum(np.add.reduceat((~there).astype(np.int32), first), out=late[1:])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(tokens), pa.array(found),
                      pa.array(base + np.log10(model.texts + 1.0)), pa.array(score),
                      pa.ListArray.from_arrays(pa.array(ends),
-                                              pa.array(words[rare].view(np.int64)))],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
+                                              pa.array(words[rare].view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(late),
+                                              pa.array(codes[~there].view(np.int64)))],
+                    ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "late"])
     return run
 
 
@@ -311,7 +415,7 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame, int, int]:
     frequent = words.where(F.col("n") >= WORD_SHARE * n).select("key", "n").toArrow()
     keys = frequent.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return (Model(grow(counts), keys[order],
+    return (Model(*grow(counts), keys[order],
                   frequent.column("n").to_numpy()[order].astype(float), texts),
             counts, n, v)
 
@@ -329,7 +433,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.select("doc_id", "text").mapInArrow(
         _score(shared), f"doc_id {kind}, n_tokens long, n_known long, base double, "
-        "score double, rare array<long>")
+        "score double, rare array<long>, late array<long>")
         .withColumn("row", F.monotonically_increasing_id()))
     rare = (rows.select("row", F.explode("rare").alias("key"))
             .join(counts.where((F.col("kind") == 0) & (F.col("n") < WORD_SHARE * n)
@@ -337,7 +441,17 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             .groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"),
                                 F.count("*").alias("seen")))
     zero = F.lit(0)
-    return rows.drop("rare").join(rare, "row", "left").select(
+    out = rows.drop("rare", "late").join(rare, "row", "left")
+    if model.tree is None:
+        late = rows.select("row", F.explode("late").alias("key"))
+        asked = (counts.where("kind = 1").select("key", "n", F.lit(False).alias("wanted"))
+                 .unionByName(late.select("key").distinct().select(
+                     "key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted"))))
+        sums = late.join(values(asked, model.low), "key").groupBy("row").agg(
+            F.sum("value").alias("rest"))
+        out = out.join(sums, "row", "left").withColumn(
+            "score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
+    return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", zero)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))

@@ -89,3 +89,35 @@ def test_edges(spark, monkeypatch, share):
     assert math.isclose(next(r.score for r in untrained if r.doc_id == 5),
                         2 * math.log10(1 / 256))
     assert score(df.limit(0), df).count() == 0
+
+
+def scores(df, training):
+    return sorted((r.doc_id, round(r.score, 6)) for r in score(df, training).collect())
+
+
+def test_tree_in_parts_gives_the_same(spark, monkeypatch):
+    """Beyond WHOLE grams parts are built in Spark and positions beyond HOT are joined."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(300)
+    training = docs.where(~op9.held_out())
+    expected = scores(docs, training)
+    monkeypatch.setattr(op9, "WHOLE", 5000)
+    monkeypatch.setattr(op9, "PART", 3000)
+    monkeypatch.setattr(op9, "HOT", 2000)
+    model = fit(training)[0]
+    assert model.tree is None and 0 < len(model.known.codes) <= 2000
+    assert scores(docs, training) == expected
+
+
+def test_kept_grams_do_not_depend_on_the_corpus():
+    """A context of 40 occurrences stays a state when other text is added."""
+    stream = np.random.default_rng(1).integers(97, 123, (400_000, 7))
+    codes = np.zeros(len(stream), np.uint64)
+    for k in range(7):
+        codes = codes << np.uint64(8) | stream[:, k].astype(np.uint64)
+    own = int.from_bytes(b"qxzjkva", "big")
+    keys, counts = op9.tally(np.append(codes, np.full(40, own, np.uint64)))
+    # the other grams as often as in a corpus 1,000 times as large
+    tree = op9.Tree(op9.levels_of(keys, np.where(keys == own, counts, counts * 1000), 0))
+    names = [(own >> 8) & ((1 << 8 * d) - 1) for d in range(7)]
+    assert any((tree.states[d][0] == names[d]).any() for d in (4, 5, 6))
+    assert tree.log10(np.array([own], np.uint64))[0] > math.log10(0.5)

@@ -1,12 +1,15 @@
 """Sharding by balanced label propagation.
 
-Linked documents are those in one group (an edge is a group of two). Every document
-starts in a shard by hash. In each round a group's favourite is the shard that holds most
+Linked documents are those in one group (an edge is a group of two). Groups above `LARGE`
+of a shard are dealt out first, the largest first, each to the emptiest shard; one that does
+not fit fills it and goes on in the next, by a hash of the document. Their documents then
+stay where they are. The others start in a shard by hash, in proportion to the room that is
+left. In each round a group's favourite is the shard that holds most
 of its bytes, and documents elsewhere ask to move to the favourite of most of their
 groups. A shard admits movers up to its quota, whole groups at a time as far as they fit:
 movers are counted by shard and hash cell of their group, and a shard admits cells until
 the quota is full. Before and after the rounds shards above the mean give single documents, then linked
-ones, to those below it.
+ones, then those of large groups, to those below it.
 
 Rounds are joins and groupings over small rows (id, group, size, shard); the texts are
 read once. The driver sees counts by shard and cell only (`CELLS` per shard).
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.common import checkpointed
 
@@ -24,6 +28,11 @@ ROUNDS = 3
 #: Share above the mean that a shard may hold between rounds.
 SLACK = 0.1
 CELLS = 4096
+#: Share of a shard from which on a group is dealt out at the start. A cell of movers has
+#: to fit into the slack, which such groups would not do.
+LARGE = 1 / 16
+#: Steps of the hash that places documents in proportion.
+STEPS = 1 << 20
 #: Rows per counting cell of the slots, about.
 SLOT_ROWS = 20_000
 
@@ -44,7 +53,7 @@ def _wishes(placed: DataFrame, links: DataFrame) -> DataFrame:
     wishes = votes.groupBy("id").agg(F.max_by(
         F.struct("wish", "group"), F.struct("votes", -F.col("wish"))).alias("w"))
     return placed.join(wishes, "id", "left").select(
-        *placed.columns, F.col("w.wish").alias("wish"),
+        *placed.columns, F.when(~F.col("pinned"), F.col("w.wish")).alias("wish"),
         _cell(F.col("w.group"), 0).alias("cell"))
 
 
@@ -70,14 +79,15 @@ def _moved(asked: DataFrame, shards: int, slack: float) -> DataFrame:
             admitted.append((to, cell, True))
     plan = asked.sparkSession.createDataFrame(admitted, "wish int, cell int, moves boolean")
     return asked.join(F.broadcast(plan), ["wish", "cell"], "left").select(
-        "id", "size", "tie",
+        "id", "size", "tie", "pinned",
         F.when(F.col("moves"), F.col("wish")).otherwise(F.col("shard")).alias("shard"))
 
 
 def _level(placed: DataFrame, shards: int, salt: int) -> DataFrame:
     """Move documents from shards above the mean to shards below it, single ones first,
-    then what a shard holds of a group."""
+    then what a shard holds of a group, then documents of large groups one by one."""
     marked = placed.withColumn("cell", F.when(
+        F.col("pinned"), 2 * CELLS + _cell(F.col("id"), salt)).when(
         F.col("tie").isNull(), _cell(F.col("id"), salt))
         .otherwise(CELLS + _cell(F.col("tie"), salt)))
     sums = marked.groupBy("shard", "cell").agg(F.sum("size").alias("bytes")).collect()
@@ -99,7 +109,57 @@ def _level(placed: DataFrame, shards: int, salt: int) -> DataFrame:
         return placed
     plan = placed.sparkSession.createDataFrame(moves, "shard int, cell int, target int")
     return marked.join(F.broadcast(plan), ["shard", "cell"], "left").select(
-        "id", "size", "tie", F.coalesce("target", "shard").alias("shard"))
+        "id", "size", "tie", "pinned", F.coalesce("target", "shard").alias("shard"))
+
+
+def _dealt(sizes: list[tuple], shards: int, total: int) -> tuple[list[tuple], list[float]]:
+    """Parts (group, low, high, shard) of the groups (group, bytes), from and to which step
+    of the hash, and the room that the shards then have."""
+    room = [total / shards] * shards
+    parts = []
+    for group, size in sorted(sizes, key=lambda g: (-g[1], str(g[0]))):
+        low, rest = 0, size
+        while low < STEPS:
+            to = max(range(shards), key=room.__getitem__)
+            held = min(rest, room[to]) if room[to] > 0 else rest
+            rest -= held
+            high = STEPS if rest <= 0 else round(STEPS * (1 - rest / size))
+            if high > low:
+                parts.append((group, low, high, to))
+            room[to] -= held
+            low = high
+    return parts, room
+
+
+def _started(nodes: DataFrame, links: DataFrame, shards: int) -> DataFrame:
+    """id, size, tie, pinned, shard: large groups in as few shards as hold them."""
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    large = checkpointed(links.join(nodes, "id").groupBy("group").agg(
+        F.sum("size").alias("bytes")).where(F.col("bytes") > total / shards * LARGE))
+    pins = links.join(F.broadcast(large), "group").groupBy("id").agg(
+        F.max(F.struct("bytes", F.col("group").alias("pin"))).alias("p")).select("id", "p.pin")
+    pins = checkpointed(pins.join(nodes, "id").select("id", "pin", "size"))
+    sizes = pins.groupBy("pin").agg(F.sum("size").alias("bytes")).collect()
+    parts, room = _dealt([(g.pin, g.bytes) for g in sizes], shards, total)
+    plan = nodes.sparkSession.createDataFrame(parts, T.StructType([
+        T.StructField("pin", links.schema["group"].dataType),
+        *[T.StructField(c, T.IntegerType()) for c in ("low", "high", "to")]]))
+    step = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(STEPS)).cast("int")
+    own = pins.withColumn("step", step).join(
+        F.broadcast(plan.withColumnRenamed("pin", "_pin")),
+        (F.col("pin") == F.col("_pin")) & (F.col("step") >= F.col("low"))
+        & (F.col("step") < F.col("high"))).select("id", "to")
+    room = [max(left, 0) for left in room]
+    if not sum(room):
+        room = [1] * shards
+    other = F.lit(shards - 1)
+    for shard in range(shards - 2, -1, -1):
+        below = round(STEPS * sum(room[:shard + 1]) / sum(room))
+        other = F.when(step < below, F.lit(shard)).otherwise(other)
+    ties = links.groupBy("id").agg(F.min("group").alias("tie"))
+    return nodes.join(ties, "id", "left").join(own, "id", "left").select(
+        "id", "size", "tie", F.col("to").isNotNull().alias("pinned"),
+        F.coalesce("to", other).cast("int").alias("shard"))
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
@@ -107,15 +167,13 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
     """(id, size, shard) of `nodes` (unique id, size > 0), given `links` (id, group).
 
     Ids of `links` that are no nodes and groups of one have no effect. Sizes of the
-    shards come out near equal; a group larger than a shard is split.
+    shards come out near equal; a group larger than a shard
+    fills whole ones.
     """
     links = links.join(nodes.select("id"), "id", "left_semi").distinct()
     groups = links.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     links = checkpointed(links.join(groups.select("group"), "group").select("id", "group"))
-    ties = links.groupBy("id").agg(F.min("group").alias("tie"))
-    placed = checkpointed(nodes.join(ties, "id", "left").select(
-        "id", "size", "tie",
-        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")))
+    placed = checkpointed(_started(nodes, links, shards))
     placed = _level(placed, shards, 3)
     for _ in range(rounds):
         placed = _moved(checkpointed(_wishes(placed, links)), shards, slack)

@@ -60,3 +60,21 @@ def test_links_between_groups(spark):
         nodes, spark.createDataFrame(links, "id long, group long")).collect()}
     whole = sum(len({placed[4 * g + k] for k in range(4)}) == 1 for g in range(100))
     assert whole > 60 and max(Counter(placed.values()).values()) <= 52
+
+
+def test_large_groups_stay_together(spark):
+    """Groups of 5, 10 and 33 % of the bytes beside single documents."""
+    sizes = {"five": 500, "ten": 1000, "third": 3300}
+    texts = [name for name, n in sizes.items() for _ in range(n)]
+    texts += [f"{i:05}" for i in range(10_000 - len(texts))]
+    df = spark.createDataFrame([(i, t.ljust(9, ".")) for i, t in enumerate(texts)],
+                               "doc_id long, text string")
+    rows = shard_documents(df).collect()
+    total = loads(rows)
+    assert max(total) - min(total) <= 0.02 * sum(total) / 8
+    # the share of links (pairs) that are cut; a third fills two shards of 12.5 % and 8 %
+    cut = {}
+    for name, n in sizes.items():
+        held = Counter(r.shard for r in rows if texts[r.doc_id] == name).values()
+        cut[name] = 1 - sum(h * (h - 1) for h in held) / (n * (n - 1))
+    assert cut["five"] < 0.02 and cut["ten"] < 0.02 and cut["third"] < 0.68, cut

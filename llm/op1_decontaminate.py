@@ -133,11 +133,12 @@ _ARROW = [pa.int64(), pa.int64(), pa.list_(pa.string()),
 
 
 def shared_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES,
-                  texts: tuple[str, ...] = ("text",)) -> list:
-    """The items' texts as one broadcast value per block of about `block_bytes`."""
+                  texts: tuple[str, ...] = ("text",), unnamed: bool = False) -> list:
+    """The items' texts as one broadcast value per block of about `block_bytes`; those of
+    items without an id only if `unnamed`, under an empty id."""
     spark = items.sparkSession
-    items = items.where("item_id is not null").select(
-        F.col("item_id").cast("string").alias("item_id"),
+    items = items.where(F.col("item_id").isNotNull() | F.lit(unnamed)).select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.explode(F.array(*[F.col(c).cast("string") for c in texts])).alias("text")
     ).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -228,9 +229,9 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns.
 
     Rows are judged where they are: nothing is joined, so repeated and null ids do not
-    matter.
+    matter. Items without an id count like any other, as nothing has to name them.
     """
-    blocks = shared_blocks(items)
+    blocks = shared_blocks(items, unnamed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}

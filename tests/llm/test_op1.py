@@ -78,3 +78,11 @@ def test_empty_tables(spark):
     assert find_hits(d, b).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert find_hits(one, b).first().n_words == 2
+
+
+def test_clean_drops_hits_of_items_without_id(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words), (2, "free of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words), ("a", "other words entirely")],
+                                  "item_id string, text string")
+    assert [r.doc_id for r in clean(docs, items).collect()] == [2]

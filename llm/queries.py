@@ -18,6 +18,7 @@ from llm.op8_secrets import op8_secrets
 from llm.op9_suffix_tree import op9_suffix_tree
 from llm.op10_minhash import ORACLE_SQL as op10_minhash_sql
 from llm.op10_minhash import op10_minhash
+from llm.op12_sentencepiece import op12_sentencepiece
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_minhash": op10_minhash,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {

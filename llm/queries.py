@@ -18,7 +18,11 @@ from llm.op8_secrets import op8_secrets
 from llm.op9_suffix_tree import op9_suffix_tree
 from llm.op10_minhash import ORACLE_SQL as op10_minhash_sql
 from llm.op10_minhash import op10_minhash
+from llm.op11_divergence import ORACLE_SQL as op11_divergence_sql
+from llm.op11_divergence import op11_divergence
 from llm.op12_sentencepiece import op12_sentencepiece
+from llm.op13_prefix_trie import ORACLE_SQL as op13_prefix_trie_sql
+from llm.op13_prefix_trie import op13_prefix_trie
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +42,17 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_minhash": op10_minhash,
+    "op11_divergence": op11_divergence,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": op1_decontaminate_sql,
     "op4_chat": op4_chat_sql,
     "op10_minhash": op10_minhash_sql,
+    "op11_divergence": op11_divergence_sql,
+    "op13_prefix_trie": op13_prefix_trie_sql,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -33,6 +33,14 @@ def test_agenda_equals_library_on_random_texts():
         assert found == known.encode(texts)
 
 
+def test_agendas_side_by_side_give_what_each_gives_alone():
+    own, rng = Vocabulary(PATH), random.Random(3)
+    units = ["".join(rng.choices("▁▁abenrthsti.,é中\x00", k=rng.randrange(1, 33)))
+             for _ in range(3000)]
+    assert own.agendas(units) == [own.unit_ids(u) for u in units]
+    assert own.agendas(["x"]) == [own.unit_ids("x")] and own.agendas(["\x00"])
+
+
 def test_whole_units_give_the_same_as_cut_ones():
     own = Vocabulary(PATH)
     for text in ("▁the▁1900s▁were,▁as\nthey▁▁▁▁say", "▁a▁b", "▁▁▁"):

@@ -8,12 +8,20 @@ unit of work, which keeps the best M windows per query before anything moves.
 M = k * (2 * gap - 1) is enough for an exact choice of k windows: a chosen
 window rules out at most 2 * (gap - 1) others, so among the best M windows
 the greedy choice either reaches k or would have ended there anyway.
+
+Few windows of a unit are compared with a query point by point. The means of
+COARSE segments, and the norm of what they leave out, bound the similarity from
+above. The M windows with the best means are compared first; a window whose bound
+is below the worst of them is none of the best M.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barweave.functions.arrays import (
     FLAT, dot, mean, relative_path, resample, spread, standardize,
@@ -30,9 +38,13 @@ HORIZON = 20
 CHECKS = (5, 10, 20)
 FAN = (10, 25, 50, 75, 90)
 MIN_MATCHES = 10
-# Queries that meet a library window in one row, about; pieces of the library.
+# Queries and windows that meet in one unit of work, about.
 LOT = 256
-PIECES = 64
+PIECE_ROWS = 32_768
+# Segments whose means bound a similarity; queries bounded, pairs compared at once.
+COARSE = 15
+BOUNDED = 32
+COMPARED = 65_536
 
 
 def _segments(bars: DataFrame, back: int, ahead: int) -> DataFrame:
@@ -50,17 +62,25 @@ def _segments(bars: DataFrame, back: int, ahead: int) -> DataFrame:
         ((F.col("seg") + 1) * size).alias("to_end"), "rows")
 
 
-def _cut(bars: DataFrame, window: int, step: int, horizon: int) -> DataFrame:
-    """Segments with the array `cuts` of their windows, flat ones removed."""
+def _ended(
+    bars: DataFrame, window: int, step: int, horizon: int
+) -> DataFrame:
+    """Segments with the first and last end of their windows.
+
+    Ends are exclusive: a window's last bar is at position end - 1.
+    """
     parts = _segments(bars, window - 1, horizon)
-    # Ends are exclusive: the window's last bar is at position end - 1.
     first = F.lit(window) + F.expr(
         f"(greatest({window}, from_end) - {window} + {step - 1}) div {step}") * step
     last = F.least(F.col("to_end"), F.col("n_bars") - horizon - 1)
-    parts = parts.select(
+    return parts.select(
         "*", first.alias("first_end"), last.alias("last_end"),
         F.col("rows")[0]["pos"].alias("base"),
     ).where(F.col("first_end") <= F.col("last_end"))
+
+
+def _cuts(window: int, step: int, horizon: int) -> Column:
+    """The windows of a segment, flat ones removed."""
     ends = F.sequence(F.col("first_end"), F.col("last_end"), F.lit(step).cast("long"))
     at = (lambda e: (e - F.col("base")).cast("int"))
     # Each step stores what the next one reads more than once.
@@ -68,42 +88,44 @@ def _cut(bars: DataFrame, window: int, step: int, horizon: int) -> DataFrame:
         e.alias("end"),
         F.slice("rows", at(e) - window + 1, window)["close"].alias("raw"),
         F.slice("rows", at(e) + 1, horizon)["close"].alias("next"),
+        F.element_at("rows", at(e) - window + 1)["date"].alias("start_date"),
         F.element_at("rows", at(e))["date"].alias("end_date")))
     cuts = F.transform(cuts, lambda s: F.struct(
-        s["end"], s["raw"], s["next"], s["end_date"],
+        s["end"], s["raw"], s["next"], s["start_date"], s["end_date"],
         F.element_at(s["raw"], window).alias("last"),
         mean(s["raw"]).alias("center")))
     cuts = F.transform(cuts, lambda s: F.struct(
         s["end"].alias("end"), s["raw"].alias("raw"), s["next"].alias("next"),
-        s["end_date"].alias("end_date"), s["last"].alias("last"),
-        s["center"].alias("center"),
+        s["start_date"].alias("start_date"), s["end_date"].alias("end_date"),
+        s["last"].alias("last"), s["center"].alias("center"),
         spread(s["raw"], s["center"]).alias("width")))
-    return parts.select(
-        "symbol", "seg", "n_bars", F.filter(
-            cuts, lambda s: s["width"] >= FLAT).alias("cuts"))
+    return F.filter(cuts, lambda s: s["width"] >= FLAT)
 
 
 def cut_windows(
     bars: DataFrame, window: int = 60, step: int = STEP, horizon: int = HORIZON
 ) -> DataFrame:
     """The kept windows before scaling: raw closes, mean and deviation."""
-    return _cut(bars, window, step, horizon).select("symbol", F.inline("cuts"))
+    return _ended(bars, window, step, horizon).select(
+        "symbol", F.inline(_cuts(window, step, horizon)))
 
 
 def build_library(
     bars: DataFrame, window: int = 60, step: int = STEP, horizon: int = HORIZON
 ) -> DataFrame:
-    """Rows (symbol, widx, end_date, x, fut).
+    """Rows (symbol, widx, start_date, end_date, x, fut).
 
     x holds the z-scores of `window` closes, fut the returns of the next
     `horizon` closes against the window's last. `widx` counts the kept windows
     of a symbol.
     """
-    parts = _cut(bars, window, step, horizon)
-    # Only symbols with several segments need the counts of earlier segments.
+    parts = _ended(bars, window, step, horizon)
+    cuts = _cuts(window, step, horizon)
+    # Only symbols with several segments need the counts of earlier segments; they
+    # meet the segments before these are cut.
     chain = Window.partitionBy("symbol").orderBy("seg")
-    counts = parts.where(F.col("n_bars") > max(SEGMENT_ROWS, window)).select(
-        "symbol", "seg", F.size("cuts").alias("kept"))
+    counts = parts.where(F.col("n_bars") > max(SEGMENT_ROWS, window, horizon)).select(
+        "symbol", "seg", F.size(cuts).alias("kept"))
     before = counts.select(
         "symbol", "seg",
         F.sum("kept").over(chain.rowsBetween(Window.unboundedPreceding, -1))
@@ -111,9 +133,10 @@ def build_library(
     placed = parts.join(before.hint("merge"), ["symbol", "seg"], "left")
     rows = placed.select(
         "symbol", F.coalesce("before", F.lit(0)).alias("before"),
-        F.posexplode("cuts").alias("i", "cut"))
+        F.posexplode(cuts).alias("i", "cut"))
     return rows.select(
         "symbol", (F.col("before") + F.col("i")).alias("widx"),
+        F.col("cut.start_date").alias("start_date"),
         F.col("cut.end_date").alias("end_date"),
         standardize(F.col("cut.raw"), F.col("cut.center"), F.col("cut.width"))
         .alias("x"),
@@ -121,10 +144,15 @@ def build_library(
 
 
 def last_shapes(bars: DataFrame, window: int = 60) -> DataFrame:
-    """The last `window` closes of every symbol, as queries."""
-    return last_bars(number_bars(bars), window).groupBy(
-        F.col("symbol").alias("query_id")
-    ).agg(F.array_sort(F.collect_list(F.struct("pos", "close")))["close"].alias("q"))
+    """The last `window` closes of every symbol, as queries.
+
+    Rows (query_id, q, symbol, from_date, to_date); the last three say where the
+    shape is from, so that a search can leave it out.
+    """
+    return last_bars(number_bars(bars), window).groupBy("symbol").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "close")))["close"].alias("q"),
+        F.min("date").alias("from_date"), F.max("date").alias("to_date")).select(
+        F.col("symbol").alias("query_id"), "q", "symbol", "from_date", "to_date")
 
 
 def query_shape(bars: DataFrame, symbols: list[str], window: int = 60) -> DataFrame:
@@ -135,64 +163,160 @@ def query_shape(bars: DataFrame, symbols: list[str], window: int = 60) -> DataFr
 def prepare_queries(queries: DataFrame, window: int) -> DataFrame:
     """Resample to the window length and standardize; flat shapes drop out."""
     q = F.col("q")
-    fitted = queries.select("query_id", F.when(
+    rest = [c for c in queries.columns if c != "q"]
+    fitted = queries.select(*rest, F.when(
         F.size(q) == window, q).otherwise(resample(q, window)).alias("q"))
-    centered = fitted.select("query_id", "q", mean(q).alias("center"))
+    centered = fitted.select("*", mean(q).alias("center"))
     sized = centered.select("*", spread(q, F.col("center")).alias("width"))
     return sized.select(
-        "query_id", standardize(q, F.col("center"), F.col("width")).alias("zq")
+        *rest, standardize(q, F.col("center"), F.col("width")).alias("zq")
     ).where(F.col("zq").isNotNull())
 
 
+def _dealt(library: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `lot` and `piece`: every window meets every lot once."""
+    lots = max(1, -(-shapes.count() // LOT))
+    pieces = max(1, -(-library.count() // PIECE_ROWS))
+    lot = F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")
+    piece = F.pmod(F.xxhash64("symbol", "widx"), F.lit(pieces)).cast("int")
+    return (library.select("*", piece.alias("piece"), F.explode(F.sequence(
+                F.lit(0), F.lit(lots - 1))).alias("lot")),
+            shapes.select("*", lot.alias("lot"), F.explode(F.sequence(
+                F.lit(0), F.lit(pieces - 1))).alias("piece")))
+
+
 def score(library: DataFrame, queries: DataFrame, window: int = 60) -> DataFrame:
     """Similarity (Pearson correlation) of every window to every query.
 
-    Rows (query_id, symbol, widx, end_date, sim, lot, piece), laid out by lot and
-    piece. Any number of queries: each lot of about LOT travels as one array to
-    every piece of the library, and only the product leaves the pair.
+    Rows (query_id, symbol, widx, end_date, sim). Any number of queries: each lot
+    of about LOT travels as one array to every piece of the library.
     """
-    shapes = prepare_queries(queries, window)
-    lots = max(1, -(-shapes.count() // LOT))
-    lot = F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")
-    packed = shapes.groupBy(lot.alias("lot")).agg(
+    dealt, shapes = _dealt(
+        library.select("symbol", "widx", "end_date", "x"),
+        prepare_queries(queries, window).select("query_id", "zq"))
+    packed = shapes.groupBy("lot", "piece").agg(
         F.collect_list(F.struct("query_id", "zq")).alias("qs"))
-    packed = packed.withColumn("piece", F.explode(F.sequence(
-        F.lit(0), F.lit(PIECES - 1))))
-    piece = F.pmod(F.xxhash64("symbol", "widx"), F.lit(PIECES)).cast("int")
-    dealt = library.select(
-        "symbol", "widx", "end_date", "x", piece.alias("piece"),
-        F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot")
-    ).repartition("lot", "piece")
     x = F.col("x")
     sims = F.transform("qs", lambda q: F.struct(
         q["query_id"].alias("query_id"),
         (dot(x, q["zq"]) / F.lit(float(window))).alias("sim")))
-    return dealt.join(packed, ["lot", "piece"]).select(
-        F.inline(sims), "symbol", "widx", "end_date", "lot", "piece")
-
-
-def best_windows(scored: DataFrame, m: int) -> DataFrame:
-    """The best m rows per query: first of each piece, where the rows are, then
-    of what the pieces keep."""
-    order = [F.col("sim").desc(), F.col("symbol"), F.col("widx").desc()]
-    near = Window.partitionBy("lot", "piece", "query_id").orderBy(*order)
-    whole = Window.partitionBy("query_id").orderBy(*order)
-    local = scored.withColumn("at", F.row_number().over(near)).where(
-        F.col("at") <= m).drop("lot", "piece")
-    return local.withColumn("at", F.row_number().over(whole)).where(
-        F.col("at") <= m)
-
+    return dealt.repartition("lot", "piece").join(packed, ["lot", "piece"]).select(
+        F.inline(sims), "symbol", "widx", "end_date")
+
+
+def _coarse(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled segment means of each row, and the norm of what they leave out."""
+    edges = np.linspace(0, rows.shape[1], min(COARSE, rows.shape[1]) + 1).astype(int)
+    means = np.add.reduceat(rows, edges[:-1], axis=1) / np.sqrt(np.diff(edges))
+    rest = (rows * rows).sum(1) - (means * means).sum(1)
+    return means, np.sqrt(np.maximum(rest, 0.0))
+
+
+def nearest(x: np.ndarray, z: np.ndarray, m: int, barred: np.ndarray | None = None
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The m rows of x with the largest products with each row of z, equal ones in the
+    order of x: their places in x and in z, the products, and how many pairs were
+    multiplied out. `barred` marks pairs (x, z) that do not count."""
+    (x_mean, x_rest), (z_mean, z_rest) = _coarse(x), _coarse(z)
+    places, queries, products, compared = [], [], [], 0
+    slop = 1e-9 * x.shape[1]  # what rounding can add to or take from a bound
+    for start in range(0, len(z), BOUNDED):
+        part = slice(start, start + BOUNDED)
+        middle, slack = x_mean @ z_mean[part].T, np.outer(x_rest, z_rest[part])
+        if barred is not None:
+            middle[barred[:, part]] = -np.inf
+        near = middle > -np.inf
+        if len(x) > m:
+            # The worst of any m products is a bound; these are likely to be large.
+            likely = np.argpartition(middle, len(x) - m, axis=0)[len(x) - m:]
+            least = np.array([(x[rows] * z[start + k]).sum(1).min() if near[rows, k].all()
+                              else -np.inf for k, rows in enumerate(likely.T)])
+            near &= middle + slack >= least - slop
+            compared += likely.size
+        q, i = np.nonzero(near.T)
+        value = np.concatenate([np.zeros(0)] + [
+            (x[i[k:k + COMPARED]] * z[start + q[k:k + COMPARED]]).sum(1)
+            for k in range(0, len(i), COMPARED)])
+        order = np.lexsort((i, -value, q))
+        i, q, value = i[order], q[order], value[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < m
+        places.append(i[first])
+        queries.append(start + q[first])
+        products.append(value[first])
+        compared += len(order)
+    return (np.concatenate(places), np.concatenate(queries), np.concatenate(products),
+            compared)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy().reshape(len(values), -1)
+
+
+def _days(column: pa.ChunkedArray) -> np.ndarray:
+    """Dates or timestamps as numbers; null, which nothing overlaps, the least."""
+    kind = pa.int32() if pa.types.is_date32(column.type) else pa.int64()
+    return column.cast(kind).cast(pa.int64()).fill_null(-1 << 62).to_numpy()
+
+
+def _overlaps(windows: pa.Table, shapes: pa.Table) -> np.ndarray:
+    """Which windows share a bar with the history a shape was taken from."""
+    own = windows.column("symbol").combine_chunks().dictionary_encode()
+    number = {name: k for k, name in enumerate(own.dictionary.to_pylist())}
+    asked = np.array([number.get(s, -1) for s in shapes.column("own_symbol").to_pylist()])
+    same = own.indices.to_numpy()[:, None] == asked[None, :]
+    return (same & (_days(windows.column("end_date"))[:, None]
+                    >= _days(shapes.column("own_from_date"))[None, :])
+            & (_days(windows.column("start_date"))[:, None]
+               <= _days(shapes.column("own_to_date"))[None, :]))
+
+
+def best_windows(
+    library: DataFrame, queries: DataFrame, window: int, m: int,
+    exclude_self: bool = False,
+) -> DataFrame:
+    """The best m windows per query: rows (query_id, at, symbol, widx, end_date, sim).
 
-def choose(scored: DataFrame, library: DataFrame, window: int = 60, k: int = 100,
+    Equal similarities are ordered by symbol, later windows first. With
+    `exclude_self`, windows that overlap the bars a query was taken from (its columns
+    symbol, from_date and to_date; null for a drawn shape) are left out.
+    """
+    shapes = prepare_queries(queries, window)
+    origin = ["symbol", "from_date", "to_date"] if exclude_self else []
+    dealt, asked = _dealt(
+        library.select("symbol", "widx", "start_date", "end_date", "x"),
+        shapes.select("query_id", "zq", *[F.col(c).alias(f"own_{c}") for c in origin]))
+    kinds = {f.name: f.dataType for f in [*asked.schema, *dealt.schema]}
+    kept = T.StructType([T.StructField(c, kinds[c]) for c in (
+        "query_id", "symbol", "widx", "end_date")]).add("sim", "double")
+
+    def unit(windows: pa.Table, shapes: pa.Table) -> pa.Table:
+        windows = windows.sort_by([("symbol", "ascending"), ("widx", "descending")])
+        i, q, products = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        if len(windows) and len(shapes):
+            i, q, products, _ = nearest(
+                _matrix(windows.column("x")), _matrix(shapes.column("zq")), m,
+                _overlaps(windows, shapes) if origin else None)
+        rows = windows.select(["symbol", "widx", "end_date"]).take(pa.array(i))
+        return pa.table([shapes.column("query_id").take(pa.array(q)), *rows.columns,
+                         pa.array(products / float(window))], kept.names)
+
+    found = dealt.groupBy("lot", "piece").cogroup(
+        asked.groupBy("lot", "piece")).applyInArrow(unit, kept)
+    order = Window.partitionBy("query_id").orderBy(
+        F.col("sim").desc(), F.col("symbol"), F.col("widx").desc())
+    return found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= m)
+
+
+def choose(best: DataFrame, library: DataFrame, window: int = 60, k: int = 100,
            step: int = STEP) -> DataFrame:
     """Greedy choice of k windows per query, apart within each symbol.
 
-    Rows (query_id, rank, n, symbol, widx, end_date, sim, fut), best first.
-    Queries with fewer than MIN_MATCHES windows give no rows. Only the chosen
-    windows look up their outcomes in the library.
+    Rows (query_id, rank, n, symbol, widx, end_date, sim, fut), best first, from the
+    best windows of each query (`enough` of them). Queries with fewer than MIN_MATCHES
+    windows give no rows. Only the chosen windows look up their outcomes in the library.
     """
-    gap = max(1, window // (2 * step))
-    best = best_windows(scored, k * (2 * gap - 1))
+    gap = min_gap(window, step)
     entry = F.struct("at", "symbol", "widx", "end_date", "sim")
     listed = best.groupBy("query_id").agg(
         F.array_sort(F.collect_list(entry)).alias("rows"))
@@ -217,6 +341,16 @@ def choose(scored: DataFrame, library: DataFrame, window: int = 60, k: int = 100
         "query_id", "rank", "n", "symbol", "widx", "end_date", "sim", "fut")
 
 
+def min_gap(window: int, step: int = STEP) -> int:
+    """How far apart chosen windows of a symbol are, in windows."""
+    return max(1, window // (2 * step))
+
+
+def enough(window: int, k: int, step: int = STEP) -> int:
+    """How many of the best windows the greedy choice of k can need."""
+    return k * (2 * min_gap(window, step) - 1)
+
+
 def matches(chosen: DataFrame) -> DataFrame:
     """Display rows of the chosen windows."""
     last = F.element_at("fut", -1)
@@ -263,7 +397,13 @@ def outcome_histogram(chosen: DataFrame, bins: int = 30) -> DataFrame:
 
 
 def find_similar(
-    library: DataFrame, queries: DataFrame, window: int = 60, k: int = 100
+    library: DataFrame, queries: DataFrame, window: int = 60, k: int = 100,
+    exclude_self: bool = False,
 ) -> DataFrame:
-    """The chosen windows; feed them to the four result functions."""
-    return choose(score(library, queries, window), library, window, k)
+    """The chosen windows; feed them to the four result functions.
+
+    The library is read three times (counted, searched, looked up): store it with
+    `sources.library` unless it is small. `exclude_self` as in `best_windows`.
+    """
+    best = best_windows(library, queries, window, enough(window, k), exclude_self)
+    return choose(best, library, window, k)

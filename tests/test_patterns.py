@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
 from barweave.operators import patterns
+from barweave.sources import library as stored
 from barweave.sources.files import read_bar_files
 from tests.helpers import GOLDEN, bars, frame, needs_golden, walk
 
@@ -73,6 +75,7 @@ def test_too_few_matches_or_flat_query_give_nothing(spark):
 def test_many_queries(spark, monkeypatch):
     """Several lots and pieces give what each query gives alone."""
     monkeypatch.setattr(patterns, "LOT", 40)
+    monkeypatch.setattr(patterns, "PIECE_ROWS", 900)
     panel = bars(spark, *[frame(f"s{i}", walk(i, 140)) for i in range(300)])
     library = patterns.build_library(panel)
     shapes = patterns.last_shapes(panel)
@@ -86,3 +89,73 @@ def test_many_queries(spark, monkeypatch):
     for name in ("s0", "s7", "s299"):
         want = brute(closes, closes[name][-60:], 60, 12)
         assert [r[1:] for r in sorted(got[name])] == [w[:2] for w in want]
+
+
+def test_few_pairs_are_compared_and_none_is_lost():
+    """Bounds leave a small part of the pairs; the best ones are the brute-force ones."""
+    rng = np.random.default_rng(4)
+    paths = np.cumsum(rng.normal(size=(5040, 60)), axis=1)
+    paths[100:110] = paths[90]  # ties
+    x = (paths - paths.mean(1, keepdims=True)) / paths.std(1, keepdims=True)
+    x, z = x[:5000], x[5000:]
+    i, q, products, compared = patterns.nearest(x, z, 50)
+    assert compared < 0.1 * len(x) * len(z)
+    whole = np.array([(x * row).sum(1) for row in z])
+    for k in range(len(z)):
+        want = np.lexsort((np.arange(len(x)), -whole[k]))[:50]
+        assert i[q == k].tolist() == want.tolist()
+        assert products[q == k].tolist() == whole[k][want].tolist()
+    barred = rng.random((len(x), len(z))) < 0.5
+    i, q, _, _ = patterns.nearest(x, z, 50, barred)
+    assert len(i) == 50 * len(z) and not barred[i, q].any()
+    assert len(patterns.nearest(x[:7], z, 50)[0]) == 7 * len(z)
+    assert len(patterns.nearest(x[:7], z, 50, barred[:7] | True)[0]) == 0
+
+
+def test_own_windows_can_be_left_out(spark):
+    closes = {"a": walk(1, 400), "b": walk(2, 400)}
+    panel = bars(spark, *[frame(s, c) for s, c in closes.items()])
+    library = patterns.build_library(panel)
+    shapes = patterns.query_shape(panel, ["a"]).unionByName(spark.createDataFrame(
+        [("drawn", walk(3, 60).tolist())], "query_id string, q array<double>"),
+        allowMissingColumns=True)
+    found = patterns.find_similar(library, shapes, k=30).collect()
+    apart = patterns.find_similar(library, shapes, k=30, exclude_self=True).collect()
+    first = shapes.where("query_id = 'a'").first().from_date
+    own = {(r.symbol, r.widx) for r in library.collect()
+           if r.symbol == "a" and r.end_date >= first}
+    assert own and any((r.symbol, r.widx) in own for r in found if r.query_id == "a")
+    assert not any((r.symbol, r.widx) in own for r in apart if r.query_id == "a")
+    assert ([r for r in found if r.query_id == "drawn"]
+            == [r for r in apart if r.query_id == "drawn"] != [])
+
+
+def test_library_grows_to_the_full_build(spark, tmp_path, monkeypatch):
+    """Bars come in steps: single days, new symbols, a symbol that stops."""
+    flat = walk(1, 300)
+    flat[100:180] = 7.0
+    frames = {"a": frame("a", flat), "b": frame("b", walk(2, 150)),
+              "new": frame("new", walk(3, 200), start="2020-06-01"),
+              "short": frame("short", walk(4, 70))}
+    panel = bars(spark, *frames.values())
+    path = str(tmp_path / "library")
+    days = ["2020-03-25", "2020-03-26", "2020-03-27", "2020-07-01", "2020-07-01", "2021-12-31"]
+    for day in days:
+        stored.grow_library(panel.where(f"date <= DATE'{day}'"), path)
+    assert stored.generation(spark, path) == len(days)
+    grown = {(r.symbol, r.widx): r for r in stored.read_library(spark, path).collect()}
+    whole = {(r.symbol, r.widx): r for r in patterns.build_library(panel).collect()}
+    assert grown.keys() == whole.keys() and len(whole) > 60
+    for key, row in whole.items():
+        assert (row.end_date, row.x, row.fut) == (
+            grown[key].end_date, grown[key].x, grown[key].fut)
+    with pytest.raises(ValueError, match="sizes"):
+        stored.grow_library(panel, path, window=30)
+
+
+def test_long_symbols_are_cut_once_in_order(spark, monkeypatch):
+    """Several segments of one symbol: ordinals go on, flat windows are not counted."""
+    closes = walk(5, 4700)
+    closes[2000:2200] = closes[2000]
+    rows = patterns.build_library(bars(spark, frame("s", closes))).orderBy("end_date").collect()
+    assert [r.widx for r in rows] == list(range(len(rows)))

@@ -7,9 +7,11 @@ from barweave.operators.indicators import add_indicators
 from barweave.operators.signals import latest_signals
 from barweave.operators.universe import build_universe
 from barweave.plans.summary import build_summary, candle_view, signal_report
+from barweave.session import scratch_dir
 from barweave.sources.adapters import (
     bars_from_events, exchange_listing_from_part, index_listing_from_part,
 )
+from barweave.sources.library import grow_library, read_library
 from workload.registry import query, r, rounded
 from workload.rows import SCREEN_FIELDS, chosen
 from workload.sql import sql
@@ -112,19 +114,36 @@ def report(t):
     return signal_report(build_summary(t.bars, t.universe))
 
 
-@query("e13_build_library", sql("""
-  SELECT symbol, widx, end_date, i AS step, round((win[i] - m) / sd, 6) + 0.0 AS z,
-    CASE WHEN i <= 20 THEN round(nxt[i] / last - 1, 8) + 0.0 END AS ret
-  FROM (SELECT *, unnest(range(1, 61)) AS i FROM windows)""", "windows"))
-def library(t):
-    rows = patterns.build_library(t.bars).select(
-        "symbol", F.col("widx").cast("long").alias("widx"), "end_date", "fut",
+LIBRARY_ROWS = sql("""
+  SELECT symbol, widx, start_date, end_date, i AS step, round((win[i] - m) / sd, 6) + 0.0
+    AS z, CASE WHEN i <= 20 THEN round(nxt[i] / last - 1, 8) + 0.0 END AS ret
+  FROM (SELECT *, unnest(range(1, 61)) AS i FROM windows)""", "windows")
+
+
+def library_rows(library):
+    rows = library.select(
+        "symbol", F.col("widx").cast("long").alias("widx"), "start_date", "end_date", "fut",
         F.posexplode("x").alias("i", "z"))
     return rows.select(
-        "symbol", "widx", "end_date", (F.col("i") + 1).cast("long").alias("step"),
+        "symbol", "widx", "start_date", "end_date",
+        (F.col("i") + 1).cast("long").alias("step"),
         r("z", 6).alias("z"), r(F.get("fut", "i"), 8).alias("ret"))
 
 
+@query("e13_build_library", LIBRARY_ROWS)
+def library(t):
+    return library_rows(patterns.build_library(t.bars))
+
+
+@query("e13_grow_library", LIBRARY_ROWS)
+def grown_library(t):
+    """Built with the bars of some years, then grown twice by later ones."""
+    path = scratch_dir(t.spark, "library")
+    for until in ("1995-12-31", "1996-01-20", "9999-01-01"):
+        grow_library(t.bars.where(F.col("date") <= F.lit(until).cast("date")), path)
+    return library_rows(read_library(t.spark, path))
+
+
 @query("e14_query_shape", sql("""
   SELECT symbol AS query_id, 60 - age AS i, "close" FROM num
   WHERE age < 60 AND symbol IN ('1', '2')""", "num"))
@@ -134,17 +153,29 @@ def query_shape(t):
         "query_id", (F.col("i") + 1).cast("long").alias("i"), "close")
 
 
-@query("e15_find_similar", sql("""
-  SELECT query_id, rank, n, symbol, widx, end_date, round(sim, 6) + 0.0 AS sim,
-    round(fut[20], 8) + 0.0 AS ret20 FROM chosen""", "chosen"))
-def find_similar(t):
-    return chosen(t).select(
+def match_rows(chosen):
+    return chosen.select(
         "query_id", F.col("rank").cast("long").alias("rank"),
         F.col("n").cast("long").alias("n"), "symbol",
         F.col("widx").cast("long").alias("widx"), "end_date",
         r("sim", 6).alias("sim"), r(F.element_at("fut", -1), 8).alias("ret20"))
 
 
+MATCH_ROWS = """
+  SELECT query_id, rank, n, symbol, widx, end_date, round(sim, 6) + 0.0 AS sim,
+    round(fut[20], 8) + 0.0 AS ret20 FROM """
+
+
+@query("e15_find_similar", sql(f"{MATCH_ROWS} chosen", "chosen"))
+def find_similar(t):
+    return match_rows(chosen(t))
+
+
+@query("e15_exclude_self", sql(f"{MATCH_ROWS} chosen_elsewhere", "chosen_elsewhere"))
+def find_similar_elsewhere(t):
+    return match_rows(chosen(t, exclude_self=True))
+
+
 @query("e16_screen", sql(f"""
   SELECT {SCREEN_FIELDS} FROM summary
   WHERE "group" IN ('large', 'mid', 'small') AND sector = 'NATION_6'""", "summary"))

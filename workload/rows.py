@@ -15,6 +15,8 @@ from barweave.operators.universe import (
 )
 from barweave.plans.summary import build_summary
 from barweave.schemas import DOMESTIC_MARKET, SIZE_TO_GROUP
+from barweave.session import scratch_dir
+from barweave.sources import library
 from barweave.sources.adapters import (
     exchange_listing_from_part, index_listing_from_part,
 )
@@ -257,9 +259,8 @@ def head_of_group(t):
       ORDER BY sim DESC, symbol, widx DESC) AS place FROM scored)
   WHERE place <= 1100""", "scored"))
 def rank_matches(t):
-    scored = patterns.score(
-        patterns.build_library(t.bars), patterns.query_shape(t.bars, ["1", "2"]))
-    best = patterns.best_windows(scored, 1100)
+    best = patterns.best_windows(
+        patterns.build_library(t.bars), patterns.query_shape(t.bars, ["1", "2"]), 60, 1100)
     return best.select(
         "query_id", F.col("at").cast("long").alias("place"), "symbol",
         F.col("widx").cast("long").alias("widx"), r("sim", 6).alias("sim"))
@@ -275,9 +276,15 @@ def greedy_choice(t):
         r("sim", 6).alias("sim"))
 
 
-def chosen(t):
+def chosen(t, **options):
     return patterns.find_similar(
-        patterns.build_library(t.bars), patterns.query_shape(t.bars, ["1", "2"]))
+        stored_library(t), patterns.query_shape(t.bars, ["1", "2"]), **options)
+
+
+def stored_library(t):
+    path = scratch_dir(t.spark, "library")
+    library.grow_library(t.bars, path)
+    return library.read_library(t.spark, path)
 
 
 @query("t5_top_matches", sql("""

@@ -213,9 +213,10 @@ part("summary", """
      "labels", "week", "universe")
 
 part("windows", """
-  SELECT symbol, e, date AS end_date, win, nxt, last, m, sd,
+  SELECT symbol, e, date AS end_date, start_date, win, nxt, last, m, sd,
     row_number() OVER (PARTITION BY symbol ORDER BY e) - 1 AS widx
   FROM (SELECT symbol, pos + 1 AS e, date, "close" AS last,
+      min(date) OVER (w ROWS 59 PRECEDING) AS start_date,
       list("close") OVER (w ROWS 59 PRECEDING) AS win,
       list("close") OVER (w ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS nxt,
       avg("close") OVER (w ROWS 59 PRECEDING) AS m,
@@ -224,37 +225,39 @@ part("windows", """
   WHERE e >= 60 AND (e - 60) % 5 = 0 AND e < n - 20 AND sd >= 1e-9""", "num")
 
 part("shapes", """
-  SELECT query_id, list_transform(q, lambda x : (x - m) / sd) AS zq
+  SELECT query_id, list_transform(q, lambda x : (x - m) / sd) AS zq, from_date
   FROM (SELECT symbol AS query_id, list("close" ORDER BY pos) AS q,
-      avg("close") AS m, stddev_pop("close") AS sd
+      avg("close") AS m, stddev_pop("close") AS sd, min(date) AS from_date
     FROM num WHERE age < 60 AND symbol IN ('1', '2') GROUP BY symbol)
   WHERE sd >= 1e-9""", "num")
 
-part("scored", """
+# All windows against each shape, and the greedy choice: a fold over the best
+# 100 * (2 * 6 - 1) windows of a query. Shapes are the last bars of a symbol, so a window
+# overlaps its shape if it ends after the shape's first bar.
+for suffix, which in (("", "true"), (
+        "_elsewhere", "w.symbol <> s.query_id OR w.end_date < s.from_date")):
+    part(f"scored{suffix}", f"""
   SELECT s.query_id, w.symbol, w.widx, w.end_date,
     list_dot_product(list_transform(w.win, lambda x : (x - w.m) / w.sd), s.zq) / 60
       AS sim,
     list_transform(w.nxt, lambda x : x / w.last - 1) AS fut
-  FROM windows w, shapes s""", "windows", "shapes")
-
-# Greedy choice: a fold over the best 100 * (2 * 6 - 1) windows of a query.
-part("taken", """
+  FROM windows w, shapes s WHERE {which}""", "windows", "shapes")
+    part(f"taken{suffix}", f"""
   SELECT query_id, list_reduce(
-      list([{'symbol': symbol, 'widx': widx, 'end_date': end_date, 'sim': sim,
-             'fut': fut}] ORDER BY place),
+      list([{{'symbol': symbol, 'widx': widx, 'end_date': end_date, 'sim': sim,
+             'fut': fut}}] ORDER BY place),
       lambda a, x : CASE WHEN len(a) < 100 AND len(list_filter(a, lambda y :
           y.symbol = x[1].symbol AND abs(y.widx - x[1].widx) < 6)) = 0
         THEN list_concat(a, x) ELSE a END) AS rows
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-      ORDER BY sim DESC, symbol, widx DESC) AS place FROM scored)
-  WHERE place <= 1100 GROUP BY query_id""", "scored")
-
-part("chosen", """
+      ORDER BY sim DESC, symbol, widx DESC) AS place FROM scored{suffix})
+  WHERE place <= 1100 GROUP BY query_id""", f"scored{suffix}")
+    part(f"chosen{suffix}", f"""
   SELECT query_id, i AS rank, len(rows) AS n, rows[i].symbol AS symbol,
     rows[i].widx AS widx, rows[i].end_date AS end_date, rows[i].sim AS sim,
     rows[i].fut AS fut
-  FROM (SELECT query_id, rows, unnest(range(1, len(rows) + 1)) AS i FROM taken
-    WHERE len(rows) >= 10)""", "taken")
+  FROM (SELECT query_id, rows, unnest(range(1, len(rows) + 1)) AS i FROM taken{suffix}
+    WHERE len(rows) >= 10)""", f"taken{suffix}")
 
 part("listing_a", """
   SELECT list_extract(['Prime (内国株式)', 'Standard (内国株式)', 'ETF'],

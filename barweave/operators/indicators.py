@@ -1,10 +1,9 @@
 """Rolling and exponentially weighted indicators over the whole panel.
 
-`add_indicators` runs in two layouts. In calendar slots it computes what has
-unlimited memory (the exponential means of the close and of gains and losses)
-from sums carried across slots. In segments with context rows it computes what
-has limited reach: rolling windows, and the signal line, whose memory is below
-double precision after `memory_rows` bars.
+`add_indicators` runs in one layout, the calendar slots of a symbol. What has
+unlimited memory (the exponential means of the close, of gains and losses, and of
+the MACD) goes on from sums carried across slots; rolling windows see the last
+closes before the slot as rows in front of it.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.operators.panel import (
-    SEGMENT_ROWS, Decay, memory_rows, number_bars, owned, scale_rows,
-    with_context,
+    SLOT, Decay, Signal, mean_of, number_bars, with_closes,
 )
 
 
@@ -22,61 +20,47 @@ def span_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-def _segment_rows(back: int) -> int:
-    return max(SEGMENT_ROWS, back)
+def _by_pos():
+    """The window of a slot with the rows in front of it."""
+    return Window.partitionBy("symbol", SLOT).orderBy("pos")
 
 
-def _signal_reach(signal: float, back: int) -> int | None:
-    """Bars behind a segment that the signal line needs, if a segment can have
-    them: its growth factor over the whole segment must fit a double."""
-    ratio = 1.0 - span_alpha(signal)
-    if ratio == 0:
-        return 1
-    reach = max(back, memory_rows(ratio))
-    fits = _segment_rows(reach) + reach <= scale_rows(ratio)
-    return memory_rows(ratio) if fits else None
-
-
-def _frames(back: int):
-    """The window of a segment, and its running frame."""
-    by_pos = Window.partitionBy("symbol", "seg").orderBy("pos")
-    return by_pos, by_pos.rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _segment_start(back: int, size: int) -> Column:
-    return F.greatest(F.col("seg") * size - back, F.lit(0))
-
-
-def _same_run(back: int, size: int) -> Column:
-    """Length of the run of equal closes that ends at this bar.
+def _same_run() -> Column:
+    """Length of the run of equal closes that ends at this bar, as far as the slot
+    and the rows in front of it tell.
 
     A window inside such a run has exactly this close as its mean and no
     deviation; summing rounded doubles would not give that.
     """
-    _, running = _frames(back)
     changed = F.when(
         F.col("prev_close").isNull() | (F.col("close") != F.col("prev_close")),
         F.col("pos"))
-    start = F.coalesce(F.max(changed).over(running), _segment_start(back, size))
+    so_far = _by_pos().rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.max(changed).over(so_far), F.min("pos").over(so_far))
     return F.col("pos") - start + 1
 
 
-def _rolling_mean(w: int, back: int) -> Column:
-    by_pos, _ = _frames(back)
-    frame = by_pos.rowsBetween(-(w - 1), 0)
+def _rolling_mean(w: int) -> Column:
+    frame = _by_pos().rowsBetween(-(w - 1), 0)
     value = F.when(F.col("same_run") >= w, F.col("close")).otherwise(
         F.avg("close").over(frame))
     return F.when(F.col("pos") >= w - 1, value)
 
 
-def _rolling_std(w: int, back: int) -> Column:
-    by_pos, _ = _frames(back)
-    frame = by_pos.rowsBetween(-(w - 1), 0)
+def _rolling_std(w: int) -> Column:
+    frame = _by_pos().rowsBetween(-(w - 1), 0)
     value = F.when(F.col("same_run") >= w, F.lit(0.0)).otherwise(
         F.stddev_samp("close").over(frame))
     return F.when(F.col("pos") >= w - 1, value)
 
 
+def _rolled(numbered: DataFrame, **columns: Column) -> DataFrame:
+    """The rolling columns of bars numbered with enough `back`."""
+    laid = with_closes(numbered).withColumn("same_run", _same_run())
+    return laid.select("*", *[c.alias(name) for name, c in columns.items()]).where(
+        "own").drop("own", "same_run", SLOT)
+
+
 def _rsi(period: int) -> Column:
     both = F.col("ewm_gain") + F.col("ewm_loss")
     return F.when(
@@ -84,13 +68,6 @@ def _rsi(period: int) -> Column:
         F.try_divide(F.lit(100.0) * F.col("ewm_gain"), both))
 
 
-def _ema(name: str, alpha: float) -> Column:
-    """Unadjusted exponential mean, seeded with the symbol's first close."""
-    ratio = 1.0 - alpha
-    return (F.lit(alpha) * F.col(name)
-            + F.pow(F.lit(ratio), F.col("pos") + 1) * F.col("first_close"))
-
-
 def _gain_loss(period: int) -> tuple[Decay, Decay]:
     ratio = 1.0 - 1.0 / period
     return Decay("ewm_gain", "gain", ratio), Decay("ewm_loss", "loss", ratio)
@@ -114,26 +91,21 @@ def add_log_return(bars: DataFrame) -> DataFrame:
 
 
 def add_sma(bars: DataFrame, windows: tuple[int, ...] = (5, 20, 50)) -> DataFrame:
-    back = max(windows) - 1
-    size = _segment_rows(back)
-    laid = with_context(number_bars(bars), back, size=size)
-    laid = laid.withColumn("same_run", _same_run(back, size))
-    laid = laid.select(
-        "*", *[_rolling_mean(w, back).alias(f"sma{w}") for w in windows])
-    return owned(laid, size).drop("same_run")
+    return _rolled(number_bars(bars, back=_reach(windows)),
+                   **{f"sma{w}": _rolling_mean(w) for w in windows})
+
+
+def _reach(windows: tuple[int, ...]) -> int:
+    """Closes before a slot that its rolling windows reach."""
+    return max(1, max(windows) - 1)
 
 
 def add_bollinger(
     bars: DataFrame, window: int = 20, num_std: float = 2.0
 ) -> DataFrame:
-    back = window - 1
-    size = _segment_rows(back)
-    laid = with_context(number_bars(bars), back, size=size)
-    laid = laid.withColumn("same_run", _same_run(back, size))
-    laid = laid.select(
-        "*", _rolling_mean(window, back).alias("bb_mid"),
-        _rolling_std(window, back).alias("bb_std"))
-    return _bands(owned(laid, size), num_std).drop("same_run")
+    return _bands(_rolled(number_bars(bars, back=_reach((window,))),
+                          bb_mid=_rolling_mean(window), bb_std=_rolling_std(window)),
+                  num_std)
 
 
 def _bands(df: DataFrame, num_std: float) -> DataFrame:
@@ -159,9 +131,9 @@ def add_gain_loss_means(bars: DataFrame, period: int = 14) -> DataFrame:
 
 
 def add_ema(bars: DataFrame, span: float = 20) -> DataFrame:
-    alpha = span_alpha(span)
-    numbered = number_bars(bars, (Decay("ewm_close", "close", 1.0 - alpha),))
-    return numbered.withColumn("ema", _ema("ewm_close", alpha)).drop("ewm_close")
+    decay = Decay("ewm_close", "close", 1.0 - span_alpha(span))
+    numbered = number_bars(bars, (decay,))
+    return numbered.withColumn("ema", mean_of(decay)).drop("ewm_close")
 
 
 def _macd_decays(fast: float, slow: float) -> tuple[Decay, Decay]:
@@ -169,52 +141,40 @@ def _macd_decays(fast: float, slow: float) -> tuple[Decay, Decay]:
             Decay("ewm_slow", "close", 1.0 - span_alpha(slow)))
 
 
-def _macd(fast: float, slow: float) -> Column:
-    return _ema("ewm_fast", span_alpha(fast)) - _ema("ewm_slow", span_alpha(slow))
+def _signal(fast: float, slow: float, signal: float) -> Signal | None:
+    """The carried signal line; None if one of the memories is a single bar."""
+    means, ratio = _macd_decays(fast, slow), 1.0 - span_alpha(signal)
+    if ratio == 0 or any(d.ratio == 0 for d in means):
+        return None
+    return Signal("ewm_signal", *means, ratio)
 
 
-def _signal_line(signal: float, back: int, size: int) -> Column:
-    """Exponential mean of the MACD inside a segment.
-
-    The first row of the segment seeds it; in later segments that row lies
-    `memory_rows` before the first owned bar.
-    """
-    alpha = span_alpha(signal)
-    ratio = 1.0 - alpha
-    if ratio == 0:
-        return F.col("macd")
-    _, running = _frames(back)
-    step = F.col("pos") - _segment_start(back, size)
-    grown = F.sum(F.col("macd") * F.pow(F.lit(ratio), -step)).over(running)
-    seed = F.first("macd").over(running)
-    return (F.lit(alpha) * F.pow(F.lit(ratio), step) * grown
-            + F.pow(F.lit(ratio), step + 1) * seed)
+def _with_signal(df: DataFrame, carried: Signal | None, signal: float) -> DataFrame:
+    if carried:
+        return df.withColumn("macd_signal", F.lit(1.0 - carried.ratio)
+                             * F.col("ewm_signal")).drop("ewm_signal")
+    if span_alpha(signal) == 1:
+        return df.withColumn("macd_signal", F.col("macd"))
+    return _carried_signal(df, signal)
 
 
 def _carried_signal(df: DataFrame, signal: float) -> DataFrame:
-    """The signal line by sums carried across slots, whatever its memory."""
-    alpha = span_alpha(signal)
+    """The signal line by numbering the MACD like a close, in another pass."""
+    decay = Decay("ewm_again", "close", 1.0 - span_alpha(signal))
     rest = [c for c in df.columns if c not in ("symbol", "date")]
     macd = df.select("symbol", "date", F.col("macd").alias("close"),
                      F.struct(*rest).alias("bar"))
-    summed = number_bars(macd, (Decay("ewm_signal", "close", 1.0 - alpha),))
-    return summed.select("symbol", "date", "bar.*",
-                         _ema("ewm_signal", alpha).alias("macd_signal"))
+    summed = number_bars(macd, (decay,))
+    return summed.select("symbol", "date", "bar.*", mean_of(decay).alias("macd_signal"))
 
 
 def add_macd(
     bars: DataFrame, fast: float = 12, slow: float = 26, signal: float = 9
 ) -> DataFrame:
-    numbered = number_bars(bars, _macd_decays(fast, slow)).withColumn(
-        "macd", _macd(fast, slow)).drop("ewm_fast", "ewm_slow")
-    back = _signal_reach(signal, 0)
-    if back is None:
-        out = _carried_signal(numbered, signal)
-    else:
-        size = _segment_rows(back)
-        laid = with_context(numbered, back, size=size)
-        out = owned(laid.withColumn(
-            "macd_signal", _signal_line(signal, back, size)), size)
+    means, carried = _macd_decays(fast, slow), _signal(fast, slow, signal)
+    out = number_bars(bars, means, signal=carried).withColumn(
+        "macd", mean_of(means[0]) - mean_of(means[1])).drop("ewm_fast", "ewm_slow")
+    out = _with_signal(out, carried, signal)
     return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
@@ -225,28 +185,19 @@ def add_indicators(
     fast: float = 12, slow: float = 26, signal: float = 9,
     bb_window: int = 20, num_std: float = 2.0,
 ) -> DataFrame:
-    """All indicator columns, sharing one numbering and one segment layout."""
-    back = max(max(windows), bb_window) - 1
-    reach = _signal_reach(signal, back)
-    back = max(back, reach or 0)
-    size = _segment_rows(back)
+    """All indicator columns, in one layout."""
+    means, carried = _macd_decays(fast, slow), _signal(fast, slow, signal)
     numbered = number_bars(
-        bars, _macd_decays(fast, slow) + _gain_loss(rsi_period))
+        bars, means + _gain_loss(rsi_period), signal=carried,
+        back=_reach((*windows, bb_window)))
     numbered = numbered.select(
-        "*", _macd(fast, slow).alias("macd"), _rsi(rsi_period).alias("rsi"),
+        "*", (mean_of(means[0]) - mean_of(means[1])).alias("macd"),
+        _rsi(rsi_period).alias("rsi"),
     ).drop("ewm_fast", "ewm_slow", "ewm_gain", "ewm_loss", "first_close")
-    laid = with_context(numbered, back, size=size)
-    laid = laid.withColumn("same_run", _same_run(back, size))
-    laid = laid.select(
-        "*",
-        *[_rolling_mean(w, back).alias(f"sma{w}") for w in windows],
-        _rolling_mean(bb_window, back).alias("bb_mid"),
-        _rolling_std(bb_window, back).alias("bb_std"),
-        *([_signal_line(signal, back, size).alias("macd_signal")] if reach else []),
-    )
-    out = _bands(owned(laid, size), num_std)
-    if not reach:
-        out = _carried_signal(out, signal)
+    out = _bands(_rolled(
+        numbered, **{f"sma{w}": _rolling_mean(w) for w in windows},
+        bb_mid=_rolling_mean(bb_window), bb_std=_rolling_std(bb_window)), num_std)
+    out = _with_signal(out, carried, signal)
     return out.select(
         "symbol", "date", "open", "high", "low", "close", "volume",
         *[f"sma{w}" for w in windows], "rsi", "macd", "macd_signal",

@@ -1,15 +1,18 @@
 """Bar numbering and layouts that split long histories.
 
-A panel is one long table of bars, unique and ordered by (symbol, date). No
-operator here sorts a whole symbol in one task: rows are sorted in calendar
+A panel is one long table of bars, ordered by (symbol, date). No operator here
+sorts a whole symbol in one task: rows are laid out and sorted in calendar
 *slots* of a symbol, and what a slot must know of the slots before it (row
-count, last close, decayed sums) comes from a table with one row per slot.
-Bars are unique per calendar unit, so a slot holds at most `slot_rows` bars
-and the slot table is about a thousand times smaller than the panel.
+count, last closes, decayed sums) comes from a table about a thousand times
+smaller than the panel. A slot's bars are counted off into parts of at most
+`slot_rows`, so repeated dates and fine timestamps are numbered like others.
 
 `number_bars` gives every bar its position `pos` and the symbol's `n_bars`.
 With these, "latest bar", "last N bars", "at least N bars" and "every fifth
 bar" are plain filters, and per-symbol results are partial aggregations.
+
+Sums carried from part to part are scanned in two levels: within blocks of
+positions whose weights fit a double, and over the totals of the blocks before.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLOT_ROWS = 1024
+# A stored panel with this column is laid out by it and the symbol already.
+SLOT = "calendar_slot"
 SEGMENT_ROWS = 2048
 # exp(650) is far from the double limit, with room for the values themselves.
 MAX_LOG_SCALE = 650.0
-# Terms below this share of the sum are lost in double precision anyway.
-NEGLIGIBLE = 1e-17
 
 
 @dataclass(frozen=True)
@@ -41,11 +44,14 @@ class Decay:
     ratio: float
 
 
-def memory_rows(ratio: float) -> int:
-    """Number of steps after which a term has decayed below NEGLIGIBLE."""
-    if ratio == 0:
-        return 1
-    return math.ceil(math.log(NEGLIGIBLE) / math.log(ratio))
+@dataclass(frozen=True)
+class Signal:
+    """A decayed sum of the difference of two exponential means of the close."""
+
+    name: str
+    fast: Decay
+    slow: Decay
+    ratio: float
 
 
 def scale_rows(ratio: float) -> int:
@@ -54,11 +60,7 @@ def scale_rows(ratio: float) -> int:
 
 
 def slot_index(bars: DataFrame, slot_rows: int = SLOT_ROWS) -> Column:
-    """Calendar slot of a bar; dates count days, timestamps count hours.
-
-    A slot of dates holds at most `slot_rows` bars; one of timestamps can hold
-    more, see `keyed_by_slot`.
-    """
+    """Calendar slot of a bar; dates count days, timestamps count hours."""
     kind = bars.schema["date"].dataType
     if isinstance(kind, T.DateType):
         unit = F.unix_date("date")
@@ -71,27 +73,16 @@ def slot_index(bars: DataFrame, slot_rows: int = SLOT_ROWS) -> Column:
     return F.floor(unit / F.lit(slot_rows)).cast("int")
 
 
-# A slot's number within its calendar cell must stay below this.
-CELL_SLOTS = 1 << 32
-
+def keyed_by_slot(bars: DataFrame) -> DataFrame:
+    """Add the calendar slot and lay the bars out by symbol and slot.
 
-def keyed_by_slot(bars: DataFrame, slot_rows: int) -> DataFrame:
-    """Add `slot` and lay the bars out by (symbol, slot).
-
-    Slots are in the order of the dates and hold at most `slot_rows` bars.
-    Timestamps can be closer than an hour, so the bars of a calendar cell are
-    counted off. The layout is asked for here: a join by symbol before would
-    else leave a whole symbol in one task.
+    The layout is asked for here: a join by symbol before would else leave a
+    whole symbol in one task. Bars that come with their slot, as a bucketed table
+    stores them, are left where they are.
     """
-    cell = slot_index(bars, slot_rows).cast("long")
-    if isinstance(bars.schema["date"].dataType, T.DateType):
-        return bars.withColumn("slot", cell).repartition("symbol", "slot")
-    by_date = Window.partitionBy("symbol", "cell").orderBy("date")
-    counted = bars.withColumn("cell", cell).repartition("symbol", "cell").withColumn(
-        "at", F.row_number().over(by_date) - 1)
-    return counted.withColumn(
-        "slot", F.col("cell") * CELL_SLOTS + F.expr(f"at div {slot_rows}")
-    ).drop("cell", "at")
+    if SLOT in bars.columns:
+        return bars
+    return bars.withColumn(SLOT, slot_index(bars)).repartition("symbol", SLOT)
 
 
 def priced(bars: DataFrame) -> DataFrame:
@@ -107,58 +98,122 @@ def _directed(decay: Decay, change: Column) -> Column:
     return _up(change if decay.of == "gain" else -change)
 
 
-def _in_slot(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
-    """Rank, previous close and grown running sums inside each slot.
+def _addend(decay: Decay) -> Column:
+    """A bar's own term; the change of a slot's first bar is not known there."""
+    if decay.of == "close":
+        return F.col("close")
+    return F.coalesce(_directed(decay, F.col("close") - F.col("before")), F.lit(0.0))
 
-    A grown sum is the sum of ratio**-j times the addend. The change of a
-    slot's first bar needs the slot before and is added by the readers.
-    """
-    by_date = Window.partitionBy("symbol", "slot").orderBy("date")
-    running = by_date.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = keyed.select(
-        "*", (F.row_number().over(by_date) - 1).alias("j"),
-        F.lag("close").over(by_date).alias("before"))
-    sums = []
-    for d in decays:
-        addend = F.col("close") if d.of == "close" else F.coalesce(
-            _directed(d, F.col("close") - F.col("before")), F.lit(0.0))
-        grown = addend * F.pow(F.lit(d.ratio), -F.col("j"))
-        sums.append(F.sum(grown).over(running).alias(f"grown_{d.name}"))
-    return ranked.select("*", *sums) if sums else ranked
 
+def _counted(keyed: DataFrame, slot_rows: int, back: int = 0) -> DataFrame:
+    """Add `at` (place in the slot), `part`, `j` (place in the part) and `before`
+    (the close before, in the slot), with `back` also `late`: the last ones.
 
-def _first_term(decay: Decay) -> Column:
-    """The change of the slot's first bar against the slot before."""
-    change = F.col("first_in") - F.col("carry_close")
-    return F.coalesce(_directed(decay, change), F.lit(0.0))
+    Rows without a close are not counted. Bars of one date are ordered by their
+    prices and volume.
+    """
+    ties = [c for c in ("close", "open", "high", "low", "volume") if c in keyed.columns]
+    by_date = Window.partitionBy("symbol", SLOT).orderBy("date", *ties)
+    known = F.when(~F.isnan("close"), F.col("close"))
+    so_far = by_date.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keyed.withColumn("close", known).select(
+        "*", (F.count("close").over(so_far) - 1).alias("at"),
+        F.last("close", ignorenulls=True).over(
+            by_date.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        *([(F.count("close").over(by_date.rowsBetween(
+            0, Window.unboundedFollowing)) <= back).alias("late")] if back else []))
+    return ranked.withColumn(
+        "part", F.expr(f"greatest(at, 0) div {slot_rows}").cast("int")).withColumn(
+        "j", F.expr(f"at % {slot_rows}"))
+
+
+def _running(value: Column, ratio: float) -> Column:
+    """Sum of ratio**-j times the value over this and the part's earlier bars."""
+    part = Window.partitionBy("symbol", SLOT, "part").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return F.sum(value * F.pow(F.lit(ratio), -F.col("j"))).over(part)
+
+
+def _power(ratio: float, n: Column) -> Column:
+    return F.pow(F.lit(ratio), n)
+
+
+def _two_memories(a: float, b: float, n: Column) -> Column:
+    """Sum of a**i * b**(n - 1 - i) for i below n."""
+    high, low = max(a, b), min(a, b)
+    if high == low:
+        return n * _power(high, n - 1)
+    step = math.log(low / high)
+    return _power(high, n - 1) * F.expm1(n * F.lit(step)) / F.lit(math.expm1(step))
+
+
+def _carried(ratio: float, of_part: Column) -> list[tuple[str, Column]]:
+    """Steps (column, value) to `carry`: the sum of the terms of all earlier parts,
+    each as `of_part` gives it for the part's last bar, seen from the last bar
+    before this part.
+
+    Weights grow by at most scale_rows within a block. What is older than three
+    blocks has decayed below the least double.
+    """
+    block = max(1, scale_rows(ratio) // 2)
+    end = F.col("offset") + F.col("cnt")
+    chain = Window.partitionBy("symbol", "block").orderBy(SLOT, "part")
+    blocks = Window.partitionBy("symbol").orderBy("block")
+    steps = [
+        ("block", F.expr(f"offset div {block}")),
+        ("own", of_part),
+        ("grown", F.col("own") * _power(ratio, F.col("block") * block - end)),
+        ("shrunk", F.col("own") * _power(ratio, (F.col("block") + 1) * block - end)),
+        ("carry", F.coalesce(F.sum("grown").over(chain.rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0.0)) * _power(
+            ratio, F.col("offset") - F.col("block") * block)),
+    ]
+    for m in (1, 2, 3):
+        older = F.coalesce(F.sum("shrunk").over(blocks.rangeBetween(-m, -m)), F.lit(0.0))
+        steps.append(("carry", F.col("carry") + older * _power(
+            ratio, F.col("offset") - (F.col("block") - (m - 1)) * block)))
+    return steps
 
 
-def _decayed_onto(ratio: float):
-    """Adds an earlier slot's sum as seen from the start of this slot."""
-    return lambda acc, e: acc + e["sum"] * F.pow(
-        F.lit(ratio), F.col("offset") - e["end"])
+def _scan(heads: DataFrame, name: str, ratio: float, of_part: Column) -> DataFrame:
+    for column, value in _carried(ratio, of_part):
+        heads = heads.withColumn(column, value)
+    return heads.withColumnRenamed("carry", name).drop("block", "own", "grown", "shrunk")
 
 
-def _slot_heads(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
-    """One row per (symbol, slot): what precedes the slot's first bar."""
-    has_close = F.when(F.col("close").isNotNull(), F.col("date"))
+def _slot_heads(
+    keyed: DataFrame, decays: tuple[Decay, ...], signal: Signal | None,
+    slot_rows: int, back: int,
+) -> DataFrame:
+    """One row per (symbol, slot): its parts in order, with what precedes each, and
+    the `back` closes before the slot."""
+    rows = _counted(keyed.select("symbol", SLOT, "date", "close"), slot_rows, back)
+    priced_at = F.when(F.col("close").isNotNull(), F.col("at"))
     aggs = [
         F.count(F.lit(1)).alias("rows"),
         F.count("close").alias("cnt"),
-        F.min_by("close", has_close).alias("first_in"),
-        F.max_by("close", has_close).alias("last_in"),
-    ]
-    rows = keyed
-    if decays:
-        rows = _in_slot(keyed.select("symbol", "slot", "date", "close"), decays)
-        aggs += [F.max_by(f"grown_{d.name}", "j").alias(f"grown_{d.name}")
-                 for d in decays]
-    slots = rows.groupBy("symbol", "slot").agg(*aggs)
-
-    chain = Window.partitionBy("symbol").orderBy("slot")
+        F.min_by("close", priced_at).alias("first_in"),
+        F.max_by("close", priced_at).alias("last_in"),
+        *[F.coalesce(F.sum(_addend(d) * _power(d.ratio, -F.col("j"))), F.lit(0.0))
+          .alias(f"sum_{d.name}") for d in decays]]
+    if back:
+        aggs.append(F.array_sort(F.collect_list(F.when(
+            F.col("late") & F.col("close").isNotNull(), F.struct("at", "close"))))[
+                "close"].alias("tail"))
+    if signal:
+        # What the part's own closes add to the difference of the two means.
+        mean = {d: F.lit(1.0 - d.ratio) * _power(d.ratio, F.col("j")) * _running(
+            F.col("close"), d.ratio) for d in (signal.fast, signal.slow)}
+        rows = rows.where("close is not null or part = 0").withColumn(
+            "gap", mean[signal.fast] - mean[signal.slow])
+        aggs.append(F.coalesce(F.sum(F.col("gap") * _power(
+            signal.ratio, -F.col("j"))), F.lit(0.0)).alias(f"sum_{signal.name}"))
+    parts = rows.groupBy("symbol", SLOT, "part").agg(*aggs)
+
+    chain = Window.partitionBy("symbol").orderBy(SLOT, "part")
     earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("symbol")
-    heads = slots.select(
+    heads = parts.select(
         "*",
         F.coalesce(F.sum("cnt").over(earlier), F.lit(0)).alias("offset"),
         F.sum("cnt").over(whole).alias("n_bars"),
@@ -167,73 +222,125 @@ def _slot_heads(keyed: DataFrame, decays: tuple[Decay, ...]) -> DataFrame:
         F.first("first_in", ignorenulls=True).over(
             chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ).alias("first_close"),
-    )
+        *([F.lag("tail").over(chain).alias("tail_before")] if back else []))
+    if back:
+        near = Window.partitionBy("symbol").orderBy("offset").rangeBetween(-(back - 1), 0)
+        closes = F.flatten(F.collect_list("tail_before").over(near))
+        heads = heads.withColumn("context", closes).withColumn("context", F.slice(
+            "context", F.greatest(F.size("context") - back, F.lit(0)) + 1, back))
+    shrink = F.col("cnt") - 1
     for d in decays:
-        # Decayed to the slot's last bar; the first bar's own change was not
-        # known inside the slot and is added here.
-        shrink = F.pow(F.lit(d.ratio), F.col("cnt") - 1)
-        total = F.col(f"grown_{d.name}")
+        total = F.col(f"sum_{d.name}")
         if d.of != "close":
-            total = total + _first_term(d)
-        heads = heads.withColumn(
-            f"ends_{d.name}",
-            F.struct((F.col("offset") + F.col("cnt")).alias("end"),
-                     (shrink * total).alias("sum")),
-        )
-    for d in decays:
-        reached = F.collect_list(f"ends_{d.name}").over(earlier)
-        heads = heads.withColumn(
-            f"carry_{d.name}",
-            F.aggregate(reached, F.lit(0.0), _decayed_onto(d.ratio)))
-    return heads.select(
-        "symbol", "slot", "offset", "n_bars", "n_rows", "carry_close",
-        "first_in", "first_close", *[f"carry_{d.name}" for d in decays],
-    )
+            first = F.col("first_in") - F.col("carry_close")
+            total = total + F.when(F.col("part") == 0, F.coalesce(
+                _directed(d, first), F.lit(0.0))).otherwise(0.0)
+        heads = _scan(heads, f"carry_{d.name}", d.ratio, total * _power(d.ratio, shrink))
+    if signal:
+        # The means also hold what was carried into the part, and the first close.
+        total = F.col(f"sum_{signal.name}") * _power(signal.ratio, shrink)
+        for d, sign in ((signal.fast, 1.0), (signal.slow, -1.0)):
+            both = _two_memories(d.ratio, signal.ratio, F.col("cnt"))
+            total = total + F.lit(sign * d.ratio) * both * (
+                F.lit(1.0 - d.ratio) * F.col(f"carry_{d.name}")
+                + _power(d.ratio, F.col("offset")) * F.col("first_close"))
+        heads = _scan(heads, f"carry_{signal.name}", signal.ratio, F.when(
+            F.col("cnt") > 0, total).otherwise(0.0))
+    carries = [f"carry_{d.name}" for d in decays]
+    if signal:
+        carries.append(f"carry_{signal.name}")
+    return heads.groupBy("symbol", SLOT).agg(
+        F.array_sort(F.collect_list(F.struct(
+            "part", "offset", "carry_close", *carries))).alias("parts"),
+        F.max("n_bars").alias("n_bars"), F.max("n_rows").alias("n_rows"),
+        F.max("first_close").alias("first_close"),
+        *([F.min_by("context", "part").alias("context")] if back else []))
 
 
 def number_bars(
     bars: DataFrame,
     decays: tuple[Decay, ...] = (),
     slot_rows: int = SLOT_ROWS,
+    signal: Signal | None = None,
+    back: int = 0,
 ) -> DataFrame:
     """Add pos, n_bars, n_rows, prev_close, first_close and the decayed sums.
 
     Rows without a close are counted in `n_rows` only. The decayed sum named
     x at a bar is the sum of ratio**age times the addend over this and all
-    earlier bars of the symbol, exact across slots.
+    earlier bars of the symbol, exact across slots. `signal`, whose two means must
+    be among the decays, gives the same for the difference of the means. Bars stay
+    in their slots; with `back`, the columns SLOT, `at` and `context` tell
+    `with_closes` what precedes each slot.
     """
     bars = bars.drop("pos", "n_bars", "n_rows", "prev_close", "first_close")
     # Nothing is left of earlier bars at ratio 0: the sum is the bar's own term.
     own = tuple(d for d in decays if d.ratio == 0)
     decays = tuple(d for d in decays if d.ratio > 0)
-    for d in decays:
-        slot_rows = min(slot_rows, scale_rows(d.ratio))
-    keyed = keyed_by_slot(priced(bars) if decays or own else bars, slot_rows)
-    heads = _slot_heads(keyed, decays)
+    for ratio in [d.ratio for d in decays] + ([signal.ratio] if signal else []):
+        slot_rows = max(1, min(slot_rows, scale_rows(ratio) // 4))
+    keyed = keyed_by_slot(bars)
+    heads = _slot_heads(keyed, decays, signal, slot_rows, back)
 
     # The bars are laid out and sorted by (symbol, slot) already: a merge join
     # moves only the small side, and never makes the bars the broadcast side.
+    head = F.get("parts", F.col("part"))
     numbered = (
-        _in_slot(priced(keyed), decays)
-        .join(heads.hint("merge"), ["symbol", "slot"])
-        .withColumn("pos", (F.col("offset") + F.col("j")).cast("long"))
-        .withColumn("prev_close", F.coalesce("before", "carry_close"))
+        priced(_counted(keyed, slot_rows))
+        .join(heads.hint("merge"), ["symbol", SLOT])
+        .withColumn("pos", (head["offset"] + F.col("j")).cast("long"))
+        .withColumn("prev_close", F.coalesce("before", head["carry_close"]))
     )
+    change = F.col("close") - F.col("prev_close")
     for d in decays:
-        grown = F.col(f"grown_{d.name}")
-        if d.of != "close":
-            grown = grown + _first_term(d)
-        carried = F.lit(d.ratio) * F.col(f"carry_{d.name}")
-        numbered = numbered.withColumn(
-            d.name, F.pow(F.lit(d.ratio), F.col("j")) * (grown + carried)
-        ).drop(f"grown_{d.name}", f"carry_{d.name}")
+        value = F.col("close") if d.of == "close" else F.coalesce(
+            _directed(d, change), F.lit(0.0))
+        numbered = numbered.withColumn(f"grown_{d.name}", _running(value, d.ratio))
+    for d in decays:
+        numbered = numbered.withColumn(d.name, _power(d.ratio, F.col("j")) * (
+            F.col(f"grown_{d.name}") + F.lit(d.ratio) * head[f"carry_{d.name}"])
+        ).drop(f"grown_{d.name}")
     for d in own:
-        change = F.col("close") - F.col("prev_close")
         numbered = numbered.withColumn(
             d.name, F.col("close") if d.of == "close"
             else F.coalesce(_directed(d, change), F.lit(0.0)))
-    return numbered.drop(
-        "slot", "offset", "carry_close", "first_in", "j", "before")
+    if signal:
+        gap = mean_of(signal.fast) - mean_of(signal.slow)
+        numbered = numbered.withColumn("gap", gap).withColumn(
+            "grown", _running(F.col("gap"), signal.ratio)).withColumn(
+            signal.name, _power(signal.ratio, F.col("j")) * (
+                F.col("grown") + F.lit(signal.ratio) * head[f"carry_{signal.name}"])
+        ).drop("gap", "grown")
+    numbered = numbered.drop("parts", "part", "j", "before")
+    return numbered if back else numbered.drop(SLOT, "at")
+
+
+def mean_of(decay: Decay) -> Column:
+    """Unadjusted exponential mean, seeded with the symbol's first close."""
+    return (F.lit(1.0 - decay.ratio) * F.col(decay.name)
+            + _power(decay.ratio, F.col("pos") + 1) * F.col("first_close"))
+
+
+def with_closes(numbered: DataFrame) -> DataFrame:
+    """Put the closes that precede a slot in front of it, in the same layout.
+
+    For bars numbered with `back`. Adds `own`, false for the rows put in front;
+    these have pos, close and prev_close (null for the first), their other columns
+    mean nothing.
+    """
+    context = F.col("context")
+    before = F.transform(context, lambda x, i: F.struct(
+        (F.size(context) - i).cast("long").alias("away"), x.alias("close"),
+        F.when(i > 0, F.get(context, i - 1)).alias("prev_close")))
+    itself = F.array(F.struct(F.lit(0).cast("long").alias("away"), F.col("close"),
+                              F.col("prev_close")))
+    rows = F.when(F.col("at") == 0, F.concat(before, itself)).otherwise(itself)
+    rest = [c for c in numbered.columns
+            if c not in ("context", "at", "pos", "close", "prev_close")]
+    return numbered.select(*rest, "pos", F.explode(rows).alias("row")).select(
+        *rest, (F.col("pos") - F.col("row.away")).alias("pos"),
+        F.col("row.close").alias("close"), F.col("row.prev_close").alias("prev_close"),
+        (F.col("row.away") == 0).alias("own"))
 
 
 def last_bars(numbered: DataFrame, n: int) -> DataFrame:

@@ -150,3 +150,47 @@ def test_hot_symbol_is_split_behind_a_join(spark):
             if "hashpartitioning(symbol" in line and "slot" in line]
     assert joined and laid and min(laid) < min(joined)
     assert all(any(a < j for a in laid) for j in joined)
+
+
+def test_repeated_dates(spark):
+    """Rows of one date are ordered by price, and counted like others."""
+    close = np.sort(walk(13, 20000))
+    panel = bars(spark, frame("one", close, days=[0] * 20000),
+                 frame("twice", walk(14, 3000), days=np.arange(3000)))
+    got = add_indicators(panel.union(panel.where("symbol = 'twice'"))).orderBy(
+        "symbol", "pos").toPandas()
+    one = got[got.symbol == "one"].reset_index(drop=True)
+    want = plain(pd.Series(close))
+    for c in want:
+        close_to(one[c], want[c])
+    assert (one.pos == np.arange(20000)).all()
+    two = got[got.symbol == "twice"].reset_index(drop=True)
+    want = plain(pd.Series(np.repeat(walk(14, 3000), 2)))
+    for c in want:
+        close_to(two[c], want[c])
+
+
+def test_sums_are_carried_over_many_slots(spark):
+    """Blocks of slots, weights that underflow, and what is left after a long pause."""
+    close = walk(15, 9000)
+    close[1000:8000] = close[1000]
+    days = np.arange(9000) * 300  # a slot holds three or four bars
+    panel = bars(spark, frame("sparse", close, "1900-01-01", days=days % 2_900_000))
+    mine = number_bars(panel, slot_rows=4).orderBy("pos").select("close").toPandas().close
+    got = add_indicators(panel, rsi_period=5).orderBy("pos").toPandas()
+    change = mine.diff()
+    gain = change.clip(lower=0).ewm(alpha=1 / 5, min_periods=5).mean()
+    loss = (-change.clip(upper=0)).ewm(alpha=1 / 5, min_periods=5).mean()
+    close_to(got.macd, plain(mine).macd)
+    close_to(got.macd_signal, plain(mine).macd_signal)
+    rsi = 100 - 100 / (1 + gain / loss)
+    early = slice(0, 4000)
+    close_to(got.rsi[early], rsi[early])
+
+
+def test_no_list_of_earlier_slots(spark):
+    """What is carried into a slot is summed by windows, not gathered."""
+    plan = add_rsi(bars(spark, frame("a", walk(1, 300))))._jdf.queryExecution(
+    ).optimizedPlan().toString()
+    lists = [line for line in plan.splitlines() if "collect_list" in line]
+    assert lists and all("Aggregate [symbol" in line for line in lists)

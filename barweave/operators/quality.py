@@ -39,21 +39,29 @@ def min_history(
 
 
 def rejects(bars: DataFrame, min_rows: int = INGEST_MIN_ROWS,
-            requested: DataFrame | None = None) -> DataFrame:
+            requested: DataFrame | None = None,
+            damaged: DataFrame | None = None) -> DataFrame:
     """Rows (symbol, reason, n_rows) of the symbols that did not pass.
 
     `requested` lists the symbols asked for; those that never arrived are
-    rejects as well.
+    rejects as well. `damaged` (symbol, n_rows) counts unreadable lines; a symbol
+    that has any is named with that reason too, whether or not the rest passed.
     """
     counts = symbol_counts(bars)
-    short = counts.where(F.col("n_priced") < min_rows).select(
+    found = counts.where(F.col("n_priced") < min_rows).select(
         "symbol", F.lit("short_history").alias("reason"),
         F.col("n_priced").alias("n_rows"))
+    if damaged is not None:
+        found = found.unionByName(damaged.select(
+            "symbol", F.lit("damaged_lines").alias("reason"), "n_rows"))
     if requested is None:
-        return short
+        return found
+    arrived = counts.select("symbol")
+    if damaged is not None:
+        arrived = arrived.unionByName(damaged.select("symbol"))
     missing = requested.select("symbol").distinct().join(
-        counts, "symbol", "left_anti")
-    return short.unionByName(missing.select(
+        arrived, "symbol", "left_anti")
+    return found.unionByName(missing.select(
         "symbol", F.lit("missing").alias("reason"),
         F.lit(0).cast("long").alias("n_rows")))
 
@@ -68,8 +76,10 @@ def quality_gate(
 
 
 def outcome_counts(rejected: DataFrame, requested: DataFrame) -> DataFrame:
-    """One row: how many requested symbols were accepted, failed, in total."""
-    failed = rejected.select("symbol", F.lit(True).alias("failed"))
+    """One row: how many requested symbols were accepted, failed, in total. Lines that
+    could not be read do not make a symbol fail."""
+    failed = rejected.where("reason <> 'damaged_lines'").select(
+        "symbol", F.lit(True).alias("failed")).distinct()
     joined = requested.select("symbol").distinct().join(failed, "symbol", "left")
     return joined.agg(
         F.count_if(F.col("failed").isNull()).alias("ok"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barweave.operators.universe import keep_last
 from barweave.schemas import BAR_FILE, PRICE_COLUMNS, UNIVERSE
@@ -12,18 +13,43 @@ from barweave.schemas import BAR_FILE, PRICE_COLUMNS, UNIVERSE
 def read_bar_files(spark: SparkSession, path: str) -> DataFrame:
     """CSV files, one per symbol: `<symbol>.csv`, or any file in a folder
     `symbol=<symbol>`. The symbol may hold any character. A file whose header
-    names the columns in another order is an error."""
-    raw = spark.read.schema(BAR_FILE).option("header", True).option(
-        "enforceSchema", False).option("recursiveFileLookup", True).csv(path)
+    names the columns in another order is an error. Damaged lines are left out,
+    see `damaged_lines`."""
+    return _bar_lines(spark, path).where("not damaged").drop("damaged")
+
+
+def damaged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (symbol, n_rows): lines of bar files that are no bars, because a field is
+    no number or date, there are too few or too many fields, or the date is missing."""
+    return _bar_lines(spark, path).where("damaged").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+def _bar_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines as bars; `damaged` tells those that are none.
+
+    Fields are read as text, so what counts as damaged does not depend on the columns
+    that a query selects.
+    """
+    lines = T.StructType([T.StructField(f.name, T.StringType()) for f in BAR_FILE]).add(
+        "unread", "string")
+    raw = spark.read.schema(lines).option("header", True).option("enforceSchema", False).option(
+        "columnNameOfCorruptRecord", "unread").option("columnPruning", False).option(
+        "recursiveFileLookup", True).csv(path)
     # The path is a URI; a partition folder is escaped once more by its writer.
     place = _percent_decoded(F.col("_metadata.file_path"))
     folder = F.regexp_extract(place, "/symbol=([^/]+)/", 1)
     stem = F.regexp_extract(place, r"([^/]*)\.csv$", 1)
     symbol = F.when(folder != "", _percent_decoded(folder)).otherwise(stem)
+    date = F.col("Date").try_cast("date")
+    values = {c: F.col(c.capitalize()).try_cast("double") for c in PRICE_COLUMNS}
+    damaged = F.col("unread").isNotNull() | date.isNull()
+    for c, value in values.items():
+        damaged = damaged | (value.isNull() & F.col(c.capitalize()).isNotNull())
     return raw.select(
-        symbol.alias("symbol"), F.col("Date").alias("date"),
-        *[F.nanvl(F.col(c.capitalize()), F.lit(None).cast("double")).alias(c)
-          for c in PRICE_COLUMNS])
+        symbol.alias("symbol"), date.alias("date"),
+        *[F.nanvl(value, F.lit(None).cast("double")).alias(c)
+          for c, value in values.items()], damaged.alias("damaged"))
 
 
 def _percent_decoded(text: Column) -> Column:
@@ -68,10 +94,12 @@ def long_from_wide(wide: DataFrame, symbols: list[str],
     """
     present = [s for s in symbols
                if all(f"{s}|{f}" in wide.columns for f in fields)]
+    entry = "array<struct<symbol:string," + ",".join(f"{f}:double" for f in fields) + ">>"
+    # Typed, so that it is an array of bars also if none of the symbols arrived.
     entries = F.array(*[
         F.struct(F.lit(s).alias("symbol"), *[
             F.col(f"`{s}|{f}`").cast("double").alias(f) for f in fields])
-        for s in present])
+        for s in present]).cast(entry)
     rows = wide.select("date", F.explode(entries).alias("bar"))
     return rows.select("bar.symbol", "date", *[
         F.col(f"bar.{f}") for f in fields]).where(F.col("close").isNotNull())

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from barweave.functions.rounding import round_exact, round_scaled
 from barweave.operators import quality, screens, series, universe
+from barweave.operators.indicators import add_indicators
+from barweave.operators.panel import number_bars
 from barweave.schemas import SUMMARY, UNIVERSE
 from barweave.sources import files, sinks
 from tests.helpers import bars, frame, walk
@@ -146,3 +148,119 @@ def test_first_of_group_keeps_rows_without_group(spark):
                                   ("C", "z", "small", "s"), ("D", "z", "us", "s")], UNIVERSE)
     kept = {r.symbol for r in universe.first_of_group(rows, "small", 1).collect()}
     assert kept == {"A", "B", "D"}
+
+
+def test_empty_panels_and_refreshes(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    empty = bars(spark, frame("a", walk(1, 3))).limit(0)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_bars(spark, path)
+    sinks.write_bars(empty, path)
+    assert sinks.read_bars(spark, path).schema == empty.schema
+    assert sinks.read_bars(spark, path).count() == 0
+    sinks.refresh_symbols(spark, empty, path)
+    assert sinks.read_symbol(spark, path, "a").count() == 0
+    sinks.refresh_symbols(spark, bars(spark, frame("a", walk(1, 30))), path)
+    sinks.refresh_symbols(spark, empty, path)
+    assert sinks.read_bars(spark, path).count() == 30
+
+
+def test_a_refresh_writes_touched_buckets_once(spark, tmp_path):
+    """Other buckets keep their files; replaced ones go with the write after."""
+    path = tmp_path / "bars"
+    names = [f"s{i}" for i in range(12)]
+    sinks.write_bars(bars(spark, *[frame(s, walk(i, 20)) for i, s in enumerate(names)]),
+                     str(path), n_buckets=6)
+
+    def stored():
+        return {str(f.relative_to(path)) for f in path.glob("gen=*/bucket=*/*.parquet")}
+
+    first = stored()
+    touched = spark.createDataFrame([("s3",)], "symbol string").select(
+        sinks.bucket_of(F.col("symbol"), 6).alias("b")).first().b
+    for n in (5, 6, 7):
+        before = stored()
+        sinks.refresh_symbols(spark, bars(spark, frame("s3", walk(1, n))), str(path))
+        assert all(f"/bucket={touched}/" in f for f in stored() - before)
+        assert sinks.read_bars(spark, str(path)).count() == 11 * 20 + n
+    gone = first - stored()
+    assert gone and all(f"/bucket={touched}/" in f for f in gone)
+    assert len(list(path.glob(f"gen=*/bucket={touched}"))) == 2
+    stale = sinks._versions(spark, str(path))[1:]
+    with pytest.raises(Exception, match="(?i)already exists"):
+        sinks._switch(spark, str(path), stale, 6, bars(spark, frame("a", [1.0])).schema, {})
+
+
+def test_bucket_count_follows_the_input(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "raw")
+    bars(spark, *[frame(s, walk(i, 2000)) for i, s in enumerate("abc")]).write.parquet(path)
+    stored = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    assert sinks.buckets_for(stored) == slots
+    monkeypatch.setattr(sinks, "BUCKET_BYTES", 1000)
+    assert sinks.buckets_for(stored) == -(-sinks.input_bytes(stored) // 1000) > slots
+
+
+def executed(df):
+    """The plan as it ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bucketed_table_is_numbered_without_an_exchange(spark):
+    panel = bars(spark, *[frame(s, walk(i, 3000)) for i, s in enumerate("abc")])
+    sinks.write_bar_table(panel, "bucketed_bars_test", n_buckets=4)
+    stored = spark.table("bucketed_bars_test")
+    columns = [*panel.columns, "pos", "n_bars", "prev_close"]
+    assert sorted(number_bars(stored).select(columns).collect()) == sorted(
+        number_bars(panel).select(columns).collect())
+    text = executed(add_indicators(stored))
+    final = text[:text.index("== Initial Plan ==")]
+    # From each scan up to the first exchange: windows and sums over the slots.
+    for chain in final.split("FileScan")[:-1]:
+        steps = [line for line in reversed(chain.splitlines()) if "- " in line]
+        first = next(k for k, line in enumerate(steps) if "Exchange" in line or
+                     "SortMergeJoin" in line or "Window" in line)
+        assert "Window" in steps[first]
+    spark.sql("DROP TABLE bucketed_bars_test")
+
+
+def test_one_full_size_exchange_of_stored_bars(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    bars(spark, *[frame(s, walk(i, 3000)) for i, s in enumerate("abc")]).write.parquet(path)
+    text = executed(add_indicators(spark.read.parquet(path)))
+    final = text[:text.index("== Initial Plan ==")]
+    moved = [line for line in final.splitlines() if "REPARTITION_BY_COL" in line]
+    # One of all columns; one of symbol, slot, date and close for the slot table.
+    assert len(moved) == 2
+
+
+def test_nothing_arrived(spark):
+    wide = spark.createDataFrame([("2024-01-02", 1.0)], "date string, `x|close` double")
+    got = files.long_from_wide(wide, ["gone", "x"])
+    assert got.columns == ["symbol", "date", "open", "high", "low", "close", "volume"]
+    assert got.count() == 0
+
+
+def test_damaged_lines_are_counted(spark, tmp_path):
+    (tmp_path / "A.csv").write_text(
+        "Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,10\n2024-01-03,x,2,1,1,1\n"
+        "not a date,1,2,0.5,1.5,10\n2024-01-05,1,2\n2024-01-08,,,,,\n")
+    (tmp_path / "B.csv").write_text("Date,Open,High,Low,Close,Volume\nbroken\n")
+    got = files.read_bar_files(spark, str(tmp_path))
+    assert sorted((r.symbol, str(r.date)) for r in got.collect()) == [
+        ("A", "2024-01-02"), ("A", "2024-01-08")]
+    damaged = files.damaged_lines(spark, str(tmp_path))
+    asked = spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string")
+    bad = quality.rejects(got, 1, asked, damaged)
+    assert sorted(map(tuple, bad.collect())) == [
+        ("A", "damaged_lines", 3), ("B", "damaged_lines", 1), ("C", "missing", 0)]
+
+
+def test_rejects_are_stored_by_full_runs_only(spark, tmp_path):
+    path = str(tmp_path / "rejects")
+    full = spark.createDataFrame([("A", "missing", 0)], "symbol string, reason string, n_rows long")
+    sinks.write_rejects(full, path, full_run=True)
+    sinks.write_rejects(full.limit(0), path, full_run=False)
+    assert spark.read.parquet(path).count() == 1

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from barweave.operators.indicators import add_indicators
+from barweave.operators.panel import number_bars
 from barweave.operators.quality import rejects
 from barweave.operators.universe import (
     build_universe, exchange_members, in_group, index_members, purge_orphans,
@@ -153,10 +154,51 @@ def sink_rejects(t):
     path = scratch_dir(t.spark, "rejects")
     requested = t.table("part").select(
         F.col("p_partkey").cast("string").alias("symbol"))
-    sinks.write_table(rejects(t.gappy, 500, requested), path)
+    sinks.write_rejects(rejects(t.gappy, 500, requested), path, full_run=True)
+    sinks.write_rejects(rejects(t.gappy, 500), path, full_run=False)
     return t.spark.read.parquet(path)
 
 
+DAMAGE = """
+  SELECT symbol, date, "open", high, low, "close", volume,
+    day(date) = 13 AS torn, day(date) = 14 AS wordy FROM bars"""
+
+
+@query("s1_damaged_lines", sql(f"""
+  SELECT symbol, 'damaged_lines' AS reason, count(*) AS n_rows
+  FROM ({DAMAGE}) WHERE torn OR wordy GROUP BY symbol
+  UNION ALL
+  SELECT symbol, 'short_history', count(*) FROM ({DAMAGE}) WHERE NOT (torn OR wordy)
+  GROUP BY symbol HAVING count(*) < 500""", "bars"))
+def damaged_lines(t):
+    """Bar files in which the lines of some days are cut off or hold words."""
+    path = scratch_dir(t.spark, "bar-files")
+    bars = t.bars.withColumn("day", F.day("date"))
+    cells = [F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")]
+    line = F.concat_ws(",", F.col("date").cast("string"), *cells)
+    torn = F.concat_ws(",", F.col("date").cast("string"), cells[0])
+    wordy = F.concat_ws(",", F.col("date").cast("string"), F.lit("n/a"), *cells[1:])
+    bars.groupBy("symbol").agg(F.concat(
+        F.lit("Date,Open,High,Low,Close,Volume\n"), F.array_join(F.array_sort(
+            F.collect_list(F.when(F.col("day") == 13, torn).when(
+                F.col("day") == 14, wordy).otherwise(line))), "\n")).alias("value")
+    ).write.partitionBy("symbol").text(path)
+    return rejects(files.read_bar_files(t.spark, path), 500,
+                   damaged=files.damaged_lines(t.spark, path))
+
+
+@query("k1_bucketed_bars", sql("""
+  SELECT symbol, date, "open", high, low, "close", volume, pos, n AS n_bars, prev_close
+  FROM num""", "num"))
+def bucketed_bars(t):
+    """A catalog table in buckets, numbered where its rows are."""
+    name = scratch_dir(t.spark, "bars").rsplit("/", 1)[1].replace("-", "_")
+    sinks.write_bar_table(t.bars, name)
+    return number_bars(t.spark.table(name)).select(
+        "symbol", "date", "open", "high", "low", "close", "volume", "pos", "n_bars",
+        "prev_close")
+
+
 @query("k6_refresh_symbols", sql("""
   SELECT b.symbol, b.date, b."open", b.high, b.low,
     CASE WHEN u."group" = 'us' THEN b."close" + 1 ELSE b."close" END AS "close",

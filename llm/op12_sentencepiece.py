@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from llm.bytescan import sliced
+from llm.merging import Merges
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -73,18 +74,16 @@ class Vocabulary(dict):
     def _number_pairs(self) -> None:
         """Numbers for symbols, and all pairs of symbols that make a piece, by number."""
         chars = sorted({c for piece in self.rank for c in piece})
-        self.symbol = {s: k for k, s in enumerate([*chars, *self.rank])}
-        # Another character gets a number that is in no pair.
-        other = self.symbol[""] = len(self.symbol)
+        symbol = {s: k for k, s in enumerate([*chars, *self.rank])}
         self.chars = np.array([*map(ord, chars), 0], np.uint32)
-        self.symbol_ids = np.array([self.ids.get(s, -1) for s in self.symbol])
-        found = sorted(
-            (left * len(self.symbol) + right, rank, self.symbol[piece])
-            for piece, rank in self.rank.items() for cut in range(1, len(piece))
-            if (left := self.symbol.get(piece[:cut])) is not None
-            and (right := self.symbol.get(piece[cut:])) is not None)
-        none = (len(self.symbol) ** 2, len(self.rank), other)
-        self.pair_keys, self.pair_ranks, self.pair_symbols = np.array([*found, none]).T.copy()
+        # Another character gets a number that is in no pair.
+        self.other = len(symbol)
+        self.symbol_ids = np.array([self.ids.get(s, -1) for s in symbol] + [-1])
+        self.merges = Merges(
+            [(left, right, rank, symbol[piece])
+             for piece, rank in self.rank.items() for cut in range(1, len(piece))
+             if (left := symbol.get(piece[:cut])) is not None
+             and (right := symbol.get(piece[cut:])) is not None], len(symbol) + 1)
 
     def agenda(self, unit: str) -> list[str]:
         """The symbols of a unit after all merges."""
@@ -117,57 +116,18 @@ class Vocabulary(dict):
                     heapq.heappush(pairs, (rank[longer], leader, longer))
         return [s for s in symbols if s is not None]
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Where the pairs of symbols are in the list of pairs that make a piece, else the
-        last place, whose rank is that of no pair."""
-        keys = left * len(self.symbol) + right
-        at = np.searchsorted(self.pair_keys[:-1], keys)
-        return np.where(self.pair_keys[at] == keys, at, len(self.pair_keys) - 1)
-
     def agendas(self, units: list[str]) -> list[bytes]:
-        """The ids of short units, whose agendas are worked off side by side: a round
-        merges the best pair of each unit that still has one."""
-        last = self.pair_ranks[-1]
+        """The ids of short units, whose agendas are worked off side by side."""
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
-        sizes = np.array([len(u) for u in units])
-        unit = np.repeat(np.arange(len(units)), sizes)
         at = np.searchsorted(self.chars[:-1], codes)
-        symbols = np.where(self.chars[at] == codes, at, len(self.symbol) - 1)
-        ends = np.append(unit[1:] != unit[:-1], True)
-        pairs = self._pairs(symbols, np.append(symbols[1:], 0))
-        pairs[ends] = len(self.pair_keys) - 1
-        done = []
-        while len(unit):
-            ranks = self.pair_ranks[pairs]
-            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-            counts = np.diff(np.append(starts, len(unit)))
-            best = np.repeat(np.minimum.reduceat(ranks, starts), counts)
-            over = best == last
-            if over.any():
-                done.append((unit[over], symbols[over]))
-                keep = ~over
-                unit, symbols, pairs = unit[keep], symbols[keep], pairs[keep]
-                ranks, best = ranks[keep], best[keep]
-            at = np.flatnonzero(ranks == best)
-            at = at[np.append(True, unit[at[1:]] != unit[at[:-1]])[:len(at)]]  # leftmost
-            symbols[at] = self.pair_symbols[pairs[at]]
-            # The second symbol goes; its pair with the next becomes the merged one's.
-            ends = np.append(unit[1:] != unit[:-1], True)[at + 1]
-            follower = np.minimum(at + 2, max(len(symbols) - 1, 0))
-            pairs[at] = np.where(ends, len(self.pair_keys) - 1,
-                                 self._pairs(symbols[at], symbols[follower]))
-            inner = at[at > 0]
-            inner = inner[unit[inner - 1] == unit[inner]]
-            pairs[inner - 1] = self._pairs(symbols[inner - 1], symbols[inner])
-            keep = np.ones(len(unit), bool)
-            keep[at + 1] = False
-            unit, symbols, pairs = unit[keep], symbols[keep], pairs[keep]
-        unit, symbols = (np.concatenate([d[k] for d in done]) for k in (0, 1))
-        order = np.argsort(unit, kind="stable")
-        ids = self.symbol_ids[symbols[order]]
-        bounds = np.append(0, np.cumsum(np.bincount(unit, minlength=len(units))))
+        symbols, sizes = self.merges.run(
+            np.where(self.chars[at] == codes, at, self.other),
+            np.array([len(u) for u in units]))
+        ids = self.symbol_ids[symbols]
+        bounds = np.append(0, np.cumsum(sizes))
         whole = ids.astype("<u4").tobytes()
-        lost = set(unit[order][ids < 0].tolist())  # characters that are no pieces
+        # Characters that are no pieces have ids of their bytes.
+        lost = set(np.repeat(np.arange(len(units)), sizes)[ids < 0].tolist())
         return [self.unit_ids(u) if k in lost else whole[4 * a:4 * b]
                 for k, (u, a, b) in enumerate(zip(units, bounds, bounds[1:], strict=False))]
 
@@ -192,10 +152,14 @@ class Vocabulary(dict):
         if len(self) > self.cached:  # units in use move on to the next generation
             self.older = dict(self)
             self.clear()
-        missing = units - self.keys()
-        for unit in missing & self.older.keys():
-            self[unit] = self.older[unit]
-        short = [u for u in missing - self.older.keys() if len(u) <= SHORT]
+        short = []
+        for unit in units:
+            if unit not in self:
+                ids = self.older.get(unit)
+                if ids is not None:
+                    self[unit] = ids
+                elif len(unit) <= SHORT:
+                    short.append(unit)
         if short:
             self.update(zip(short, self.agendas(short), strict=True))
 

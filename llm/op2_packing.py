@@ -7,14 +7,18 @@ totals the tokens of each partition; the second adds the prefix sums of those to
 number per partition, held by the driver) and cuts. The boundary records say which piece
 of a text lies where. Only the last sequence can need padding.
 
-Encoding is the dear part. White space separates the tokenizer's words, so a task encodes
-each distinct run of other characters once, words of letters by the tokenizer's model
-alone, and keeps the ids in a cache of bounded size.
+Encoding is the dear part. For a tokenizer of the `RECIPE` white space separates words, so
+a task encodes each distinct run of other characters once and keeps the ids in a cache of
+two generations of bounded size. Words of letters that are not known yet go through the
+tokenizer's merges together, other runs through the tokenizer. Any other tokenizer gets
+whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -29,14 +33,34 @@ from pyspark.sql import functions as F
 
 from llm.bytescan import rows_of, sliced
 from llm.common import stored
+from llm.merging import Merges
 
 WIDTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct runs whose ids a task keeps.
-CACHED = 200_000
+#: Distinct runs whose ids a worker keeps in a generation, and the longest of them.
+CACHED = 100_000
+CACHED_BYTES = 64
 #: Text that a task encodes at a time.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
+
+#: What a tokenizer's file must say for runs to be encoded one by one.
+RECIPE = {
+    "truncation": None, "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|"
+                                               "[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
+         "use_regex": False}]},
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None,
+              "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+              "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}}
 
 _WORKER: dict = {}
 
@@ -49,10 +73,21 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in seen else next(free)) for b in range(256)]
 
 
-_LETTERS = _byte_letters()
+#: A word of ASCII letters and the marks behind it, which never join a letter.
+_PLAIN = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]*)").fullmatch
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
+def _lower_word(run: bytes) -> bytes | None:
+    """The run in small letters if it is one word of Latin letters, which the tokenizer
+    takes as it is."""
+    word = run.lower().decode()
+    if (word.isalpha() and max(word) < "\u0250" and word == word.lower()
+            and unicodedata.is_normalized("NFC", word)):
+        return word.encode()
+    return None
+
+
 class Encoder(dict):
     """Ids of runs without white space as little-endian 32-bit numbers, learnt on demand."""
 
@@ -62,37 +97,83 @@ class Encoder(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
-
-    def _lower_word(self, run: bytes) -> str | None:
-        """The run in small letters if it is one word of Latin letters, which the
-        tokenizer's model takes as it is."""
-        word = run.lower().decode()
-        if (word.isalpha() and max(word) < "\u0250" and word == word.lower()
-                and unicodedata.is_normalized("NFC", word)):
-            return word
-        return None
+        self.older: dict[bytes, bytes] = {}
+        file = json.loads(self.tokenizer.to_str())
+        model = file.get("model", {})
+        vocab, merges = model.pop("vocab", {}), model.pop("merges", [])
+        self.by_runs = all(file.get(k) == v for k, v in RECIPE.items())
+        if self.by_runs:
+            self._read_merges(vocab, merges)
+
+    def _read_merges(self, vocab: dict[str, int], merges: list) -> None:
+        letters, end = _byte_letters(), RECIPE["model"]["end_of_word_suffix"]
+        self.inside = np.array([vocab[c] for c in letters])
+        self.final = np.array([vocab[c + end] for c in letters])
+        self.merges = Merges([(vocab[a], vocab[b], rank, vocab[a + b])
+                              for rank, (a, b) in enumerate(merges)], max(vocab.values()) + 1)
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of lower-case words, by the tokenizer's merges."""
+        sizes = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.inside[data]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.final[data[ends]]
+        ids, counts = self.merges.run(symbols, sizes)
+        whole, bounds = ids.astype("<u4").tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def __missing__(self, run: bytes) -> bytes:
-        word = self._lower_word(run)
-        if word is not None:
-            if not word.isascii():
-                word = "".join([_LETTERS[b] for b in word.encode()])
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-        else:
-            stem = run.rstrip(_MARKS)
-            if stem and stem != run and self._lower_word(stem) is not None:
-                ids = self[stem] + self[run[len(stem):]]  # marks never join a letter
-            else:
-                ids = array("I", self.tokenizer.encode(
-                    run.decode(), add_special_tokens=False).ids).tobytes()
-        self[run] = ids
+        """Of a run that is no word of small letters, or too long to be kept."""
+        ids = array("I", self.tokenizer.encode(
+            run.decode(), add_special_tokens=False).ids).tobytes()
+        if len(run) <= CACHED_BYTES:
+            self[run] = ids
         return ids
 
+    def _learn(self, runs: set[bytes]) -> None:
+        """Keeps the ids of runs that are not known, words first."""
+        if len(self) > self.cached:  # runs in use move on to the next generation
+            self.older = dict(self)
+            self.clear()
+        words, marked = set(), []
+        for run in runs:
+            if run in self:
+                continue
+            ids = self.older.get(run)
+            if ids is not None:
+                self[run] = ids
+                continue
+            plain = _PLAIN(run)
+            if plain:
+                word, marks = plain[1].lower(), plain[2]
+            else:
+                stem = run.rstrip(_MARKS)
+                word, marks = _lower_word(stem) if stem else None, run[len(stem):]
+            if word is not None and len(run) <= CACHED_BYTES:
+                words.add(word)
+                if run != word:
+                    marked.append((run, word, marks))
+        new = [word for word in words if word not in self]
+        if new:
+            self.update(zip(new, self._words(new), strict=True))
+        for run, word, marks in marked:
+            self[run] = self[word] + self[marks] if marks else self[word]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, without the closing id."""
+        if not self.by_runs:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(
+                [text.decode() for text in texts], add_special_tokens=False)]
+        cut = [text.split() for text in texts]
+        self._learn(set().union(*cut))
+        return [b"".join(map(self.__getitem__, runs)) for runs in cut]
+
+    def trim(self) -> None:
+        """Leaves a generation at most, as workers outlive the task."""
+        self.older = {}
         if len(self) > self.cached:
             self.clear()
-        return [b"".join(map(self.__getitem__, text.split())) for text in texts]
 
 
 def encoder(path: str) -> Encoder:
@@ -120,7 +201,7 @@ def _encode(path: str | None):
                          pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())],
                         ["doc_id", "part", "before", "doc_tokens", "ids"])
         finally:
-            own.clear()  # workers outlive the task
+            own.trim()
     return run
 
 

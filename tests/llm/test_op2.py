@@ -76,3 +76,34 @@ def test_edges(spark):
     twice = spark.createDataFrame([(None, "a b"), (None, "a b")],
                                   "doc_id long, text string")
     assert pack(twice).agg(F.sum("length")).first()[0] == 2 * len(whole(["a b"])[0])
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A byte-level tokenizer keeps white space and capitals."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not Encoder(path).by_runs and Encoder(PATH).by_runs
+    own = Tokenizer.from_file(path)
+    docs = [(i, t) for i, t in enumerate([*ODD, "Two  words\n\nand\tMORE"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pieces = {}
+    for r in pack(df, tokenizer_path=path).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    for i, text in docs:
+        ids = np.frombuffer(b"".join(p for _, p in sorted(pieces[i])), "<u4").tolist()
+        assert ids == own.encode(text or "", add_special_tokens=False).ids + [1]
+
+
+def test_generations_change_nothing():
+    """A cache that is always full, and runs too long to be kept."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("aeinrstéüñ'.,A"), rng.integers(1, 12)))
+             for _ in range(3000)] + ["long" * 40, "x" * 65, "y" * 64 + "."]
+    small, large = Encoder(PATH, cached=50), Encoder(PATH)
+    for _ in range(40):
+        text = " ".join(rng.choice(words, 200)).encode()
+        assert small.encode([text]) == large.encode([text])
+        found = np.frombuffer(large.encode([text])[0], "<u4").tolist()
+        assert found == whole([text.decode()])[0][:-1]
+    assert len(small) < 1000
+    small.trim()
+    assert not small.older and len(small) <= 50

@@ -46,10 +46,10 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def patterns(items: list[tuple[str, bytes]], window: int = WINDOW
-             ) -> dict[bytes, set[str]]:
+def patterns(items: list[tuple[str | None, bytes]], window: int = WINDOW
+             ) -> dict[bytes, set[str | None]]:
     """The windows of the items, each with the items that hold it."""
-    found: dict[bytes, set[str]] = {}
+    found: dict[bytes, set[str | None]] = {}
     for item, text in items:
         words = words_of(text)
         for at in range(max(1, len(words) - window + 1) if words else 0):
@@ -58,7 +58,7 @@ def patterns(items: list[tuple[str, bytes]], window: int = WINDOW
     return found
 
 
-def build(items: list[tuple[str, bytes]], window: int = WINDOW) -> ahocorasick.Automaton:
+def build(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> ahocorasick.Automaton:
     """Its values: (words in the window, characters of the pattern, items)."""
     automaton = ahocorasick.Automaton()
     for key, owners in patterns(items, window).items():
@@ -123,7 +123,7 @@ def _scans(batch: pa.RecordBatch, blocks: list, kept: dict, window: int
         found = now if found is None else [
             (n, merged(a + b), i | j) for (n, a, i), (_, b, j) in
             zip(found, now, strict=True)]
-    return [(n, ranges, sorted(items)) for n, ranges, items in found]
+    return [(n, ranges, sorted(items - {None})) for n, ranges, items in found]
 
 
 _NAMES = ["doc_id", "n_words", "n_hit", "items", "hits", "spans"]
@@ -133,12 +133,11 @@ _ARROW = [pa.int64(), pa.int64(), pa.list_(pa.string()),
 
 
 def shared_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES,
-                  texts: tuple[str, ...] = ("text",), unnamed: bool = False) -> list:
-    """The items' texts as one broadcast value per block of about `block_bytes`; those of
-    items without an id only if `unnamed`, under an empty id."""
+                  texts: tuple[str, ...] = ("text",)) -> list:
+    """The items' texts as one broadcast value per block of about `block_bytes`."""
     spark = items.sparkSession
-    items = items.where(F.col("item_id").isNotNull() | F.lit(unnamed)).select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
+    items = items.select(
+        F.col("item_id").cast("string").alias("item_id"),
         F.explode(F.array(*[F.col(c).cast("string") for c in texts])).alias("text")
     ).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -159,8 +158,8 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
     `items` has item_id and one or more text columns (`texts`, such as question and
     answer), each with windows of its own. Null texts and texts without words have no
-    words and no windows; items without an id are left out, as there is nothing to name
-    them by. Repeated items count once. Other columns are ignored. Each row of `docs`
+    words and no windows. Windows of items without an id are hit like others, but no id
+    names them. Repeated items count once. Other columns are ignored. Each row of `docs`
     gives one row, repeated ones and those without doc_id too.
     """
     blocks = shared_blocks(items, block_bytes, texts)
@@ -203,8 +202,7 @@ _FOUND = (f"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_FOUND} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOUND} AS w FROM benchmark
-  WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOUND} AS w FROM benchmark),
 starts AS (SELECT item, w, least(len(w), {WINDOW}) AS size,
     unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS i FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS key
@@ -231,7 +229,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rows are judged where they are: nothing is joined, so repeated and null ids do not
     matter. Items without an id count like any other, as nothing has to name them.
     """
-    blocks = shared_blocks(items, unnamed=True)
+    blocks = shared_blocks(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}

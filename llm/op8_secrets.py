@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import checkpointed
+from llm.common import checkpointed, stored
 
 REACH = 200
 CELL = 1000
@@ -47,7 +47,8 @@ def _located(text: Column, pattern: str, rank, value_group: int = 0, shortest: i
              ) -> Column:
     """All matches as (start, rank, end); `rank` may depend on the match."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
+    value = match if not value_group else F.regexp_extract_all(
+        text, F.lit(pattern), F.lit(value_group))
     lengths = F.transform(
         F.arrays_zip(F.split(text, pattern, -1).alias("gap"), match.alias("match"),
                      value.alias("value")),
@@ -119,17 +120,27 @@ def link(scanned: DataFrame, reach: int = REACH, cell: int = CELL) -> DataFrame:
         F.struct("start", "rank", "end"))).alias("linked"))
 
 
+def with_links(scanned: DataFrame) -> DataFrame:
+    """Adds `linked` to what `scan` gives, of which `scanned` should be a stored copy.
+
+    Only rows with weak parts are joined; the others, which share no key, stay where
+    they are.
+    """
+    none = F.array().cast(SPAN)
+    weak = scanned.where("row_key is not null").join(link(scanned), "row_key", "left")
+    return weak.withColumn("linked", F.coalesce("linked", none)).unionByName(
+        scanned.where("row_key is null").withColumn("linked", none))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with `strong` and `linked` findings: arrays of (start, rank, end), rank by
     `KINDS`, positions in code points of the text, ends exclusive.
 
     A null text is empty. Each row keeps its own result, repeated rows and rows without
-    doc_id too. Columns of `docs` named strong, weak, row_key or linked are replaced.
+    doc_id too. Columns of `docs` named strong, weak, row_key or linked are replaced. The
+    scanned rows are stored once, so that the patterns run once.
     """
-    scanned = scan(docs)
-    linked = link(scanned)
-    return scanned.join(linked, "row_key", "left").withColumn(
-        "linked", F.coalesce("linked", F.array().cast(SPAN)))
+    return with_links(stored(scan(docs)))
 
 
 def _written(spans: Column) -> Column:
@@ -142,8 +153,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scanned = checkpointed(scan(docs).drop("text"))
-    found = scanned.join(link(scanned), "row_key", "left").withColumn(
-        "linked", F.coalesce("linked", F.array().cast(SPAN)))
+    found = with_links(scanned)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("strong", lambda s: s["rank"] == KINDS.index(kind))

@@ -17,8 +17,8 @@ def shingles(text):
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
-    """component_id by comparing all pairs."""
+def brute(rows, least=85):
+    """component_id by comparing all pairs; linked are similarities of `least` percent."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -28,10 +28,10 @@ def brute(rows):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if min(len(sets[a]), len(sets[b])) * 100 >= 85 * max(
+        if min(len(sets[a]), len(sets[b])) * 100 >= least * max(
                 len(sets[a]), len(sets[b])) > 0:
             both = len(sets[a] & sets[b])
-            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
                 root[find(a)] = find(b)
     lowest = {}
     for k, (i, _) in enumerate(rows):

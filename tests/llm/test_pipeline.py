@@ -50,7 +50,7 @@ def test_quality(spark, stages):
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
     kept = {i for i, _, _, stays in test_op10.brute(
-        [r[:2] for r in rows(before)]) if stays}
+        [r[:2] for r in rows(before)], 80) if stays}
     assert Counter(rows(after)) == Counter(r for r in rows(before) if r[0] in kept)
     assert after.count() < before.count()
 

@@ -25,12 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one of the smallest doc_id, rows without
-    one last, then of the smallest text_hash.
+    one last, then of the smallest text_hash. Texts of similarity 0.8 or more are linked.
 
     Repeated rows are a group, also if nothing in it has a doc_id. Rows without words
     stay as they are.
     """
-    rows = (linked(docs).where("root is not null")
+    rows = (linked(docs, 80, 100).where("root is not null")
             .groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")))
     stays = (rows.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("row"))

@@ -18,6 +18,7 @@ from barweave.operators.signals import age
 
 TAIL_BARS = 250
 MAX_ROUNDS = 50
+FIRST_STEP, LAST_STEP = 0.3, 1e-5
 MIN_DIFFERENCES = 10
 
 
@@ -61,21 +62,22 @@ def _fit(w, length):
         w, length, np.tile(np.tanh(a), (n, 1)), np.tile(np.tanh(b), (n, 1)))
     best = cost.argmin(axis=1)
     at_a, at_b, low = a[best], b[best], cost[np.arange(n), best]
-    step = np.full(n, 0.3)
+    step = np.full(n, FIRST_STEP)
     da, db = (g.ravel() for g in np.meshgrid([-1.0, 0.0, 1.0], [-1.0, 0.0, 1.0]))
     for _ in range(MAX_ROUNDS):
+        live = step >= LAST_STEP  # each series ends by itself, whatever the others do
+        if not live.any():
+            break
         near_a = np.clip(at_a[:, None] + step[:, None] * da, -5.0, 5.0)
         near_b = np.clip(at_b[:, None] + step[:, None] * db, -5.0, 5.0)
         cost, _ = _innovations(w, length, np.tanh(near_a), np.tanh(near_b))
         best = cost.argmin(axis=1)
         found = cost[np.arange(n), best]
-        better = found < low - 1e-12
+        better = live & (found < low - 1e-12)
         at_a = np.where(better, near_a[np.arange(n), best], at_a)
         at_b = np.where(better, near_b[np.arange(n), best], at_b)
         low = np.where(better, found, low)
-        step = np.where(better, step, step / 2.0)
-        if (step < 1e-5).all():
-            break
+        step = np.where(better | ~live, step, step / 2.0)
     return np.tanh(at_a), np.tanh(at_b)
 
 

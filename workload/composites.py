@@ -67,10 +67,10 @@ def drift(t):
     return rounded(forecast.ema_drift_path(t.bars), 5, "value")
 
 
-# An iterative fit: rows are checked by the tests, not by SQL.
-@query("e7_arima_path")
+@query("e7_arima_path", sql("""
+  SELECT symbol, step, round(value, 4) + 0.0 AS value FROM third_path""", "third_path"))
 def arima(t):
-    return forecast.arima_path(t.bars)
+    return rounded(forecast.arima_path(t.bars), 4, "value")
 
 
 @query("e8_weekday_effect", sql("""
@@ -86,7 +86,8 @@ def forecast_week(t):
     return forecast.forecast_next_week(t.bars)
 
 
-@query("e9_forecast_week_three_models")
+@query("e9_forecast_week_three_models", sql(
+    "SELECT symbol, step, date, forecast, lower, upper FROM path_three", "path_three"))
 def forecast_three(t):
     return forecast.forecast_next_week(t.bars, with_arima=True)
 
@@ -101,7 +102,8 @@ def summary(t):
     return build_summary(t.bars, t.universe)
 
 
-@query("e11_build_summary_three_models")
+@query("e11_build_summary_three_models", sql(
+    "SELECT * FROM summary_three", "summary_three"))
 def summary_three(t):
     return build_summary(t.bars, t.universe, with_arima=True)
 

@@ -26,9 +26,12 @@ def sql(body: str, *needs: str) -> str:
         visit(n)
     if not order:
         return body
-    # Each part once: inlined, the self-joins would be evaluated again and again.
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in order)
-    return f"WITH {ctes}\n{body}"
+    # Each part once: inlined, the self-joins would be evaluated again and again. A part
+    # that reads itself is a recursion.
+    ctes = ",\n".join(
+        f"{n} AS ({PARTS[n][1]})" if f"FROM {n} " in PARTS[n][1]
+        else f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in order)
+    return f"WITH RECURSIVE {ctes}\n{body}"
 
 
 part("bars", """
@@ -184,33 +187,108 @@ part("shift", """
     ON s.symbol = e.symbol AND e.weekday = isodow(s.day) - 1
   WHERE s.step <= 5""", "steps", "effect")
 
-part("path", """
+
+def arima_run(w: str, phi: str, theta: str) -> str:
+    """State of the one-step predictor after the list w: ahead, scale, sq, lg."""
+    start = (f"{{'v': 0.0::DOUBLE, 'ahead': 0.0::DOUBLE, 'scale': (1.0::DOUBLE + 2.0 * {phi}"
+             f" * {theta} + {theta} * {theta}) / (1.0::DOUBLE - {phi} * {phi}),"
+             f" 'sq': 0.0::DOUBLE, 'lg': 0.0::DOUBLE, 'phi': {phi}, 'theta': {theta}}}")
+    entry = (f"{{'v': x, 'ahead': 0.0::DOUBLE, 'scale': 0.0::DOUBLE, 'sq': 0.0::DOUBLE,"
+             f" 'lg': 0.0::DOUBLE, 'phi': {phi}, 'theta': {theta}}}")
+    step = """{'v': x.v, 'ahead': s.phi * x.v + s.theta * (x.v - s.ahead) / s.scale,
+      'scale': 1.0::DOUBLE + s.theta * s.theta - s.theta * s.theta / s.scale,
+      'sq': s.sq + (x.v - s.ahead) * (x.v - s.ahead) / s.scale,
+      'lg': s.lg + ln(s.scale), 'phi': s.phi, 'theta': s.theta}"""
+    return (f"list_reduce(list_concat([{start}], list_transform({w}, lambda x : {entry})),"
+            f" lambda s, x : {step})")
+
+
+COST = """{'cost': n * ln(greatest(run.sq, 1e-300::DOUBLE) / n) + run.lg, 'k': k,
+    'a': a, 'b': b}"""
+
+part("log_moves", """
+  SELECT symbol, list(lr ORDER BY pos) AS w, count(*)::DOUBLE AS n,
+    max_by(ln("close"), pos) AS last
+  FROM returns WHERE age < 249 AND lr IS NOT NULL GROUP BY symbol
+  HAVING count(*) >= 10""", "returns")
+
+# The same search as a recursion over rounds: a grid, then steps that halve where none of
+# the eight neighbours is better.
+part("arima_grid", f"""
+  SELECT symbol, min({COST}) AS best
+  FROM (SELECT *, {arima_run('w', 'tanh(a)', 'tanh(b)')} AS run
+    FROM log_moves, (SELECT r * 7 + c AS k,
+        CASE c WHEN 6 THEN 1.8::DOUBLE ELSE c * (3.6::DOUBLE / 6) - 1.8::DOUBLE END AS a,
+        CASE r WHEN 6 THEN 1.8::DOUBLE ELSE r * (3.6::DOUBLE / 6) - 1.8::DOUBLE END AS b
+      FROM range(7) t(c), range(7) u(r)))
+  GROUP BY symbol""", "log_moves")
+
+part("arima_rounds", f"""
+  SELECT symbol, 0 AS round, best.a AS a, best.b AS b, best.cost AS low,
+    0.3::DOUBLE AS step FROM arima_grid
+  UNION ALL
+  SELECT symbol, round + 1,
+    CASE WHEN near.cost < low - 1e-12::DOUBLE THEN near.a ELSE a END,
+    CASE WHEN near.cost < low - 1e-12::DOUBLE THEN near.b ELSE b END,
+    CASE WHEN near.cost < low - 1e-12::DOUBLE THEN near.cost ELSE low END,
+    CASE WHEN near.cost < low - 1e-12::DOUBLE THEN step ELSE step / 2 END
+  FROM (SELECT symbol, any_value(round) AS round, any_value(at_a) AS a,
+      any_value(at_b) AS b, any_value(low) AS low, any_value(step) AS step,
+      min({COST}) AS near
+    FROM (SELECT *, {arima_run('w', 'tanh(a)', 'tanh(b)')} AS run
+      FROM (SELECT g.symbol, g.round, g.a AS at_a, g.b AS at_b, g.low, g.step, m.w, m.n,
+          j * 3 + i AS k,
+          greatest(least(g.a + g.step * (i - 1), 5.0::DOUBLE), -5.0::DOUBLE) AS a,
+          greatest(least(g.b + g.step * (j - 1), 5.0::DOUBLE), -5.0::DOUBLE) AS b
+        FROM arima_rounds g JOIN log_moves m ON g.symbol = m.symbol,
+          range(3) t(i), range(3) u(j)
+        WHERE g.step >= 1e-5::DOUBLE AND g.round < 50))
+    GROUP BY symbol)""", "arima_grid", "log_moves")
+
+part("third", f"""
+  SELECT symbol, last, run.ahead AS ahead, tanh(b) AS theta, tanh(a) AS phi
+  FROM (SELECT *, {arima_run('w', 'tanh(a)', 'tanh(b)')} AS run
+    FROM (SELECT symbol, max_by(a, round) AS a, max_by(b, round) AS b
+      FROM arima_rounds GROUP BY symbol) JOIN log_moves USING (symbol))""",
+     "arima_rounds", "log_moves")
+
+part("third_path", """
+  SELECT symbol, CAST(s AS INTEGER) AS step,
+    exp(last + list_sum(list_transform(range(s), lambda i : ahead * pow(phi, i)))) AS value
+  FROM third, range(1, 6) t(s)""", "third")
+
+for suffix, joined, level in (
+        ("", "", "two / 2"),
+        ("_three", "LEFT JOIN third_path v ON v.symbol = h.symbol AND v.step = h.step",
+         "CASE WHEN v.value IS NULL THEN two / 2 ELSE (two + v.value) / 3 END")):
+    part(f"path{suffix}", f"""
   SELECT symbol, step, day AS date,
     round_even(value * 10, 0) / 10 AS forecast,
     round_even(value * exp(-margin) * 10, 0) / 10 AS lower,
     round_even(value * exp(margin) * 10, 0) / 10 AS upper, last_close
-  FROM (SELECT h.symbol, CAST(h.step AS INTEGER) AS step, h.day, l.last_close,
-      ((f.base + f.slope * (f.m - 1 + h.step)) + (l.last_close + d.drift * h.step))
-        / 2 * exp(h.adj) AS value,
-      1.96::DOUBLE * g.sigma * sqrt(h.step) AS margin
-    FROM shift h JOIN line f USING (symbol) JOIN drift d USING (symbol)
-      JOIN sigma g USING (symbol) JOIN last_rows l USING (symbol))""",
-     "shift", "line", "drift", "sigma", "last_rows")
-
-part("week", """
+  FROM (SELECT h.symbol, h.step, h.day, h.last_close,
+      {level} * exp(h.adj) AS value, 1.96::DOUBLE * h.sigma * sqrt(h.step) AS margin
+    FROM (SELECT h.symbol, CAST(h.step AS INTEGER) AS step, h.day, l.last_close, h.adj,
+        g.sigma, (f.base + f.slope * (f.m - 1 + h.step))
+          + (l.last_close + d.drift * h.step) AS two
+      FROM shift h JOIN line f USING (symbol) JOIN drift d USING (symbol)
+        JOIN sigma g USING (symbol) JOIN last_rows l USING (symbol)) h {joined})""",
+         "shift", "line", "drift", "sigma", "last_rows", *(["third_path"] if suffix else []))
+
+    part(f"week{suffix}", f"""
   SELECT symbol, forecast AS forecast_1w,
     CAST(printf('%.2f', (forecast / last_close - 1) * 100) AS DOUBLE)
       AS forecast_1w_pct, lower AS forecast_lower, upper AS forecast_upper
-  FROM path WHERE step = 5""", "path")
+  FROM path{suffix} WHERE step = 5""", f"path{suffix}")
 
-part("summary", """
+    part(f"summary{suffix}", f"""
   SELECT l.symbol, coalesce(u.name, l.symbol) AS name,
     coalesce(u."group", '?') AS "group", coalesce(u.sector, '?') AS sector,
     l.last_date, l."close", l.rsi, l.rsi_label, l.macd_label, l.trend, l.bb_signal,
     l.vol_ratio, w.forecast_1w, w.forecast_1w_pct, w.forecast_lower,
     w.forecast_upper
-  FROM labels l JOIN week w USING (symbol) LEFT JOIN universe u USING (symbol)""",
-     "labels", "week", "universe")
+  FROM labels l JOIN week{suffix} w USING (symbol) LEFT JOIN universe u USING (symbol)""",
+         "labels", f"week{suffix}", "universe")
 
 part("windows", """
   SELECT symbol, e, date AS end_date, start_date, win, nxt, last, m, sd,

@@ -33,6 +33,13 @@ def build_summary(
         aggs.append(log_tail())
     grouped = number_bars(bars).where(F.col("n_rows") >= min_rows).groupBy(
         "symbol").agg(*aggs)
+    return finish_summary(grouped, universe, with_arima)
+
+
+def finish_summary(
+    grouped: DataFrame, universe: DataFrame, with_arima: bool = False
+) -> DataFrame:
+    """Summary rows from the aggregates of signals and forecast by symbol."""
     arima = None
     if with_arima:
         grouped = grouped.withColumn(

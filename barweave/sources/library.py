@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from barweave.operators.panel import number_bars, priced
 from barweave.operators.patterns import HORIZON, STEP, build_library
-from barweave.sources.places import exists, folders
+from barweave.sources.places import versions
 
 
 def generation(spark: SparkSession, path: str) -> int:
     """Number of the last complete generation, 0 without any."""
-    done = [int(name.removeprefix("gen=")) for name in folders(spark, f"{path}/marks")
-            if exists(spark, f"{path}/marks/{name}/_SUCCESS")]
-    return max(done, default=0)
+    return max(versions(spark, f"{path}/marks", "gen="), default=0)
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:

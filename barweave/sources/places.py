@@ -24,6 +24,13 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in system.listStatus(place))
 
 
+def versions(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the completely written folders `<prefix><n>`, the newest first."""
+    return sorted((int(name.removeprefix(prefix)) for name in folders(spark, path)
+                   if name.startswith(prefix) and exists(spark, f"{path}/{name}/_SUCCESS")),
+                  reverse=True)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of our own, and all in it."""
     place, system = _opened(spark, path)

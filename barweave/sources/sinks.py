@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from barweave.functions.rounding import round_columns
 from barweave.operators.panel import SLOT, slot_index
-from barweave.sources.places import discard, exists, folders
+from barweave.sources.places import discard, folders, versions
 
 BUCKET_BYTES = 128 << 20
 FILE_ROWS = 20_000_000
@@ -58,9 +58,7 @@ def buckets_for(df: DataFrame) -> int:
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of a table's layout, the newest first."""
-    found = [int(name.removeprefix("v=")) for name in folders(spark, f"{path}/_layout")
-             if exists(spark, f"{path}/_layout/{name}/_SUCCESS")]
-    return sorted(found, reverse=True)
+    return versions(spark, f"{path}/_layout", "v=")
 
 
 def _layout(spark: SparkSession, path: str, version: int | None = None) -> list:

@@ -2,11 +2,13 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barweave.operators.arima import forecast_paths
 from barweave.operators.forecast import (
     arima_path, forecast_next_week, weekday_effect,
 )
+from barweave.plans.daily import advance, read_state, run_day, state_of, summary_of_state
 from barweave.plans.summary import build_summary, candle_view
 from barweave.operators.indicators import add_indicators
 from barweave.schemas import UNIVERSE
@@ -100,3 +102,36 @@ def test_arima_cases(spark):
     assert len(rows) == 10 and all(50 < r.value < 200 for r in rows)
     three = forecast_next_week(panel, with_arima=True).collect()
     assert len(three) == 10 and all(r.lower <= r.forecast <= r.upper for r in three)
+
+
+def test_thirty_days_one_by_one_equal_the_whole_batch(spark, tmp_path):
+    """Long and short histories, a pause, a new symbol, days without a close."""
+    long = walk(1, 700)
+    long[200:640] = long[200]
+    gaps = frame("gaps", walk(2, 300), "2020-12-01")
+    gaps.loc[gaps.index % 7 == 3, "close"] = np.nan
+    parts = [frame("long", long, "2019-09-01"), gaps, frame("short", walk(3, 90), "2021-05-15"),
+             frame("new", walk(4, 100), "2021-06-01"), frame("old", walk(5, 400), "2018-01-01")]
+    panel = bars(spark, *parts).withColumn("volume", F.abs(F.hash("date")) % 1000 + 0.5)
+    panel = panel.where("date <= DATE'2021-07-31'").cache()
+    none = spark.createDataFrame([], UNIVERSE)
+    path, day = str(tmp_path / "state"), datetime.date(2021, 7, 1)
+    run_day(panel.where(F.col("date") < F.lit(day)), path)
+    for k in range(30):
+        today = day + datetime.timedelta(k)
+        run_day(panel.where(F.col("date") == F.lit(today)), path)
+        if k % 10 == 9:
+            so_far = panel.where(F.col("date") <= F.lit(today))
+            for arima in (False, True):
+                got = summary_of_state(read_state(spark, path), none, 80, arima).collect()
+                want = build_summary(so_far, none, 80, arima).collect()
+                assert sorted(got) == sorted(want) and len(got) >= 3
+    again = advance(read_state(spark, path), panel.where(F.col("date") == F.lit(today)))
+    assert sorted(again.collect()) == sorted(read_state(spark, path).collect())
+    whole = {r.symbol: r for r in state_of(panel.where(F.col("date") <= F.lit(today))).collect()}
+    for r in read_state(spark, path).collect():
+        assert (r.n_rows, r.seen, r.n_bars, r.tail, r.before) == (
+            whole[r.symbol].n_rows, whole[r.symbol].seen, whole[r.symbol].n_bars,
+            whole[r.symbol].tail, whole[r.symbol].before)
+        assert np.isclose(r.signal, whole[r.symbol].signal, atol=1e-8)
+    panel.unpersist()

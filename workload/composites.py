@@ -1,11 +1,14 @@
 """The public API end to end."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from barweave.operators import forecast, patterns, quality, screens, series
 from barweave.operators.indicators import add_indicators
 from barweave.operators.signals import latest_signals
 from barweave.operators.universe import build_universe
+from barweave.plans.daily import read_state, run_day, summary_of_state
 from barweave.plans.summary import build_summary, candle_view, signal_report
 from barweave.session import scratch_dir
 from barweave.sources.adapters import (
@@ -102,6 +105,18 @@ def summary(t):
     return build_summary(t.bars, t.universe)
 
 
+@query("e11_daily_summary", sql("SELECT * FROM summary", "summary"))
+def daily_summary(t):
+    """From a stored state: the history up to some day, then later days one by one."""
+    path = scratch_dir(t.spark, "state")
+    last = t.bars.agg(F.max("date")).first()[0]
+    ends = [last - timedelta(days) for days in (3, 2, 1, 0)]
+    run_day(t.bars.where(F.col("date") <= F.lit(ends[0])), path)
+    for before, end in zip(ends, ends[1:]):
+        run_day(t.bars.where(F.col("date").between(F.lit(before), F.lit(end))), path)
+    return summary_of_state(read_state(t.spark, path), t.universe)
+
+
 @query("e11_build_summary_three_models", sql(
     "SELECT * FROM summary_three", "summary_three"))
 def summary_three(t):

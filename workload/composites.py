@@ -1,7 +1,9 @@
 """The public API end to end."""
 
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barweave.operators import forecast, patterns, quality, screens, series
@@ -14,7 +16,9 @@ from barweave.session import scratch_dir
 from barweave.sources.adapters import (
     bars_from_events, exchange_listing_from_part, index_listing_from_part,
 )
+from barweave.sources.files import read_summary
 from barweave.sources.library import grow_library, read_library
+from barweave.sources.sinks import write_table
 from workload.registry import query, r, rounded
 from workload.rows import SCREEN_FIELDS, chosen
 from workload.sql import sql
@@ -201,6 +205,27 @@ def screen(t):
         build_summary(t.bars, t.universe), "all", group="jp", sector="NATION_6")
 
 
+SCREEN_RULES = {
+    "oversold": "rsi <= 30", "golden_cross": "macd_label = 'golden_cross'",
+    "band_touch": "bb_signal <> ''", "volume_surge": "vol_ratio >= 2", "all": "true"}
+
+
+@query("e16_every_screen", sql("\n  UNION ALL ".join(
+    f"""SELECT '{name}' AS screen, '{group}' AS of, {SCREEN_FIELDS} FROM summary
+  WHERE {rule} AND "group" IN ({members})"""
+    for name, rule in SCREEN_RULES.items()
+    for group, members in (("jp", "'large', 'mid', 'small'"), ("us", "'us'"))), "summary"))
+def every_screen(t):
+    """All screens of both markets over a stored summary."""
+    path = scratch_dir(t.spark, "summary")
+    write_table(build_summary(t.bars, t.universe), path)
+    stored = read_summary(t.spark, path)
+    shown = [screens.screen(stored, name, group=group).select(
+        F.lit(name).alias("screen"), F.lit(group).alias("of"), "*")
+        for name in SCREEN_RULES for group in ("jp", "us")]
+    return reduce(DataFrame.unionByName, shown)
+
+
 @query("e17_candle_view", sql("""
   SELECT 'bar' AS kind, date, "close", round(sma50, 4) + 0.0 AS sma50,
     round(rsi, 4) + 0.0 AS rsi, NULL::DOUBLE AS forecast, NULL::DOUBLE AS lower,

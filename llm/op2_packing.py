@@ -7,10 +7,11 @@ totals the tokens of each partition; the second adds the prefix sums of those to
 number per partition, held by the driver) and cuts. The boundary records say which piece
 of a text lies where. Only the last sequence can need padding.
 
-Encoding is the dear part. For a tokenizer of the `RECIPE` white space separates words, so
-a task encodes each distinct run of other characters once and keeps the ids in a cache of
-two generations of bounded size. Words of letters that are not known yet go through the
-tokenizer's merges together, other runs through the tokenizer. Any other tokenizer gets
+Encoding is the dear part. For a tokenizer of the `RECIPE`, texts are cut into the words
+of its pre-tokenizer by numpy, each distinct word is looked up by hash among those that
+the worker knows, and the words it doesn't know go through the tokenizer's merges
+together. Runs for which the recipe's rules are not plain (other scripts, combining
+marks, contractions, special tokens) go through the tokenizer. Any other tokenizer gets
 whole texts.
 """
 
@@ -18,8 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate
@@ -31,16 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.bytescan import rows_of, sliced
+from llm.bytescan import LOWER, pieces, range_hashes, rows_of, sliced
 from llm.common import stored
 from llm.merging import Merges
 
 WIDTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct runs whose ids a worker keeps in a generation, and the longest of them.
-CACHED = 100_000
-CACHED_BYTES = 64
+#: Distinct words whose ids a worker keeps, about, and the longest that are merged together.
+CACHED = 400_000
+SHORT = 64
 #: Text that a task encodes at a time.
 STEP_BYTES = 1 << 21
 
@@ -73,36 +72,73 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in seen else next(free)) for b in range(256)]
 
 
-#: A word of ASCII letters and the marks behind it, which never join a letter.
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]*)").fullmatch
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Classes of bytes: white space, letters, digits, marks, and what is not plain.
+_WHITE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[[32, *range(9, 14)]] = _WHITE
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_SPACE = _CLASS == _WHITE
 
 
-def _lower_word(run: bytes) -> bytes | None:
-    """The run in small letters if it is one word of Latin letters, which the tokenizer
-    takes as it is."""
-    word = run.lower().decode()
-    if (word.isalpha() and max(word) < "\u0250" and word == word.lower()
-            and unicodedata.is_normalized("NFC", word)):
-        return word.encode()
-    return None
+def words_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The text in small letters, starts and ends of its words, and which are not plain.
 
-
-class Encoder(dict):
-    """Ids of runs without white space as little-endian 32-bit numbers, learnt on demand."""
+    Plain words are runs of Latin letters (of one byte, or two that begin with C3),
+    single digits, and runs of ASCII marks. A run of other characters without white
+    space is kept whole and as it is.
+    """
+    kind, low = _CLASS[data], LOWER[data]
+    two = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[two + 1]
+    letter = (second != 0x97) & (second != 0xB7)  # not the signs for times and division
+    kind[two[letter]] = kind[two[letter] + 1] = _LETTER
+    low[two[letter & (second <= 0x9E)] + 1] += 0x20
+    # A contraction, or what may be a special token.
+    kind[np.flatnonzero((data[:-1] == 39) & (kind[1:] == _LETTER))] = _OTHER
+    kind[np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))] = _OTHER
+    edge = np.diff(np.concatenate(([0], (kind != _WHITE).view(np.int8), [0])))
+    runs, run_ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(runs):
+        return low, runs, runs, runs.astype(bool)
+    begins = (kind == _DIGIT) | (kind != np.append(np.uint8(_WHITE), kind[:-1]))
+    begins &= kind != _WHITE
+    odd = np.logical_or.reduceat(kind == _OTHER, runs)
+    change = np.zeros(len(data) + 1, np.int8)
+    change[runs[odd]], change[run_ends[odd]] = 1, -1
+    inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    begins[inside] = False
+    begins[runs] = True
+    low[inside] = data[inside]
+    starts = np.flatnonzero(begins)
+    run = np.searchsorted(runs, starts, "right") - 1
+    ends = np.minimum(np.append(starts[1:], len(data)), run_ends[run])
+    return low, starts, ends, odd[run]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Encoder:
+    """Ids of texts; what it has learnt about words are arrays sorted by their hashes."""
 
     def __init__(self, path: str, cached: int = CACHED):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached = cached
-        self.older: dict[bytes, bytes] = {}
+        self.cached, self.step = cached, 0
+        self.hashes = np.zeros(0, np.uint64)
+        self.first, self.count, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
         file = json.loads(self.tokenizer.to_str())
         model = file.get("model", {})
         vocab, merges = model.pop("vocab", {}), model.pop("merges", [])
-        self.by_runs = all(file.get(k) == v for k, v in RECIPE.items())
-        if self.by_runs:
+        self.plain = all(file.get(k) == v for k, v in RECIPE.items())
+        if self.plain:
             self._read_merges(vocab, merges)
 
     def _read_merges(self, vocab: dict[str, int], merges: list) -> None:
@@ -112,68 +148,77 @@ class Encoder(dict):
         self.merges = Merges([(vocab[a], vocab[b], rank, vocab[a + b])
                               for rank, (a, b) in enumerate(merges)], max(vocab.values()) + 1)
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of lower-case words, by the tokenizer's merges."""
-        sizes = np.array([len(w) for w in words])
-        data = np.frombuffer(b"".join(words), np.uint8)
-        symbols = self.inside[data]
-        ends = np.cumsum(sizes) - 1
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def _whole(self, text: bytes) -> array:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+
+    def _merged(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, and how many each has, by the tokenizer's merges."""
+        data = low[_spread(starts, sizes)]
+        symbols, ends = self.inside[data], np.cumsum(sizes) - 1
         symbols[ends] = self.final[data[ends]]
-        ids, counts = self.merges.run(symbols, sizes)
-        whole, bounds = ids.astype("<u4").tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
-        return [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return self.merges.run(symbols, sizes)
+
+    def _learn(self, hashes: np.ndarray, low: np.ndarray, starts: np.ndarray,
+               ends: np.ndarray, odd: np.ndarray) -> None:
+        together = ~odd & (ends - starts <= SHORT)
+        ids, counts = self._merged(low, starts[together], (ends - starts)[together])
+        apart = [self._whole(low[a:b].tobytes()) for a, b in zip(
+            starts[~together].tolist(), ends[~together].tolist(), strict=True)]
+        counts = np.append(counts, [len(i) for i in apart]).astype(np.int64)
+        ids = np.concatenate([ids, *[np.frombuffer(i, np.uint32) for i in apart]])
+        hashes = np.append(hashes[together], hashes[~together])
+        first = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.append(self.ids, ids.astype(np.uint32))
+        order = np.argsort(np.append(self.hashes, hashes), kind="stable")
+        self.hashes = np.append(self.hashes, hashes)[order]
+        self.first = np.append(self.first, first)[order]
+        self.count = np.append(self.count, counts)[order]
+        self.used = np.append(self.used, np.full(len(hashes), self.step))[order]
 
-    def __missing__(self, run: bytes) -> bytes:
-        """Of a run that is no word of small letters, or too long to be kept."""
-        ids = array("I", self.tokenizer.encode(
-            run.decode(), add_special_tokens=False).ids).tobytes()
-        if len(run) <= CACHED_BYTES:
-            self[run] = ids
-        return ids
-
-    def _learn(self, runs: set[bytes]) -> None:
-        """Keeps the ids of runs that are not known, words first."""
-        if len(self) > self.cached:  # runs in use move on to the next generation
-            self.older = dict(self)
-            self.clear()
-        words, marked = set(), []
-        for run in runs:
-            if run in self:
-                continue
-            ids = self.older.get(run)
-            if ids is not None:
-                self[run] = ids
-                continue
-            plain = _PLAIN(run)
-            if plain:
-                word, marks = plain[1].lower(), plain[2]
-            else:
-                stem = run.rstrip(_MARKS)
-                word, marks = _lower_word(stem) if stem else None, run[len(stem):]
-            if word is not None and len(run) <= CACHED_BYTES:
-                words.add(word)
-                if run != word:
-                    marked.append((run, word, marks))
-        new = [word for word in words if word not in self]
-        if new:
-            self.update(zip(new, self._words(new), strict=True))
-        for run, word, marks in marked:
-            self[run] = self[word] + self[marks] if marks else self[word]
+    def trim(self) -> None:
+        """If more is known than `cached` words, keep those of the last step."""
+        if len(self) > self.cached:
+            kept = self.used == self.step
+            self.ids = self.ids[_spread(self.first[kept], self.count[kept])]
+            self.hashes, self.count, self.used = (
+                c[kept] for c in (self.hashes, self.count, self.used))
+            self.first = np.cumsum(self.count) - self.count
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, without the closing id."""
-        if not self.by_runs:
+        """The ids of each text as little-endian 32-bit numbers, without the closing id."""
+        if not self.plain:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(
                 [text.decode() for text in texts], add_special_tokens=False)]
-        cut = [text.split() for text in texts]
-        self._learn(set().union(*cut))
-        return [b"".join(map(self.__getitem__, runs)) for runs in cut]
-
-    def trim(self) -> None:
-        """Leaves a generation at most, as workers outlive the task."""
-        self.older = {}
-        if len(self) > self.cached:
-            self.clear()
+        if len(texts) == 1 and len(texts[0]) > 2 * STEP_BYTES:
+            cut = pieces(np.frombuffer(texts[0], np.uint8), _SPACE, STEP_BYTES)
+            return [b"".join(self._step([piece.tobytes()])[0] for piece in cut)]
+        return self._step(texts)
+
+    def _step(self, texts: list[bytes]) -> list[bytes]:
+        self.trim()
+        self.step += 1
+        low, starts, ends, odd = words_of(np.frombuffer(b" ".join(texts), np.uint8))
+        hashes = range_hashes(low, starts, ends)
+        found, place, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, found)
+        new = np.append(self.hashes, np.uint64(0))[at] != found
+        new |= at == len(self.hashes)
+        if new.any():
+            self._learn(found[new], low, starts[place[new]], ends[place[new]],
+                        odd[place[new]])
+            at = np.searchsorted(self.hashes, found)
+        self.used[at] = self.step
+        at = at[which]
+        ids = self.ids[_spread(self.first[at], self.count[at])].astype("<u4")
+        rows = np.cumsum([0] + [len(t) + 1 for t in texts])
+        words = np.searchsorted(starts, rows)
+        bounds = (4 * np.append(0, np.cumsum(self.count[at]))[words]).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def encoder(path: str) -> Encoder:

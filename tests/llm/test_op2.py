@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from llm import op2_packing as op2_packing_module
 from llm.op2_packing import Encoder, op2_packing, pack, sequences
 from tests.llm.brute import table
 
@@ -81,7 +82,7 @@ def test_edges(spark):
 def test_other_tokenizers_encode_whole_texts(spark):
     """A byte-level tokenizer keeps white space and capitals."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert not Encoder(path).by_runs and Encoder(PATH).by_runs
+    assert not Encoder(path).plain and Encoder(PATH).plain
     own = Tokenizer.from_file(path)
     docs = [(i, t) for i, t in enumerate([*ODD, "Two  words\n\nand\tMORE"])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -93,17 +94,25 @@ def test_other_tokenizers_encode_whole_texts(spark):
         assert ids == own.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-def test_generations_change_nothing():
-    """A cache that is always full, and runs too long to be kept."""
+def test_forgetting_changes_nothing():
+    """A cache that is always full, long words, digits, marks and capitals."""
     rng = np.random.default_rng(6)
-    words = ["".join(rng.choice(list("aeinrstéüñ'.,A"), rng.integers(1, 12)))
-             for _ in range(3000)] + ["long" * 40, "x" * 65, "y" * 64 + "."]
+    words = ["".join(rng.choice(list("aeinrstéüñÉÜßÿ×÷'.,A19<|-"), rng.integers(1, 12)))
+             for _ in range(3000)] + ["long" * 40, "x" * 65, "y" * 64 + ".", "'s", "it's", "..'s"]
     small, large = Encoder(PATH, cached=50), Encoder(PATH)
-    for _ in range(40):
-        text = " ".join(rng.choice(words, 200)).encode()
+    for _ in range(60):
+        text = rng.choice([" ", "\n", "  "]).join(rng.choice(words, 200)).encode()
         assert small.encode([text]) == large.encode([text])
         found = np.frombuffer(large.encode([text])[0], "<u4").tolist()
         assert found == whole([text.decode()])[0][:-1]
-    assert len(small) < 1000
+    assert len(large) > len(small)
     small.trim()
-    assert not small.older and len(small) <= 50
+    assert len(small) < 1500 and small.encode([text]) == large.encode([text])
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(op2_packing_module, "STEP_BYTES", 100)
+    text = " ".join(f"word{i} É{i}, it's" for i in range(400))
+    assert np.frombuffer(Encoder(PATH).encode([text.encode()])[0], "<u4").tolist() == whole(
+        [text])[0][:-1]
+    assert Encoder(PATH).encode([b"", b" \n", b"a"])[:2] == [b"", b""]

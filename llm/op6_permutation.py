@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 NEIGHBOURS = 20
 PIVOTS = 128
 BLOCK = 4096
-QUERIES = 512
+QUERIES = 8192
 #: Share of a block that is ranked again, and the number over all blocks at least.
 SHARE = 0.05
 LEAST = 2560
@@ -99,15 +99,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS,
 
     `vectors` and `queries` are (vec_id, vector) as `valid_vectors` gives them; rows with
     the query's id are not its neighbours. Ties go to the smaller id. With few vectors
-    all are ranked exactly. Without vectors or queries there are no rows.
+    all are ranked exactly. Without vectors or queries there are no rows. Scores beyond
+    the range of a double are infinite.
     """
     spark = vectors.sparkSession
-    size, longest = vectors.agg(F.count("*"), F.max(F.aggregate(
-        "vector", F.lit(0.0), lambda s, v: s + v * v))).first()
+    size, largest = vectors.agg(F.count("*"), F.max(F.array_max(F.transform(
+        "vector", lambda v: F.abs(v))))).first()
     if not size:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Pivots are ordered on vectors divided by the largest component, whose squares fit.
+    longest = vectors.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, v: s + (
+        v / F.lit(largest)) * (v / F.lit(largest))))).first()[0]
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(pivots)
-    chosen = np.array([r.vector for r in sample.collect()], np.float64)
+    chosen = np.array([r.vector for r in sample.collect()], np.float64) / largest
     last = np.sqrt(np.maximum(longest - (chosen ** 2).sum(1), 0))
     chosen = np.column_stack([chosen, last])
     prefix = min(prefix or len(chosen), len(chosen))
@@ -118,9 +122,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column("vector"))
+                small = x / largest
                 more = np.zeros(len(x)) if is_query else np.sqrt(
-                    np.maximum(longest - (x ** 2).sum(1), 0))
-                ranks = permutation(x, more, shared.value, prefix) if len(x) else x
+                    np.maximum(longest - (small ** 2).sum(1), 0))
+                ranks = permutation(small, more, shared.value, prefix) if len(x) else x
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("vec_id"),
                      pa.array([v.astype("<f8").tobytes() for v in x], pa.binary()),

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 
+from llm import op6_permutation as op6
 from llm.op6_permutation import op6_permutation, search, valid_vectors
 from tests.llm.brute import table
 
@@ -59,3 +60,26 @@ def test_edges(spark):
     same(search(vectors, asked, block=7).collect(), brute(kept))
     assert search(vectors.limit(0), asked).count() == 0
     assert search(vectors, asked.limit(0)).count() == 0
+
+
+def test_huge_and_tiny_components(spark):
+    """The order of pivots does not depend on the size of the numbers."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    for scale in (2.0 ** 480, 2.0 ** -480):
+        df = spark.createDataFrame([(i, [x * scale for x in v]) for i, v in rows],
+                                   "vec_id long, embedding array<double>")
+        vectors = valid_vectors(df)
+        got = search(vectors, vectors.where("vec_id % 20 = 0"), least=150, share=0.0).collect()
+        found = {(r.query_id, r.vec_id) for r in got}
+        expected = brute(rows)
+        assert sum((q, v) in found for q, _, v, _ in expected) >= 0.9 * len(expected)
+
+
+def test_shuffled_rows_follow_the_input():
+    """Vectors meet all queries of 8,192 at once: copies of a vector are few."""
+    rows = []
+    for n in (10_000, 50_000):
+        asked = n // 20
+        rows.append(n * -(-asked // op6.QUERIES) + asked * -(-n // op6.BLOCK))
+    assert rows[1] / rows[0] < 5 ** 1.25

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import stored
+from llm.common import discard, stored
 
 #: A name that more than one row in HOT asks for is broadcast.
 HOT = 1000
@@ -147,7 +147,8 @@ def _members(rows: DataFrame, *keys: str, **more: Column) -> DataFrame:
 
 
 def _paths(turns: DataFrame, convs: DataFrame, rounds: int, root: int) -> DataFrame:
-    """conv, pos, tree: the name of the first `pos` turns, for every turn that follows."""
+    """conv, block, tree: the name of the first `block` turns, for every turn that
+    follows."""
     digests = _block_digests(turns, rounds)
     trees = convs.where("length > 0").select(
         "conv", "length", F.lit(0).cast("long").alias("block"),
@@ -155,13 +156,14 @@ def _paths(turns: DataFrame, convs: DataFrame, rounds: int, root: int) -> DataFr
     for half in reversed(range(rounds)):
         upper = trees.withColumn("block", F.col("block") * 2)
         whole = stored(upper.join(digests[half], ["conv", "block"]))
+        names = _members(whole, "block", "tree", "digest")
         lower = _named(whole.where((F.col("block") + 1) * (1 << half) < F.col("length")),
-                       _members(whole, "block", "tree", "digest"),
-                       "block", "tree", "digest")
-        trees = stored(upper.unionByName(lower.select(
+                       names, "block", "tree", "digest")
+        before, trees = trees, stored(upper.unionByName(lower.select(
             "conv", "length", (F.col("block") + 1).alias("block"),
             F.col("name").alias("tree"))))
-    return trees.withColumnRenamed("block", "pos")
+        discard(before, whole, names, digests[half])
+    return trees
 
 
 def _grafted(nodes: DataFrame, paths: DataFrame, rounds: int) -> DataFrame:
@@ -172,6 +174,7 @@ def _grafted(nodes: DataFrame, paths: DataFrame, rounds: int) -> DataFrame:
     ancestors down from the cut above.
     """
     sums = [F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")]
+    single = nodes
     for height in (1 << r for r in range(rounds)):
         cut = F.col("depth") - 1
         hanging = nodes.where(cut % (2 * height) == height).groupBy(
@@ -185,8 +188,10 @@ def _grafted(nodes: DataFrame, paths: DataFrame, rounds: int) -> DataFrame:
             below = below.unionByName(above.join(paths, ["conv", "pos"]).select(
                 F.col("pos").alias("depth"), F.col("tree").alias("conv_id"), "leaves", "saved",
                 F.lit(None).cast("long").alias("parent")))
-        nodes = stored(below.groupBy("depth", "conv_id").agg(
+        before, nodes = nodes, stored(below.groupBy("depth", "conv_id").agg(
             F.max("parent").alias("parent"), *sums))
+        if before is not single:
+            discard(before)
     return nodes
 
 
@@ -247,6 +252,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
                                      "saved_tokens long, ends_sha256 string")
     rounds = max(0, (deepest - 1).bit_length())
     paths = _paths(turns, convs, rounds, root)
+    paths = paths.withColumnRenamed("block", "pos")
     last = stored(paths.join(turns, ["conv", "pos"]))
     keys = ("pos", "tree", "digest")
     members = _members(last, *keys, size=F.max("size"))

@@ -41,6 +41,10 @@ RUN_BYTES = 24 << 20
 #: Places of an anchor beyond which it is dealt out by what surrounds it.
 HOT = 20_000
 CUTS = 8
+#: Anchors with more than one place in MANY of all are broadcast, at most MANY of them.
+MANY = 10_000
+#: Places of anchors behind one part of the merge, about.
+PART_PLACES = 250_000
 #: Bytes of a text in which anchors are sought at a time.
 STRIDE = 1 << 20
 
@@ -367,6 +371,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["h1", "h2", "n_removed", "n_spans", "kept_sha256"])
 
 
+def parts_for(spark: SparkSession, places: int) -> int:
+    """Parts of the merge: they grow with the places, so that a part's runs do not."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // PART_PLACES))
+
+
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT
             ) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal
@@ -387,13 +396,20 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     found = stored(found)
     # an anchor is repeated if it has two places, copies of one text being one
     spot = F.xxhash64("h1", "h2", "place")
-    repeated = found.groupBy("anchor").agg(
+    repeated = stored(found.groupBy("anchor").agg(
         F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("n")
-    ).where("a <> b").select("anchor", F.when(F.col("n") > hot, CUTS).otherwise(1)
-                             .alias("cuts"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ).where("a <> b").select("anchor", "n", F.when(F.col("n") > hot, CUTS).otherwise(1)
+                             .alias("cuts")))
+    places = found.count()
+    parts = parts_for(spark, places)
     part = F.pmod(F.col("anchor"), F.lit(parts)).cast("int")
-    wanted = (found.join(repeated, "anchor").groupBy("h1", "h2")
+    # The rows of an anchor with very many places stay where they are.
+    many = F.col("n") > places // MANY
+    marked = found.join(F.broadcast(repeated.where(many).drop("n")), "anchor", "left")
+    known = marked.where("cuts is not null").unionByName(
+        marked.where("cuts is null").drop("cuts").join(
+            repeated.where(~many).drop("n"), "anchor"))
+    wanted = (known.groupBy("h1", "h2")
               .agg(F.collect_set(F.struct("place", part.alias("part"), "cuts"))
                    .alias("found")))
     copies = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"),

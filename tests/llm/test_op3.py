@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from llm import op3_suffixes as op3
 from llm.op3_suffixes import (
     decoded, front_coded, merge, op3_suffixes, removed, shared_prefixes,
 )
@@ -91,3 +93,24 @@ def test_long_and_empty(spark):
     assert [(rows[k].n_removed, rows[k].n_spans) for k in (1, 2, 3)] == [
         (1500, 1), (1500, 1), (0, 0)]
     assert removed(df.limit(0)).count() == 0
+
+
+def test_parts_grow_with_the_input(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert op3.parts_for(spark, 0) == op3.parts_for(spark, 10_000) == least
+    assert op3.parts_for(spark, 10**8) == 400 and op3.parts_for(spark, 2 * 10**8) == 800
+
+
+def test_parts_and_frequent_anchors_change_nothing(spark, monkeypatch):
+    """Many small parts, and every anchor's rows broadcast or joined."""
+    rng = np.random.default_rng(12)
+    passage = "".join(rng.choice(list("abcdefgh "), 900))
+    docs = [(i, "".join(rng.choice(list("ijklmnop "), rng.integers(0, 500)))
+             + (passage if i % 3 else passage[200:700]) + f" {i}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = sorted(map(tuple, removed(df).collect()))
+    for many, places in ((1, 5), (10**9, 50)):
+        monkeypatch.setattr(op3, "MANY", many)
+        monkeypatch.setattr(op3, "PART_PLACES", places)
+        assert sorted(map(tuple, removed(df).collect())) == plain
+    assert any(r[2] for r in plain)

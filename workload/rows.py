@@ -16,7 +16,7 @@ from barweave.operators.universe import (
 from barweave.plans.summary import build_summary
 from barweave.schemas import DOMESTIC_MARKET, SIZE_TO_GROUP
 from barweave.session import scratch_dir
-from barweave.sources import library
+from barweave.sources import sinks
 from barweave.sources.adapters import (
     exchange_listing_from_part, index_listing_from_part,
 )
@@ -283,8 +283,8 @@ def chosen(t, **options):
 
 def stored_library(t):
     path = scratch_dir(t.spark, "library")
-    library.grow_library(t.bars, path)
-    return library.read_library(t.spark, path)
+    sinks.write_table(patterns.build_library(t.bars), path)
+    return t.spark.read.parquet(path)
 
 
 @query("t5_top_matches", sql("""

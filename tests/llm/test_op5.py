@@ -2,7 +2,11 @@ import zlib
 
 import numpy as np
 
-from llm.op5_quality import ACCEPT, accepted, features, fit, op5_quality, score, train
+import llm.op5_quality as op5_quality_module
+from llm.op5_quality import (
+    ACCEPT, FEATURES, Block, Blocks, SharedBlocks, _blocks, accepted, features, fit,
+    fit_blocks, op5_quality, score, train,
+)
 from tests.llm.brute import table
 
 FOLDER = "/root/testdata/sf0.1"
@@ -53,3 +57,38 @@ def test_edges(spark):
     assert kept.count() == sum(r.score >= ACCEPT for r in rows)
     assert score(df.limit(0), train(df, labels.limit(0))).count() == 0
     assert len(features(np.zeros(0, np.uint8))) == len(features(np.full(9, 65, np.uint8)))
+
+
+def test_every_label_trains(spark, monkeypatch):
+    """Each labelled text is owned by one block, and each block has both labels."""
+    monkeypatch.setattr(op5_quality_module, "BLOCK", 16)
+    monkeypatch.setattr(op5_quality_module, "OTHERS", 4)
+    x = np.zeros((300, FEATURES), "<f4")
+    x[:, 0] = np.arange(300)
+    rows = spark.createDataFrame(
+        [(k, int(k % 10 > 0), bytearray(x[k].tobytes())) for k in range(300)],
+        "doc_id long, quality int, x binary")
+    owned, blocks = [], _blocks(rows, 270, 30).collect()
+    assert len(blocks) > 10
+    for b in blocks:
+        sides = [np.frombuffer(side, "<f4").reshape(-1, FEATURES)[:, 0]
+                 for side in (b.good, b.bad)]
+        assert len(sides[0]) and len(sides[1])
+        owned += [*sides[0][:b.own_good], *sides[1][:b.own_bad]]
+    assert sorted(owned) == list(range(300))
+
+
+def test_blocks_give_the_local_fit(spark):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(400, 3))
+    y = (x @ [2, -1, 0] + draw.normal(size=400) > -1).astype(int)
+    blocks = [Block(part[label == 1], part[label == 0],
+                    (int((label == 1).sum()), int((label == 0).sum())))
+              for part, label in zip(np.split(x, 4), np.split(y, 4))]
+    counts = int((y == 1).sum()), int((y == 0).sum())
+    here = fit_blocks(Blocks(blocks), *counts, 3, 10)
+    there = fit_blocks(SharedBlocks(spark.sparkContext.parallelize(blocks, 3)), *counts, 3, 10)
+    assert np.allclose(here.weights, there.weights)
+    assert np.isclose(here.cut, there.cut) and here.slope == there.slope
+    raw = x @ here.weights
+    assert np.isclose(here.cut, np.quantile(raw, counts[1] / 400))

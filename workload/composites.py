@@ -113,7 +113,7 @@ def summary(t):
 def daily_summary(t):
     """From a stored state: the history up to some day, then later days one by one."""
     path = scratch_dir(t.spark, "state")
-    last = t.bars.agg(F.max("date")).first()[0]
+    last = t.last_date
     ends = [last - timedelta(days) for days in (3, 2, 1, 0)]
     run_day(t.bars.where(F.col("date") <= F.lit(ends[0])), path)
     for before, end in zip(ends, ends[1:]):

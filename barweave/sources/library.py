@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barweave.operators.panel import number_bars, priced
 from barweave.operators.patterns import HORIZON, STEP, build_library
-from barweave.sources.places import versions
+from barweave.sources.places import discard, versions
 
 
 def generation(spark: SparkSession, path: str) -> int:
@@ -59,7 +59,10 @@ def grow_library(bars: DataFrame, path: str, window: int = 60, step: int = STEP,
             "symbol", F.col("date").alias("from_date"), F.lit(0).cast("long").alias("kept"),
             F.lit(window).alias("window"), F.lit(step).alias("step"),
             F.lit(horizon).alias("horizon")).limit(0)
-    target = f"{path}/windows/gen={last + 1}"
+    # Read three times below; the bars may be made from trades.
+    kept_tail, target = f"{path}/tail/gen={last + 1}", f"{path}/windows/gen={last + 1}"
+    tail.write.mode("overwrite").parquet(kept_tail)
+    tail = spark.read.schema(tail.schema).parquet(kept_tail)
     # A tail begins with the first bar of the next window, so its windows are the next.
     windows = build_library(tail, window, step, horizon)
     if last:
@@ -79,3 +82,4 @@ def grow_library(bars: DataFrame, path: str, window: int = 60, step: int = STEP,
         F.lit(window).alias("window"), F.lit(step).alias("step"),
         F.lit(horizon).alias("horizon")).write.mode("overwrite").parquet(
         f"{path}/marks/gen={last + 1}")
+    discard(spark, kept_tail)

@@ -159,3 +159,12 @@ def test_long_symbols_are_cut_once_in_order(spark, monkeypatch):
     closes[2000:2200] = closes[2000]
     rows = patterns.build_library(bars(spark, frame("s", closes))).orderBy("end_date").collect()
     assert [r.widx for r in rows] == list(range(len(rows)))
+
+
+def test_long_shapes_are_scaled_once(spark):
+    """The cost of a shape is that of its points, not of their cube."""
+    q = walk(3, 2000)
+    shapes = spark.createDataFrame(
+        [("q", q.tolist()), ("flat", [1.0] * 2000)], "query_id string, q array<double>")
+    (row,) = patterns.prepare_queries(shapes, 2000).collect()
+    assert np.allclose(row.zq, (q - q.mean()) / q.std())

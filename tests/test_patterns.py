@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barweave.operators import patterns
@@ -168,3 +169,53 @@ def test_long_shapes_are_scaled_once(spark):
         [("q", q.tolist()), ("flat", [1.0] * 2000)], "query_id string, q array<double>")
     (row,) = patterns.prepare_queries(shapes, 2000).collect()
     assert np.allclose(row.zq, (q - q.mean()) / q.std())
+
+
+def test_few_queries_are_sent_to_the_library(spark, monkeypatch):
+    """Windows stay where they lie and are read in batches; ties of different batches and
+    parts are those of the dealt search."""
+    closes = {f"s{i}": walk(i % 4, 260) for i in range(12)}
+    panel = bars(spark, *[frame(s, c) for s, c in closes.items()])
+    library = patterns.build_library(panel).repartition(3, "widx").cache()
+    shapes = patterns.query_shape(panel, ["s1", "s5"]).unionByName(spark.createDataFrame(
+        [("drawn", walk(77, 60).tolist())], "query_id string, q array<double>"),
+        allowMissingColumns=True)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {}
+        for way in ("sent", "dealt"):
+            if way == "dealt":
+                monkeypatch.setattr(patterns, "_few", lambda shapes: None)
+            for apart in (False, True):
+                best = patterns.best_windows(library, shapes, 60, 40, apart)
+                plan = best._jdf.queryExecution().optimizedPlan().toString()
+                assert ("CoGroup" in plan) == (way == "dealt")
+                got[way, apart] = sorted(map(tuple, best.collect()))
+                chosen = patterns.find_similar(library, shapes, k=12, exclude_self=apart)
+                got[way, apart] += sorted(
+                    (r.query_id, r["rank"], r.symbol, r.widx, r.sim, tuple(r.fut))
+                    for r in chosen.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for apart in (False, True):
+        assert got["sent", apart] == got["dealt", apart]
+        assert len(got["sent", apart]) > 3 * 40
+
+
+def test_a_task_keeps_the_best_windows_only():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(20_000, 60))
+    x = (rows - rows.mean(1, keepdims=True)) / rows.std(1, keepdims=True)
+    shapes = pa.table({"query_id": ["a", "b"], "zq": x[:2].tolist()})
+    best, held = patterns._Best(shapes, 50), 0
+    for at in range(0, len(x), 500):
+        best.add(pa.table({
+            "symbol": ["s"] * 500, "widx": np.arange(at, at + 500),
+            "end_date": np.arange(at, at + 500), "x": x[at:at + 500].tolist()}))
+        held = max(held, len(best.rows))
+    assert held <= 3 * 2 * 50
+    kept = best.settle().to_pydict()
+    for k in (0, 1):
+        want = np.argsort(-(x * x[k]).sum(1), kind="stable")[:50]
+        assert [w for w, q in zip(kept["widx"], kept["q"]) if q == k] == want.tolist()

@@ -251,8 +251,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = [features(t).astype("<f4").tobytes() for t in
                  rows_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("quality"),
-                 pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
+                [batch.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "x"])
 
 
 def _matrix(data: bytes) -> np.ndarray:
@@ -288,16 +287,26 @@ def _blocks(rows: DataFrame, n_good: int, n_bad: int) -> DataFrame:
         "block").applyInArrow(pack, "good binary, bad binary, own_good long, own_bad long")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Ranker:
-    """Fit on all texts of `docs` with a label (doc_id, quality 0 or 1) outside the
-    held-out fold."""
+def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (doc_id, quality, x) of the texts with a label outside the held-out fold.
+
+    Texts are described where they lie; what moves is their descriptions, in the same
+    way whatever the number of labels.
+    """
     used = labels.where("quality in (0, 1) and doc_id is not null").where(
         ~held_out()).select(F.col("doc_id").alias("label_id"),
                             F.col("quality").cast("int").alias("quality"))
-    rows = stored(docs.select("doc_id", "text")
-                  .join(used, F.col("doc_id") == F.col("label_id"))
-                  .select("doc_id", "text", "quality")
-                  .mapInArrow(_describe, "doc_id long, quality int, x binary"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    described = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(
+        "doc_id", "text").mapInArrow(_describe, f"doc_id {kind}, x binary")
+    return described.join(used.hint("merge"), F.col("doc_id") == F.col("label_id")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "quality", "x")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """Fit on all texts of `docs` with a label (doc_id, quality 0 or 1) outside the
+    held-out fold."""
+    rows = stored(_training_rows(docs, labels))
     counts = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
     n_good, n_bad = counts.get(1, 0), counts.get(0, 0)
     if not n_good or not n_bad:

@@ -4,8 +4,8 @@ import numpy as np
 
 import llm.op5_quality as op5_quality_module
 from llm.op5_quality import (
-    ACCEPT, FEATURES, Block, Blocks, SharedBlocks, _blocks, accepted, features, fit,
-    fit_blocks, op5_quality, score, train,
+    ACCEPT, FEATURES, Block, Blocks, SharedBlocks, _blocks, _training_rows, accepted,
+    features, fit, fit_blocks, op5_quality, score, train,
 )
 from tests.llm.brute import table
 
@@ -92,3 +92,25 @@ def test_blocks_give_the_local_fit(spark):
     assert np.isclose(here.cut, there.cut) and here.slope == there.slope
     raw = x @ here.weights
     assert np.isclose(here.cut, np.quantile(raw, counts[1] / 400))
+
+
+def test_texts_stay_where_they_are(spark):
+    """One plan for few and many labels: descriptions move, texts do not."""
+    docs = spark.createDataFrame(
+        [(k, f"text {k} " * 5) for k in range(40)] + [(7, "again"), (None, "x"), (8, None)],
+        "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(k, k % 2) for k in range(0, 40, 3)] + [(7, 1), (7, 0), (8, 1), (None, 1), (99, 1)],
+        "doc_id long, quality int")
+    rows = _training_rows(docs, labels)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert "text" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line or "Sort [" in line)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    want = sorted(
+        (i, y, features(np.frombuffer((t or "").encode(), np.uint8)).astype("<f4").tobytes())
+        for i, t in texts for j, y in [tuple(r) for r in labels.collect()]
+        if i is not None and i == j and zlib.crc32(str(i).encode()) % 4 != 2)
+    assert sorted((r.doc_id, r.quality, bytes(r.x)) for r in rows.collect()) == want
+    assert {y for i, y, _ in want if i == 7} == {0, 1} or zlib.crc32(b"7") % 4 == 2

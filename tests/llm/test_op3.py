@@ -95,6 +95,26 @@ def test_long_and_empty(spark):
     assert removed(df.limit(0)).count() == 0
 
 
+def test_passages_of_over_50_words_go_by_their_bytes(spark):
+    """60 words that stand in two documents go from both if they have 400 bytes."""
+    draw = random.Random(60)
+    docs, sizes = [], (310, 394, 399, 400, 401, 520)
+    for k, size in enumerate(sizes):
+        letters = draw.choices("abcdefgh", k=size)
+        for at in sorted(draw.sample(range(1, size // 2), 59)):
+            letters[2 * at] = " "
+        passage = "".join(letters)
+        assert len(passage.split()) == 60 and len(passage.encode()) == size
+        docs += [(2 * k + j, f"{own * 90}{passage}{own * 70}")
+                 for j, own in enumerate((f"x{k}x", f"y{k}y"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(removed(df)) == brute(docs)
+    cut = {r.doc_id: r.n_removed for r in removed(df).collect()}
+    for k, size in enumerate(sizes):
+        gone = size if size >= 400 else 0
+        assert (cut[2 * k], cut[2 * k + 1]) == (gone, gone), size
+
+
 def test_parts_grow_with_the_input(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert op3.parts_for(spark, 0) == op3.parts_for(spark, 10_000) == least
